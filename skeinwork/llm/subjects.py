@@ -6,7 +6,7 @@
    starting points of a split come from a bounded sample of its node.
 4. Each leaf's discriminative terms are compared with those of the labelled examples of each subject:
    a leaf takes the subject that they speak for, or none.
-5. The term counts of labelled leaves, over all documents, make term weights for each subject; sentences
+5. The term rates of labelled leaves, over all documents, make term weights for each subject; sentences
    are assigned by these, and a page has the subjects of at least a fifth of its sentences.
 
 Documents are kept in chunks of flat arrays, so that a pass over them is a few array operations. What
@@ -30,24 +30,56 @@ from ..session import materialize
 VOCABULARY = 16_384
 #: A term must be in this share of all documents, and no more than this one.
 LEAST_SHARE, MOST_SHARE = 2e-5, 0.25
-#: Levels of the tree: at most 2**DEPTH leaves. A node under this share of all documents stays a leaf.
-DEPTH, LEAST_NODE = 7, 0.002
+#: Levels of the tree, and the share of all documents' spread (squared distance to their centre) under which
+#: a node stays a leaf, so that the number of leaves is bounded by its inverse.
+DEPTH, LEAST_SPREAD = 10, 0.007
 #: Documents of a node by which the two starting points of its split are found.
 SEED_DOCS = 48
+#: Pairs of these from which a split is started.
+STARTS = 12
 #: Passes over all documents for each level.
 PASSES = 2
 #: A page has a subject from this share of its sentences.
 LEAST_MIX = 0.2
+#: Evidence (log-ratio) from which a term counts, and from which a sentence speaks for itself; below
+#: that, its page must speak for the subject with this share of its evidence.
+WEAK, CLEAR, PAGE = 0.9, 1.5, 0.25
+#: Subjects that may share a term as one of their own.
+SHARED = 5
 #: Documents in a chunk.
 CHUNK = 2_000
 #: The status of a page that was delivered as asked for.
 DELIVERED = 200
 
 _WORD = re.compile(r"[^\W\d_]+")
-_BREAK = re.compile(r"(?<=[.!…。！])\s+")
+_BREAK = re.compile(r"(?<=[^\d][.!…。！])\s+")  # not after ordinals such as "3."
 _ENDS = (".", "!", "?", "…", "。", "！", "？", "»", "”", '"')
 
 
+#: Letters that UTF-8 read by another charset begins with, and those charsets.
+_MISREAD = re.compile("[ÃÂâÄÅĂăĹÎÐÑﾃﾂ窶�]")
+_CHARSETS = ("cp1252", "latin-1", "cp932", "cp1250")
+
+
+def reread_line(line: str) -> str:
+    """A line whose UTF-8 was read by another charset, read again; any other line as it is.
+
+    Bytes that the wrong charset lost are lost. Text in another charset is hardly ever valid UTF-8.
+    """
+    if line.isascii() or not _MISREAD.search(line):
+        return line
+    lost = line.count("\ufffd")
+    for charset in _CHARSETS:
+        try:
+            raw = line.replace("\ufffd", "").encode(charset)
+        except UnicodeEncodeError:
+            continue
+        good = raw.decode("utf-8", "ignore")
+        if not good.isascii() and len(raw) - len(good.encode()) <= 2 * lost:
+            return good
+    return line
+
+
 def body_sentences(text: str | None) -> list[str]:
     """The sentences of a page's own body.
 
@@ -60,6 +92,7 @@ def body_sentences(text: str | None) -> list[str]:
     lines = [x for x in (line.strip() for line in text.split("\n")) if x]
     out: list[str] = []
     for k, line in enumerate(lines):
+        line = reread_line(line)
         if line.endswith(_ENDS):
             out += _BREAK.split(line)
         elif k == len(lines) - 1 and out:
@@ -249,34 +282,44 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 
 def _start(seeds: list, width: int) -> np.ndarray | None:
-    """The direction between two centres of a node's seed documents, by 2-means from its least alike pair."""
+    """The direction between two centres of a node's seed documents: the best 2-means of several starts.
+
+    None where the seeds are (nearly) all alike.
+    """
     if len(seeds) < 2:
         return None
     x = np.zeros((len(seeds), width), np.float32)
     for k, s in enumerate(seeds):
         x[k, np.frombuffer(s["c"], np.int32)] = np.frombuffer(s["w"], np.float32)
     like = x @ x.T
-    a, b = np.unravel_index(np.argmin(like), like.shape)
-    if a == b or like[a, b] > 0.999:
-        return None
-    p, q = x[a], x[b]
-    for _ in range(8):
-        side = x @ (q - p) > 0
-        if side.all() or not side.any():
-            return None
-        p, q = _unit(x[~side].sum(0)), _unit(x[side].sum(0))
-    return (q - p).astype(np.float32)
+    best, way = -1.0, None
+    for a in range(0, len(seeds), max(1, len(seeds) // STARTS)):
+        b = int(np.argmin(like[a]))
+        if like[a, b] > 0.999:
+            continue
+        p, q = x[a], x[b]
+        for _ in range(8):
+            side = x @ (q - p) > 0
+            if side.all() or not side.any():
+                break
+            p, q = _unit(x[~side].sum(0)), _unit(x[side].sum(0))
+        else:
+            gain = float((x[~side] @ p).sum() + (x[side] @ q).sum())
+            if gain > best:
+                best, way = gain, (q - p).astype(np.float32)
+    return way
 
 
 def bisect_documents(chunks: DataFrame, width: int) -> list[dict[int, tuple[np.ndarray, float]]]:
     """Bisecting k-means over all documents: for each level the direction that splits each of its nodes."""
     splits: list[dict] = []
     state = _sums(chunks, splits, width, True)
-    everyone = sum(d for d, _, _ in state.values())
     for _ in range(DEPTH):
+        spread = {n: docs - float(np.linalg.norm(total)) ** 2 / max(docs, 1) for n, (docs, total, _) in state.items()}
+        everything = sum(spread.values())
         level = {}
         for node, (docs, _, seeds) in sorted(state.items()):
-            if node >= 2 ** len(splits) and docs >= max(2, LEAST_NODE * everyone):
+            if node >= 2 ** len(splits) and docs > 1 and spread[node] >= LEAST_SPREAD * everything:
                 way = _start(seeds, width)
                 if way is not None:
                     level[node] = (way, 0.0)
@@ -348,39 +391,54 @@ def label_leaves(leaf_counts: np.ndarray, spoken: np.ndarray, top: int = 40) ->
             continue
         score = (weight[:, None] * spoken[best]).sum(0) / weight.sum()
         order = np.argsort(-score)
-        if score[order[0]] > 0.1 and score[order[0]] > 1.3 * score[order[1]]:
+        if score[order[0]] > 0.1 and score[order[0]] > 1.6 * score[order[1]]:
             out[k] = order[0]
     return out
 
 
-def term_weights(counts: np.ndarray, everything: np.ndarray, limit: float = 4.0) -> np.ndarray:
-    """Log-ratios of a term's rate in a subject to its rate elsewhere: terms x subjects; 0 is no evidence."""
-    rate = (counts + 0.5 * everything / max(everything.sum(), 1)) / np.maximum(counts.sum(1, keepdims=True), 1)
-    base = np.maximum(everything, 0.5) / max(everything.sum(), 1)
-    best = np.sort(rate, 0)[::-1]
-    second = np.maximum(best[1] if len(best) > 1 else base, base)
-    ratio = np.log(np.maximum(rate, 1e-12) / base)
-    known = everything >= 5
-    clear = best[0] / np.maximum(second, 1e-12) > 1.0
-    return np.where(known & clear, np.clip(ratio, -limit, limit), 0).T.astype(np.float32)
-
+def term_weights(leaf_counts: np.ndarray, labels: np.ndarray, seen: np.ndarray, limit: float = 4.0) -> np.ndarray:
+    """How much a term speaks for each subject: log-ratios, terms x subjects; 0 is no evidence.
 
-def _classify(c: dict[str, np.ndarray], weights: np.ndarray, least: float) -> np.ndarray:
+    A term's rate in a subject is its highest in any leaf of that subject (or among its examples), small
+    leaves held down, so that a language spread over the leaves of all subjects says nothing. It is
+    compared with that of the first subject that may not share the term, after ``SHARED`` others.
+    """
+    subjects = len(seen)
+    told = (seen + 1.0) / (seen.sum(0) + subjects)  # what the examples say of the term
+    size = leaf_counts.sum(1, keepdims=True)
+    rate = leaf_counts / (size + 0.001 * size.sum())
+    best = np.zeros((subjects, leaf_counts.shape[1]))
+    for k in range(subjects):
+        if (labels == k).any():
+            best[k] = rate[labels == k].max(0)
+        shown = np.where(seen[k] >= 2, seen[k] / max(seen[k].sum(), 1), 0)
+        best[k] = np.maximum(best[k], shown)
+    ranked = np.sort(best, 0)[::-1]
+    base = (ranked[SHARED] if subjects > SHARED else 0) + 1e-4
+    ratio = np.log(np.maximum(best, 1e-9) / base)
+    # where a leaf holds two subjects, the examples tell whose its terms are
+    held = (best * told >= (best * told).max(0) / 3) & (best >= ranked[0] / 5) & (leaf_counts.sum(0) + seen.sum(0) >= 4)
+    return np.where(held, np.clip(ratio, 0, limit), 0).T.astype(np.float32)
+
+
+def _classify(c: dict[str, np.ndarray], weights: np.ndarray) -> np.ndarray:
     """The subject of each sentence, -1 for none: its terms' evidence, and its page's where they are unclear."""
     sentences = len(c["sentence_ends"])
     owner = np.repeat(np.arange(sentences), np.diff(np.concatenate([[0], c["sentence_ends"]])))
+    strong = np.where(weights > WEAK, weights, 0)
     use = c["terms"] >= 0
-    strong = np.where(weights > 1.0, weights, 0)
-    score = np.zeros((sentences, weights.shape[1]))
-    np.add.at(score, owner[use], strong[c["terms"][use]])
+    use[use] = strong[c["terms"][use]].any(1)  # most terms are no evidence
+    once = np.unique(owner[use].astype(np.int64) * len(weights) + c["terms"][use])  # a repeated term says no more
+    owner, terms = once // len(weights), once % len(weights)
+    score = np.stack([np.bincount(owner, strong[terms, k], sentences) for k in range(weights.shape[1])], 1)
     doc = _sentence_docs(c)
-    prior = np.zeros((len(c["doc_ends"]), weights.shape[1]))
-    np.add.at(prior, doc, score)
-    prior = prior / np.maximum(prior.sum(1, keepdims=True), 1e-9)
-    mixed = score * (0.25 + prior[doc])
-    best = mixed.argmax(1) if sentences else np.zeros(0, np.int64)
-    top = score[np.arange(sentences), best]
-    return np.where(top >= least, best, -1)
+    clear = np.where(score >= CLEAR, score, 0)
+    prior = np.stack([np.bincount(doc, clear[:, k], len(c["doc_ends"])) for k in range(weights.shape[1])], 1)
+    prior = (prior / np.maximum(prior.sum(1, keepdims=True), 1e-9))[doc]
+    best = (score * (0.25 + prior)).argmax(1) if sentences else np.zeros(0, np.int64)
+    row = np.arange(sentences)
+    said = score[row, best]
+    return np.where((said >= CLEAR) | ((said > WEAK) & (prior[row, best] >= PAGE)), best, -1)
 
 
 def assign_subjects(
@@ -425,16 +483,12 @@ def assign_subjects(
 
     leaf_counts = _count_terms(coded, by_leaf, len(leaves), width)
     labels = label_leaves(leaf_counts, example_weights(seen))
-    counts = np.stack([leaf_counts[labels == k].sum(0) + 3 * seen[k] for k in range(len(names))])
-    weights = term_weights(counts, leaf_counts.sum(0))
-    # once more with what the sentences say, as pages of one leaf may hold other subjects too
-    again = _count_terms(coded, lambda c: _classify(c, weights, 1.5), len(names), width)
-    weights = term_weights(again + 3 * seen, leaf_counts.sum(0))
+    weights = term_weights(leaf_counts, labels, seen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in _arrays(batch, _OUT):
-                found = _classify(c, weights, 1.5)
+                found = _classify(c, weights)
                 doc, k = _sentence_docs(c), len(names)
                 held = found >= 0
                 mix = np.bincount(doc[held] * k + found[held], minlength=len(c["doc_ends"]) * k).reshape(-1, k)
