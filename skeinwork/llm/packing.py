@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-#: Parts into which the items of one size are dealt for ranking, so that no size is one task.
-SALTS = 64
+#: Parts for each shuffle partition into which the items of one size are dealt for ranking, so that no
+#: size is one task however many items share it.
+SALTS_PER_PARTITION = 4
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -129,25 +130,22 @@ def pack(counts: DataFrame, capacity: int) -> DataFrame:
     """
     spark = counts.sparkSession
     placed = materialize(items(counts, capacity), "items")
-    salted = placed.withColumn("salt", F.pmod(F.xxhash64("doc_id", "part"), F.lit(SALTS)).cast("int"))
-    tally = salted.groupBy("size", "salt").agg(F.count(F.lit(1)).alias("n"))  # at most capacity x SALTS rows
-    counted = tally.collect()
-    histogram: dict[int, int] = {}
-    starts = []
-    for row in sorted(counted, key=lambda r: (r["size"], r["salt"])):
-        starts.append((row["size"], row["salt"], histogram.get(row["size"], 0)))
-        histogram[row["size"]] = histogram.get(row["size"], 0) + row["n"]
-    if not starts:
+    salts = SALTS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    salted = placed.withColumn("salt", F.pmod(F.xxhash64("doc_id", "part"), F.lit(salts)).cast("int"))
+    tally = materialize(salted.groupBy("size", "salt").agg(F.count(F.lit(1)).alias("n")), "tally")
+    histogram = {r["size"]: r["n"] for r in tally.groupBy("size").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
+    if not histogram:
         return spark.createDataFrame([], "container bigint, doc_id bigint, part bigint, first_token bigint, size bigint")
-    offsets = spark.createDataFrame(pd.DataFrame(starts, columns=["size", "salt", "before"]), "size bigint, salt int, before bigint")
+    earlier = Window.partitionBy("size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)  # one row a salt
+    offsets = tally.select("size", "salt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     steps = spark.createDataFrame(
         pd.DataFrame(plan(histogram, capacity), columns=["size", "first_rank", "count", "bin", "stride"]),
         "size bigint, first_rank bigint, count bigint, bin bigint, stride bigint",
     )
     within = F.row_number().over(Window.partitionBy("size", "salt").orderBy("doc_id", "part")) - 1
-    ranked = salted.withColumn("within", within).join(F.broadcast(offsets), ["size", "salt"])
+    ranked = salted.withColumn("within", within).join(offsets, ["size", "salt"])
     ranked = ranked.withColumn("rank", F.col("before") + F.col("within")).drop("before", "within", "salt")
-    # both tables are bounded by the capacity, not by the corpus
+    # the plan is bounded by the capacity, not by the corpus
     at = F.broadcast(steps.withColumnRenamed("size", "s"))
     inside = (F.col("size") == F.col("s")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("count"))
     return ranked.join(at, inside).select(
