@@ -257,7 +257,7 @@ def beneath(spark, d):
 
 def link_extract(spark, d):
     """Pages named by links inside crawled pages' bytes: every ``href`` of the page."""
-    html = F.decode("raw", F.lit("ISO-8859-1"))
+    html = F.decode("raw", "ISO-8859-1")
     links = table(spark, d, "documents").where("raw is not null").select("doc_id", F.explode(F.regexp_extract_all(html, F.lit('href="([^"]*)"'), 1)).alias("link"))
     return links.groupBy("doc_id").agg(F.count(F.lit(1)).alias("links"), F.count_if(P.is_uri(F.col("link"))).alias("uris"))
 

@@ -232,17 +232,17 @@ b as (select x.t as node, sum(x.n * y.n / z.n) as g from p x join p y on y.s = x
 select v.path as node, round(coalesce(b.g, 0) / case when k > 2 then (k - 1) * (k - 2) else 1 end, 9) as betweenness
 from v cross join c left join b on b.node = v.path""",
     "link_resolve": f"""
-with s as (select edge_id, source, unnest(occurrences) as o, generate_subscripts(occurrences, 1) - 1 as at from raw_edges where source is not null),
-j as (select edge_id, at, case when starts_with(o.raw, '/') or position('/' in source) = 0 then o.raw
+with s as (select edge_id, source, unnest(occurrences) as o, generate_subscripts(occurrences, 1) - 1 as pos from raw_edges where source is not null),
+j as (select edge_id, pos, case when starts_with(o.raw, '/') or position('/' in source) = 0 then o.raw
   else regexp_replace(source, '/?[^/]*$', '') || '/' || o.raw end as joined from s where o.raw is not null)
-select edge_id, cast(at as bigint) as at, {_normal('joined')} as resolved from j""",
+select edge_id, cast(pos as bigint) as "at", {_normal('joined')} as resolved from j""",
     "bfs_inbound_all": _bfs("inbound", None),
     "bfs_inbound_1": _bfs("inbound", 1),
     "bfs_outbound_2": _bfs("outbound", 2),
     "bfs_both_2": _bfs("both", 2),
     "impact_radius": f"""with recursive {_BASE}, {_SEEDS}, hops as materialized (select distinct target as a, source as b from edges),
-walk(node, at) as (
-  select path, path from seeds union select w.node, h.b from walk w join hops h on h.a = w.at)
+walk(node, got) as (
+  select path, path from seeds union select w.node, h.b from walk w join hops h on h.a = w.got)
 select node, count(*) - 1 as impact_radius from walk group by node""",
     "select_glob": f"{_W} select path from nodes_now where regexp_matches(path, '^([^/]*/)*docs/[^/]*\\.md$')",
     "select_subtree": f"{_W} select path, fs_type from nodes_now where path = 'handbook' and fs_type <> 'directory' or starts_with(path, 'handbook/')",
