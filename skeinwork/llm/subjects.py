@@ -6,8 +6,9 @@
    starting points of a split come from a bounded sample of its node.
 4. Each leaf's discriminative terms are compared with those of the labelled examples of each subject:
    a leaf takes the subject that they speak for, or none.
-5. The term rates of labelled leaves, over all documents, make term weights for each subject; sentences
-   are assigned by these, and a page has the subjects of at least a fifth of its sentences.
+5. The term rates of labelled leaves, over all documents, make term weights for each subject. Sentences
+   are assigned by these, and weights taken again from the clear ones, as a leaf may hold several
+   subjects; a page's mixture of sentences gives the subjects of at least a fifth of them.
 
 Documents are kept in chunks of flat arrays, so that a pass over them is a few array operations. What
 reaches the driver is bounded by the model: vocabulary, nodes and subjects, never by the corpus.
@@ -29,7 +30,7 @@ from ..session import materialize
 #: Terms kept, the most frequent by documents: the size of the model.
 VOCABULARY = 16_384
 #: A term must be in this share of all documents, and no more than this one.
-LEAST_SHARE, MOST_SHARE = 2e-5, 0.25
+LEAST_SHARE, MOST_SHARE = 2e-5, 0.5
 #: Levels of the tree, and the share of all documents' spread (squared distance to their centre) under which
 #: a node stays a leaf, so that the number of leaves is bounded by its inverse.
 DEPTH, LEAST_SPREAD = 10, 0.007
@@ -44,8 +45,11 @@ LEAST_MIX = 0.2
 #: Evidence (log-ratio) from which a term counts, and from which a sentence speaks for itself; below
 #: that, its page must speak for the subject with this share of its evidence.
 WEAK, CLEAR, PAGE = 0.9, 1.5, 0.25
+#: The weight of a term of one subject, and the times that weights are taken again from the sentences
+#: that the weights before made clear, over all documents.
+STRONG, REFINEMENTS = 3.0, 3
 #: Subjects that may share a term as one of their own.
-SHARED = 5
+SHARED = 4
 #: Documents in a chunk.
 CHUNK = 2_000
 #: The status of a page that was delivered as asked for.
@@ -58,7 +62,7 @@ _ENDS = (".", "!", "?", "…", "。", "！", "？", "»", "”", '"')
 
 #: Letters that UTF-8 read by another charset begins with, and those charsets.
 _MISREAD = re.compile("[ÃÂâÄÅĂăĹÎÐÑﾃﾂ窶�]")
-_CHARSETS = ("cp1252", "latin-1", "cp932", "cp1250")
+_CHARSETS = ("cp1252", "latin-1", "cp932", "cp1250", "iso8859-2")
 
 
 def reread_line(line: str) -> str:
@@ -421,8 +425,41 @@ def term_weights(leaf_counts: np.ndarray, labels: np.ndarray, seen: np.ndarray,
     return np.where(held, np.clip(ratio, 0, limit), 0).T.astype(np.float32)
 
 
-def _classify(c: dict[str, np.ndarray], weights: np.ndarray) -> np.ndarray:
-    """The subject of each sentence, -1 for none: its terms' evidence, and its page's where they are unclear."""
+def examples_first(weights: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Weights in which a term that the examples show clearly speaks for their subject alone.
+
+    Clearly: three times or more, seven tenths of them in one subject.
+    """
+    total = seen.sum(0)
+    top = seen.argmax(0)
+    clear = (total >= 3) & (seen.max(0) >= 0.7 * total)
+    out = weights.copy()
+    out[clear] = 0
+    out[clear, top[clear]] = STRONG
+    return out
+
+
+def spoken_weights(spoken: np.ndarray, everything: np.ndarray) -> np.ndarray:
+    """Term weights from the sentences that were clearly about each subject: terms x subjects.
+
+    A term counts if at least half of its uses are in such sentences. It speaks strongly for a subject
+    with three quarters of these, weakly for up to ``SHARED`` subjects that share nearly all of them;
+    a term spread wider, as the words of any text are, says nothing.
+    """
+    about = spoken.sum(0)
+    share = spoken / np.maximum(about, 1)
+    known = (about >= 4) & (about >= 0.5 * everything)
+    own = (share >= 0.75) & known
+    some = (share >= 0.12) & known & ~own.any(0)
+    shared = some & (some.sum(0) <= SHARED) & ((share * some).sum(0) > 0.85)
+    return np.where(own, STRONG * share, np.where(shared, WEAK + 0.1, 0)).T.astype(np.float32)
+
+
+def _classify(c: dict[str, np.ndarray], weights: np.ndarray, strict: bool = False) -> np.ndarray:
+    """The subject of each sentence, -1 for none: its terms' evidence, and its page's where they are unclear.
+
+    ``strict`` leaves out sentences in which another subject has half as much evidence.
+    """
     sentences = len(c["sentence_ends"])
     owner = np.repeat(np.arange(sentences), np.diff(np.concatenate([[0], c["sentence_ends"]])))
     strong = np.where(weights > WEAK, weights, 0)
@@ -438,6 +475,9 @@ def _classify(c: dict[str, np.ndarray], weights: np.ndarray) -> np.ndarray:
     best = (score * (0.25 + prior)).argmax(1) if sentences else np.zeros(0, np.int64)
     row = np.arange(sentences)
     said = score[row, best]
+    if strict and sentences:
+        other = np.partition(score, -2, axis=1)[:, -2] if score.shape[1] > 1 else np.zeros(sentences)
+        return np.where((said >= CLEAR) & (other <= 0.5 * said) & (said >= score.max(1)), best, -1)
     return np.where((said >= CLEAR) | ((said > WEAK) & (prior[row, best] >= PAGE)), best, -1)
 
 
@@ -465,14 +505,7 @@ def assign_subjects(
     if not width or not names:
         return spark.createDataFrame([], schema)
     coded = materialize(coded_chunks(chunks, vocabulary, idf), "coded")
-    shown = [r for r in examples.select("subject", "text").collect() if r["subject"] in names]
-    seen = np.zeros((len(names), width))
-    for r in shown:
-        for sentence in body_sentences(r["text"]) or [r["text"] or ""]:
-            at = [np.searchsorted(vocabulary, term_hash(w)) for w in _WORD.findall(sentence.lower())]
-            for w, i in zip(_WORD.findall(sentence.lower()), at):
-                if i < width and vocabulary[i] == term_hash(w):
-                    seen[names.index(r["subject"]), i] += 1
+    seen = _example_counts(examples, names, vocabulary)
     splits = bisect_documents(coded, width)
     leaves = _leaves(splits)
     number = {n: k for k, n in enumerate(leaves)}
@@ -483,7 +516,10 @@ def assign_subjects(
 
     leaf_counts = _count_terms(coded, by_leaf, len(leaves), width)
     labels = label_leaves(leaf_counts, example_weights(seen))
-    weights = term_weights(leaf_counts, labels, seen)
+    weights = examples_first(term_weights(leaf_counts, labels, seen), seen)
+    for _ in range(REFINEMENTS):
+        spoken = _count_terms(coded, lambda c, w=weights: _classify(c, w, True), len(names), width)
+        weights = spoken_weights(spoken, leaf_counts.sum(0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -502,6 +538,30 @@ def assign_subjects(
     return coded.mapInArrow(run, schema)
 
 
+def _example_counts(examples: DataFrame, names: list[str], vocabulary: np.ndarray) -> np.ndarray:
+    """Counts of terms by subject among the labelled examples: subjects x terms.
+
+    Where the examples tell their language, counts are scaled to the same amount of text for all subjects
+    in it: of two subjects that claim a term, it belongs to the one whose few texts are full of it rather
+    than to the one that wrong labels gave some. Examples are few by definition and read on the driver.
+    """
+    width = len(vocabulary)
+    lang = F.col("lang") if "lang" in examples.columns else F.lit(None)
+    shown = [r for r in examples.select("subject", "text", F.lower(lang.cast("string")).alias("lang")).collect() if r["subject"] in names]
+    by: dict[str | None, np.ndarray] = {}
+    for r in shown:
+        counts = by.setdefault(r["lang"], np.zeros((len(names), width)))
+        for sentence in body_sentences(r["text"]) or [r["text"] or ""]:
+            hashes = np.array([term_hash(w) for w in _WORD.findall(sentence.lower())], np.uint32)
+            at = np.minimum(np.searchsorted(vocabulary, hashes), width - 1)
+            np.add.at(counts[names.index(r["subject"])], at[vocabulary[at] == hashes], 1)
+    seen = np.zeros((len(names), width))
+    for counts in by.values():
+        size = counts.sum(1, keepdims=True)
+        seen += counts * np.where(size > 0, size[size > 0].mean() / np.maximum(size, 1), 0) if size.any() else 0
+    return seen
+
+
 def _leaves(splits: list[dict]) -> list[int]:
     nodes, split = {1}, {n for level in splits for n in level}
     for level in splits:
