@@ -207,20 +207,25 @@ def coded_chunks(chunks: DataFrame, vocabulary: np.ndarray, idf: np.ndarray) ->
     return chunks.mapInArrow(run, _CODED)
 
 
-def _descend(c: dict[str, np.ndarray], splits: list[dict[int, tuple[np.ndarray, float]]]) -> np.ndarray:
+def _prepared(splits: list[dict[int, tuple[np.ndarray, float]]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each level as one table of directions and the row of each node in it, -1 for nodes not split."""
+    out = []
+    for level in splits:
+        nodes = sorted(level)
+        if nodes:
+            lookup = np.full(max(nodes) + 2, -1)
+            lookup[nodes] = np.arange(len(nodes))
+            out.append((lookup, np.stack([level[n][0] for n in nodes])))
+    return out
+
+
+def _descend(c: dict[str, np.ndarray], levels: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """The node of each document after the given levels; a document stays where its node was not split."""
     docs = len(c["doc_ends"])
     rows = np.repeat(np.arange(docs), np.diff(c["ptr"]))
     node = np.ones(docs, np.int64)  # children of n: 2n and 2n + 1
-    for level in splits:
-        nodes = sorted(level)
-        if not nodes:
-            continue
-        place = {n: i for i, n in enumerate(nodes)}
-        table = np.stack([level[n][0] for n in nodes])
-        lookup = np.full(max(nodes) + 1, -1)
-        lookup[nodes] = [place[n] for n in nodes]
-        here = np.where(node < len(lookup), lookup[np.minimum(node, len(lookup) - 1)], -1)
+    for lookup, table in levels:
+        here = lookup[np.minimum(node, len(lookup) - 1)]
         mine = here[rows]
         use = mine >= 0
         side = np.bincount(rows[use], c["weights"][use] * table[mine[use], c["cols"][use]], docs) > 0
@@ -232,29 +237,41 @@ def _sums(chunks: DataFrame, splits: list, width: int, seeds: bool) -> dict[int,
     """Of each node: documents, sum of vectors, and its documents of smallest hash (for starting points).
 
     Tasks add up what they read and send one row a node; the second step adds rows as they stream by.
+    Starting points are kept for nodes of the last level only, as no other is split again.
     """
-    shared = chunks.sparkSession.sparkContext.broadcast(splits)  # bounded by nodes x vocabulary
+    levels = _prepared(splits)
+    nodes = np.array(_leaves(splits))
+    newest = 2 ** len(splits)
+    shared = chunks.sparkSession.sparkContext.broadcast((levels, nodes))  # bounded by nodes x vocabulary
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc: dict[int, list] = {}
+        levels, nodes = shared.value
+        count = np.zeros(len(nodes), np.int64)
+        total = np.zeros((len(nodes), width))
+        kept: dict[int, list] = {}
         for batch in batches:
             for c in _arrays(batch, _OUT):
-                node = _descend(c, shared.value)
-                rows = np.repeat(node, np.diff(c["ptr"]))
-                mark = (c["ids"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
-                for n in np.unique(node):
-                    got = acc.setdefault(int(n), [0, np.zeros(width, np.float64), []])
-                    mine = node == n
-                    got[0] += int(mine.sum())
-                    use = rows == n
-                    got[1] += np.bincount(c["cols"][use], c["weights"][use], width)
-                    if seeds:
-                        who = np.flatnonzero(mine & (np.diff(c["ptr"]) > 0))
-                        for i in who[np.argsort(mark[who], kind="stable")[:SEED_DOCS]]:
-                            s = slice(c["ptr"][i], c["ptr"][i + 1])
-                            got[2].append((int(mark[i]), int(c["ids"][i]), c["cols"][s].tobytes(), c["weights"][s].tobytes()))
-                        got[2] = sorted(got[2])[:SEED_DOCS]
-        yield _packed(acc)
+                place = np.searchsorted(nodes, _descend(c, levels))
+                size = np.diff(c["ptr"])
+                count += np.bincount(place, minlength=len(nodes))
+                key = np.repeat(place, size) * width + c["cols"]
+                total += np.bincount(key, c["weights"], total.size).reshape(total.shape)
+                if not seeds:
+                    continue
+                mark = ((c["ids"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64)
+                limit = np.full(len(nodes), np.iinfo(np.int64).max)
+                for p, held in kept.items():
+                    if len(held) == SEED_DOCS:
+                        limit[p] = held[-1][0]
+                who = np.flatnonzero((nodes[place] >= newest) & (size > 0) & (mark <= limit[place]))
+                who = who[np.lexsort((mark[who], place[who]))]
+                start = np.flatnonzero(np.diff(place[who], prepend=-1))
+                rank = np.arange(len(who)) - np.repeat(start, np.diff(np.append(start, len(who))))
+                for i in who[rank < SEED_DOCS]:
+                    s = slice(c["ptr"][i], c["ptr"][i + 1])
+                    kept.setdefault(int(place[i]), []).append((int(mark[i]), int(c["ids"][i]), c["cols"][s].tobytes(), c["weights"][s].tobytes()))
+                kept = {p: sorted(held)[:SEED_DOCS] for p, held in kept.items()}
+        yield _packed({int(n): (int(count[p]), total[p], kept.get(p, [])) for p, n in enumerate(nodes) if count[p]})
 
     def _packed(acc):
         return pa.RecordBatch.from_pylist(
@@ -507,12 +524,12 @@ def assign_subjects(
     coded = materialize(coded_chunks(chunks, vocabulary, idf), "coded")
     seen = _example_counts(examples, names, vocabulary)
     splits = bisect_documents(coded, width)
-    leaves = _leaves(splits)
-    number = {n: k for k, n in enumerate(leaves)}
+    leaves = np.array(_leaves(splits))
+
+    levels = _prepared(splits)
 
     def by_leaf(c):
-        node = _descend(c, splits)
-        return np.array([number[int(n)] for n in node], np.int64)[_sentence_docs(c)]
+        return np.searchsorted(leaves, _descend(c, levels))[_sentence_docs(c)]
 
     leaf_counts = _count_terms(coded, by_leaf, len(leaves), width)
     labels = label_leaves(leaf_counts, example_weights(seen))
