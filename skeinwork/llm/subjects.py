@@ -479,22 +479,28 @@ def _classify(c: dict[str, np.ndarray], weights: np.ndarray, strict: bool = Fals
     """
     sentences = len(c["sentence_ends"])
     owner = np.repeat(np.arange(sentences), np.diff(np.concatenate([[0], c["sentence_ends"]])))
+    kinds = weights.shape[1]
     strong = np.where(weights > WEAK, weights, 0)
-    use = c["terms"] >= 0
-    use[use] = strong[c["terms"][use]].any(1)  # most terms are no evidence
+    speaks = np.append(strong.any(1), False)  # most terms are no evidence; -1 is the last
+    use = speaks[c["terms"]]
     once = np.unique(owner[use].astype(np.int64) * len(weights) + c["terms"][use])  # a repeated term says no more
     owner, terms = once // len(weights), once % len(weights)
-    score = np.stack([np.bincount(owner, strong[terms, k], sentences) for k in range(weights.shape[1])], 1)
+    said_of = strong[terms]
+    at, kind = np.nonzero(said_of)
+    score = np.bincount(owner[at] * kinds + kind, said_of[at, kind], sentences * kinds).reshape(sentences, kinds)
     doc = _sentence_docs(c)
-    clear = np.where(score >= CLEAR, score, 0)
-    prior = np.stack([np.bincount(doc, clear[:, k], len(c["doc_ends"])) for k in range(weights.shape[1])], 1)
+    docs = len(c["doc_ends"])
+    at, kind = np.nonzero(score >= CLEAR)
+    prior = np.bincount(doc[at] * kinds + kind, score[at, kind], docs * kinds).reshape(docs, kinds)
     prior = (prior / np.maximum(prior.sum(1, keepdims=True), 1e-9))[doc]
     best = (score * (0.25 + prior)).argmax(1) if sentences else np.zeros(0, np.int64)
     row = np.arange(sentences)
     said = score[row, best]
     if strict and sentences:
-        other = np.partition(score, -2, axis=1)[:, -2] if score.shape[1] > 1 else np.zeros(sentences)
-        return np.where((said >= CLEAR) & (other <= 0.5 * said) & (said >= score.max(1)), best, -1)
+        rest = score.copy()
+        rest[row, best] = 0
+        other = rest.max(1)
+        return np.where((said >= CLEAR) & (other <= 0.5 * said), best, -1)
     return np.where((said >= CLEAR) | ((said > WEAK) & (prior[row, best] >= PAGE)), best, -1)
 
 
