@@ -255,13 +255,6 @@ def beneath(spark, d):
     return project.beneath(nodes, nodes.where("fs_type = 'directory'"))
 
 
-def link_extract(spark, d):
-    """Pages named by links inside crawled pages' bytes: every ``href`` of the page."""
-    html = F.decode("raw", "ISO-8859-1")
-    links = table(spark, d, "documents").where("raw is not null").select("doc_id", F.explode(F.regexp_extract_all(html, F.lit('href="([^"]*)"'), 1)).alias("link"))
-    return links.groupBy("doc_id").agg(F.count(F.lit(1)).alias("links"), F.count_if(P.is_uri(F.col("link"))).alias("uris"))
-
-
 def _scalar(column, *more):
     def run(spark, d):
         ends = table(spark, d, "raw_edges").where("target is not null and source is not null")
@@ -341,7 +334,7 @@ QUERIES = {
         lock_edges_snapshot, lock_merge, lock_dropped, unresolved_edge, unresolved_fragment, detached_node, no_baseline,
         policy_apply, check_findings, check_summary, check_sorted, impact_radius, impact_via, betweenness, impact_ranked,
         impact_diagnostics, select_glob, select_subtree, project_nodes, project_fields, project_edges, beneath,
-        link_extract, link_resolve, slugify, one_line, percent_decode, usage_classify, event_pairing, event_coverage,
+        link_resolve, slugify, one_line, percent_decode, usage_classify, event_pairing, event_coverage,
         event_ttl, event_eviction, occupancy, prefix_admission, snapshot_intervals,
     )
 } | {
@@ -362,3 +355,44 @@ QUERIES = {
         ("bare", lambda f: P.without_fragment(f.col("target"))),
     ),
 }
+
+
+def _pages(spark, d):
+    """Markdown pages that hold the links of the ``markdown`` graph, one to a line under a heading."""
+    said = table(spark, d, "raw_edges").where("graph = 'markdown' and source is not null and target is not null and target <> ''")
+    links = said.select("source", F.concat(F.lit("/"), F.regexp_replace("target", r"[^A-Za-z0-9_/.:#-]", "-")).alias("to")).distinct()
+    body = F.array_join(F.transform(F.array_sort(F.collect_list("to")), lambda t: F.concat(F.lit("- [link]("), t, F.lit(")"))), "\n")
+    return links.groupBy(F.col("source").alias("path")).agg(F.concat(F.lit("# Links\n\n"), body, F.lit("\n")).alias("text"))
+
+
+def markdown_links(spark, d):
+    """Links and lines read back from pages."""
+    from ..functions import markdown
+
+    return markdown.parse_pages(_pages(spark, d)).select("path", F.posexplode("links").alias("pos", "l")).select(
+        "path", F.col("pos").cast("long").alias("pos"), F.col("l.target").alias("target"), F.col("l.line").alias("line")
+    )
+
+
+def frontmatter_links(spark, d):
+    """Declared links and lines read back from pages whose metadata holds the ``frontmatter`` graph's."""
+    from ..functions import frontmatter
+
+    said = table(spark, d, "raw_edges").where("graph = 'frontmatter' and source is not null and target is not null and target <> ''")
+    body = F.array_join(F.transform(F.array_sort(F.collect_set("target")), lambda t: F.concat(F.lit("  - '"), F.replace(P.one_line(t), F.lit("'"), F.lit("''")), F.lit("'"))), "\n")
+    pages = said.groupBy(F.col("source").alias("path")).agg(F.concat(F.lit("---\npurpose: notes\nsources:\n"), body, F.lit("\n---\n# Page\n")).alias("text"))
+    read = frontmatter.parse_pages(pages, ["sources"])
+    return read.select("path", F.explode("links").alias("l")).select("path", F.col("l.target").alias("target"), F.col("l.line").alias("line"))
+
+
+def built_edges(spark, d):
+    """Edges of a whole build: entries from pages, hashed, parsed, resolved and aggregated."""
+    from ..operators import build
+    from ..sources.config import Config, GraphConfig
+
+    entries = _pages(spark, d).select("path", F.lit("file").alias("kind"), F.col("text").cast("binary").alias("content"), F.lit(None).cast("string").alias("link_target"))
+    built = build.build(entries, Config(graphs=[GraphConfig("markdown", "markdown", ["**"])]))
+    return built.edges.where("graph = 'markdown'").select("source", "target", F.size("occurrences").cast("long").alias("n"))
+
+
+QUERIES |= {f.__name__: f for f in (markdown_links, frontmatter_links, built_edges)}

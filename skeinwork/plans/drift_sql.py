@@ -296,3 +296,17 @@ select path, min(i) as from_idx, max(i) as to_idx from g group by path, island""
 from documents where text is not null""",
     "one_line": r"""select distinct path, replace(replace(replace(path, chr(10), '\n'), chr(13), '\r'), chr(9), '\t') as line from nodes where path is not null""",
 }
+
+_SAID = r"""
+said as (
+  select distinct source, '/' || regexp_replace(target, '[^A-Za-z0-9_/.:#-]', '-', 'g') as t from raw_edges
+  where graph = 'markdown' and source is not null and target is not null and target <> '')"""
+ORACLES |= {
+    "markdown_links": f"""with {_SAID}
+select source as path, row_number() over (partition by source order by t) - 1 as pos, t as target,
+  row_number() over (partition by source order by t) + 2 as line from said""",
+    "frontmatter_links": r"""
+with said as (select distinct source, replace(replace(replace(target, chr(10), '\n'), chr(13), '\r'), chr(9), '\t') as t, target as raw from raw_edges
+  where graph = 'frontmatter' and source is not null and target is not null and target <> '')
+select source as path, t as target, row_number() over (partition by source order by raw) + 3 as line from said""",
+}
