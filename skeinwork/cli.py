@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import build, graph, impact, project, rules
-from .session import materialize
+from .session import materialize, ship_package
 from .sources import config, jgf, lockfile, tree
 
 #: Exit codes: nothing wrong, findings of severity error, wrong use.
@@ -165,6 +165,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=s
         if args.command in ("nodes", "edges") and args.all == bool(args.paths):
             raise UsageError(f"{args.command} takes either selectors or --all")
         spark = spark or SparkSession.builder.appName("skeinwork").getOrCreate()
+        ship_package(spark)
         run, code = Run(spark, root), CLEAN
         if args.command == "check":
             lines, code = check(run)
