@@ -33,13 +33,15 @@ VOCABULARY = 16_384
 LEAST_SHARE, MOST_SHARE = 2e-5, 0.5
 #: Levels of the tree, and the share of all documents' spread (squared distance to their centre) under which
 #: a node stays a leaf, so that the number of leaves is bounded by its inverse.
-DEPTH, LEAST_SPREAD = 10, 0.007
+DEPTH, LEAST_SPREAD = 16, 0.004
+#: A split that lowers its node's spread by a smaller share than this, plus what chance gives a node of few
+#: documents, told nothing: its halves are leaves. Where it only split off odd documents, under the last share
+#: of the node, the rest is tried again.
+LEAST_GAIN, CHANCE, OUTLIERS = 0.02, 6.0, 0.05
 #: Documents of a node by which the two starting points of its split are found.
-SEED_DOCS = 48
+SEED_DOCS = 192
 #: Pairs of these from which a split is started.
 STARTS = 12
-#: Passes over all documents for each level.
-PASSES = 2
 #: A page has a subject from this share of its sentences.
 LEAST_MIX = 0.2
 #: Evidence (log-ratio) from which a term counts, and from which a sentence speaks for itself; below
@@ -233,15 +235,13 @@ def _descend(c: dict[str, np.ndarray], levels: list[tuple[np.ndarray, np.ndarray
     return node
 
 
-def _sums(chunks: DataFrame, splits: list, width: int, seeds: bool) -> dict[int, tuple[int, np.ndarray, list]]:
-    """Of each node: documents, sum of vectors, and its documents of smallest hash (for starting points).
+def _sums(chunks: DataFrame, splits: list, width: int) -> dict[int, tuple[int, np.ndarray, list]]:
+    """Of each node of the last level: documents, sum of vectors, and its documents of smallest hash.
 
     Tasks add up what they read and send one row a node; the second step adds rows as they stream by.
-    Starting points are kept for nodes of the last level only, as no other is split again.
     """
     levels = _prepared(splits)
-    nodes = np.array(_leaves(splits))
-    newest = 2 ** len(splits)
+    nodes = np.array([n for n in _leaves(splits) if n >= 2 ** len(splits)])
     shared = chunks.sparkSession.sparkContext.broadcast((levels, nodes))  # bounded by nodes x vocabulary
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,19 +251,20 @@ def _sums(chunks: DataFrame, splits: list, width: int, seeds: bool) -> dict[int,
         kept: dict[int, list] = {}
         for batch in batches:
             for c in _arrays(batch, _OUT):
-                place = np.searchsorted(nodes, _descend(c, levels))
+                node = _descend(c, levels)
+                live = node >= nodes[0]
+                place = np.searchsorted(nodes, node)
                 size = np.diff(c["ptr"])
-                count += np.bincount(place, minlength=len(nodes))
-                key = np.repeat(place, size) * width + c["cols"]
-                total += np.bincount(key, c["weights"], total.size).reshape(total.shape)
-                if not seeds:
-                    continue
+                count += np.bincount(place[live], minlength=len(nodes))
+                use = np.repeat(live, size)
+                key = np.repeat(place[live], size[live]) * width + c["cols"][use]
+                total += np.bincount(key, c["weights"][use], total.size).reshape(total.shape)
                 mark = ((c["ids"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64)
-                limit = np.full(len(nodes), np.iinfo(np.int64).max)
+                limit = np.full(len(nodes) + 1, np.iinfo(np.int64).max)
                 for p, held in kept.items():
                     if len(held) == SEED_DOCS:
                         limit[p] = held[-1][0]
-                who = np.flatnonzero((nodes[place] >= newest) & (size > 0) & (mark <= limit[place]))
+                who = np.flatnonzero(live & (size > 0) & (mark <= limit[place]))
                 who = who[np.lexsort((mark[who], place[who]))]
                 start = np.flatnonzero(np.diff(place[who], prepend=-1))
                 rank = np.arange(len(who)) - np.repeat(start, np.diff(np.append(start, len(who))))
@@ -313,7 +314,7 @@ def _start(seeds: list, width: int) -> np.ndarray | None:
     for k, s in enumerate(seeds):
         x[k, np.frombuffer(s["c"], np.int32)] = np.frombuffer(s["w"], np.float32)
     like = x @ x.T
-    best, way = -1.0, None
+    best, way = -np.inf, None
     for a in range(0, len(seeds), max(1, len(seeds) // STARTS)):
         b = int(np.argmin(like[a]))
         if like[a, b] > 0.999:
@@ -325,37 +326,55 @@ def _start(seeds: list, width: int) -> np.ndarray | None:
                 break
             p, q = _unit(x[~side].sum(0)), _unit(x[side].sum(0))
         else:
-            gain = float((x[~side] @ p).sum() + (x[side] @ q).sum())
+            small = min(side.sum(), len(side) - side.sum())
+            gain = float((x[~side] @ p).sum() ** 2 / (~side).sum() + (x[side] @ q).sum() ** 2 / side.sum())
+            gain -= len(x) * (small < OUTLIERS * len(x))  # a few odd documents are split off only if nothing else can be
             if gain > best:
                 best, way = gain, (q - p).astype(np.float32)
     return way
 
 
 def bisect_documents(chunks: DataFrame, width: int) -> list[dict[int, tuple[np.ndarray, float]]]:
-    """Bisecting k-means over all documents: for each level the direction that splits each of its nodes."""
+    """Bisecting k-means over all documents: for each level the direction that splits each of its nodes.
+
+    A pass assigns all documents by the directions so far. Its centres move the last level's directions,
+    which hold from the next pass on, and its samples start the next level's.
+    """
     splits: list[dict] = []
-    state = _sums(chunks, splits, width, True)
+    state = _sums(chunks, splits, width)
+    spread = _spreads(state)
+    everything = sum(spread.values())
+    done: set[int] = set()
     for _ in range(DEPTH):
-        spread = {n: docs - float(np.linalg.norm(total)) ** 2 / max(docs, 1) for n, (docs, total, _) in state.items()}
-        everything = sum(spread.values())
         level = {}
         for node, (docs, _, seeds) in sorted(state.items()):
-            if node >= 2 ** len(splits) and docs > 1 and spread[node] >= LEAST_SPREAD * everything:
+            if node not in done and docs > 1 and spread[node] >= LEAST_SPREAD * everything:
                 way = _start(seeds, width)
                 if way is not None:
                     level[node] = (way, 0.0)
         if not level:
             break
         splits.append(level)
-        for turn in range(PASSES):
-            state = _sums(chunks, splits, width, turn == PASSES - 1)
-            if turn < PASSES - 1:
-                for node in list(level):
-                    if 2 * node in state and 2 * node + 1 in state:
-                        level[node] = ((_unit(state[2 * node + 1][1]) - _unit(state[2 * node][1])).astype(np.float32), 0.0)
+        docs_of = {n: state[n][0] for n in level}
+        state = _sums(chunks, splits, width)
+        for node in level:
+            if 2 * node in state and 2 * node + 1 in state:
+                level[node] = ((_unit(state[2 * node + 1][1]) - _unit(state[2 * node][1])).astype(np.float32), 0.0)
+        below = _spreads(state)
+        for node in level:
+            halves = {n: state[n][0] for n in (2 * node, 2 * node + 1) if n in state}
+            if 1 - sum(below[n] for n in halves) / spread[node] < LEAST_GAIN + CHANCE / docs_of[node]:
+                few = OUTLIERS * sum(halves.values())
+                done |= {n for n in halves if min(halves.values()) > few or halves[n] <= few}
+        spread = below
     return splits
 
 
+def _spreads(state: dict[int, tuple[int, np.ndarray, list]]) -> dict[int, float]:
+    """Sum of squared distances of each node's documents to their centre."""
+    return {n: docs - float(np.linalg.norm(total)) ** 2 / max(docs, 1) for n, (docs, total, _) in state.items()}
+
+
 def _count_terms(chunks: DataFrame, assign, groups: int, width: int) -> np.ndarray:
     """Counts of terms by group over all sentences: groups x width. ``assign`` gives each sentence's group or -1."""
 
