@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 import os
 import sys
 
@@ -26,8 +27,8 @@ class UsageError(ValueError):
 class Run:
     """One command's view of a tree: configuration, composed graph, lock."""
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root
+    def __init__(self, spark: SparkSession, root: str, at: str) -> None:
+        self.spark, self.root, self.at = spark, root, at
         self.config = config.load(root)
         entries = materialize(tree.read_tree(spark, root, self.config.ignore), "entries")
         self.built = build.build(entries, self.config)
@@ -55,6 +56,22 @@ class Run:
         found = found.unionByName(rules.unresolved_fragments(self.nodes, self.links)).unionByName(rules.detached_nodes(self.nodes, self.edges))
         return rules.apply_policy(found, severities, ignore)
 
+    def namespaces(self, asked: list[str] | None) -> list[str] | None:
+        try:
+            return project.namespaces(asked, [g.name for g in self.config.graphs])
+        except ValueError as e:
+            raise UsageError(str(e)) from e
+
+    def keys(self, paths: list[str]) -> list[str]:
+        """Paths as given, from the directory they were given in, as keys of the graph."""
+        out = []
+        for p in paths:
+            key = p if project.has_glob(p) else project.graph_key(p, os.path.abspath(self.at), os.path.abspath(self.root))
+            if key is None:
+                raise UsageError(f"{p} lies outside of the graph")
+            out.append(key)
+        return out
+
     def select(self, selectors: list[str]) -> DataFrame:
         chosen = project.select_nodes(self.nodes, selectors)
         for s in selectors:
@@ -104,15 +121,19 @@ def lock(run: Run, paths: list[str], everything: bool) -> tuple[list[str], int]:
 
 
 def show_nodes(run: Run, args) -> list[str]:
+    wanted = run.namespaces(args.namespace)
     chosen = run.nodes if args.all else run.select(args.paths)
-    kept = project.project_nodes(chosen, args.namespace, args.field)
-    rows = kept.select("path", F.to_json("blocks").alias("text")).orderBy("path").toLocalIterator()
-    return [f"{r['path']}\t{r['text']}" for r in rows]
+    kept = project.project_nodes(chosen, wanted, args.field)
+    if args.json:
+        rows = kept.select("path", F.to_json("blocks").alias("text")).orderBy("path").toLocalIterator()
+        return [json.dumps({"path": r["path"], "metadata": {k: json.loads(v) for k, v in json.loads(r["text"] or "{}").items()}}, ensure_ascii=False) for r in rows]
+    return [r["text"] for r in project.text_lines(kept).orderBy("path").toLocalIterator()]
 
 
 def show_edges(run: Run, args) -> list[str]:
+    wanted = run.namespaces(args.namespace)
     sources = None if args.all else run.select(args.paths).select("path")
-    kept = project.project_edges(run.edges, sources, args.namespace)
+    kept = project.project_edges(run.edges, sources, wanted)
     return [f"{r['source']} -> {r['target']}" for r in kept.select("source", "target").orderBy("source", "target").toLocalIterator()]
 
 
@@ -129,12 +150,21 @@ def show_impact(run: Run, args) -> list[str]:
     return [f"{r['node']} (depth {r['depth']}, reach {r['impact_radius']}): {r['fix']}" for r in out.toLocalIterator()]
 
 
+def guide() -> str:
+    """What the commands, rules and hints are, from the definitions that they run by."""
+    p = parser()
+    commands = next(a for a in p._actions if isinstance(a, argparse._SubParsersAction)).choices
+    out = ["# Commands", *(f"- {name}: {' '.join(sub.format_usage().split()[1:])}" for name, sub in commands.items())]
+    out += ["", "# Rules", *(f"- {r}" for r in config.RULES), "", "# Severities", ", ".join(config.SEVERITIES), "", "# Exit codes"]
+    return "\n".join([*out, f"{CLEAN} clean, {VIOLATIONS} findings of severity error, {USAGE} wrong use", ""])
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="skeinwork")
     p.add_argument("-C", dest="root", default=".")
     p.add_argument("--max-bytes", type=int)
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("check", "graph", "init"):
+    for name in ("check", "graph", "init", "guide"):
         sub.add_parser(name)
     for name in ("nodes", "edges"):
         s = sub.add_parser(name)
@@ -143,6 +173,7 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--namespace", action="append")
         if name == "nodes":
             s.add_argument("--field", action="append")
+            s.add_argument("--json", action="store_true")
     s = sub.add_parser("impact")
     s.add_argument("paths", nargs="+")
     s.add_argument("--depth", default="1")
@@ -159,6 +190,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=s
         if args.command == "init":
             print(config.init(args.root), file=out)
             return CLEAN
+        if args.command == "guide":
+            out.write(guide())
+            return CLEAN
         root = config.find_root(args.root)
         if root is None:
             raise UsageError("no configuration here or above; write one with init")
@@ -166,7 +200,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=s
             raise UsageError(f"{args.command} takes either selectors or --all")
         spark = spark or SparkSession.builder.appName("skeinwork").getOrCreate()
         ship_package(spark)
-        run, code = Run(spark, root), CLEAN
+        run, code = Run(spark, root, args.root), CLEAN
+        if getattr(args, "paths", None):
+            args.paths = run.keys(args.paths)
         if args.command == "check":
             lines, code = check(run)
         elif args.command == "lock":

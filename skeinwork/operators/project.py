@@ -127,3 +127,65 @@ def ancestors(path: Column) -> Column:
     return F.when(
         n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
     ).otherwise(F.array().cast("array<string>"))
+
+
+def metadata_lines(value, indent: int = 0) -> list[str]:
+    """Metadata as text: one line a field, lists as ``- `` items, an empty entry as ``- {}``; controls escaped."""
+    pad = "  " * indent
+    out = []
+    for key in sorted(value):
+        inner = value[key]
+        if isinstance(inner, dict):
+            out += [f"{pad}{_shown(key)}:", *metadata_lines(inner, indent + 1)]
+        elif isinstance(inner, list):
+            out.append(f"{pad}{_shown(key)}:" + ("" if inner else " []"))
+            for item in inner:
+                if isinstance(item, dict):
+                    lines = metadata_lines(item, indent + 2) or ["{}"]
+                    out += [f"{pad}  - {lines[0].strip()}", *lines[1:]]
+                else:
+                    out.append(f"{pad}  - {_shown(item)}")
+        else:
+            out.append(f"{pad}{_shown(key)}: {_shown(inner)}")
+    return out
+
+
+def _shown(value) -> str:
+    if isinstance(value, str) and value and not any(ord(c) < 32 or 127 <= ord(c) < 160 for c in value):
+        return value
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
+def text_lines(nodes: DataFrame) -> DataFrame:
+    """``path, text`` of projected nodes (path, blocks): the path, then its metadata, in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def run(paths: pd.Series, blocks: pd.Series) -> pd.Series:
+        def one(path, text):
+            held = {k: json.loads(v) for k, v in json.loads(text).items()} if text else {}
+            return "\n".join([_shown(path), *metadata_lines(held, 1)])
+
+        return pd.Series([one(p, t) for p, t in zip(paths, blocks)])
+
+    return nodes.select("path", run("path", F.to_json("blocks")).alias("text"))
+
+
+def graph_key(path: str, cwd: str, root: str) -> str | None:
+    """A path given on the command line as a key: relative to where it was given, None outside the root."""
+    whole = posixpath.normpath(posixpath.join(cwd, path))
+    top = posixpath.normpath(root)
+    if whole == top:
+        return "."
+    return whole[len(top.rstrip("/")) + 1 :] if whole.startswith(top.rstrip("/") + "/") else None
+
+
+def namespaces(asked: list[str] | None, declared: list[str]) -> list[str] | None:
+    """Namespaces with ``@``, each once and declared; None asks for all."""
+    if asked is None:
+        return None
+    known = {"@fs", *("@" + d for d in declared)}
+    out = list(dict.fromkeys(a if a.startswith("@") else "@" + a for a in asked))
+    for name in out:
+        if name not in known:
+            raise ValueError(f"{name} is no graph here; there are {', '.join(sorted(known))}")
+    return out

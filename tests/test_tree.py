@@ -69,7 +69,7 @@ def test_check_lock_and_drift(spark, site):
 
 def test_reads(spark, site):
     assert run(spark, site, "edges", "docs/a.md", "--namespace", "front")[1] == "docs/a.md -> setup.md\n"
-    assert '"@front"' in run(spark, site, "nodes", "docs", "--namespace", "front")[1]
+    assert '@front:' in run(spark, site, "nodes", "docs", "--namespace", "front")[1]
     code, out, _ = run(spark, site, "impact", "setup.md", "--depth", "all")
     assert code == 0 and out.startswith("docs/a.md (depth 1")
     assert run(spark, site, "impact", "none.md")[0] == 2 and run(spark, site, "nodes")[0] == 2
@@ -77,6 +77,11 @@ def test_reads(spark, site):
     assert code == 0 and out.startswith('{"graph"')
     assert run(spark, site, "--max-bytes", str(len(out.encode())), "graph")[0] == 0
     assert run(spark, site, "--max-bytes", str(len(out.encode()) - 1), "graph")[0] == 2
+    code, out, _ = run(spark, site, "nodes", "docs/a.md", "--json")
+    assert code == 0 and '"sources": ["../setup.md"]' in out
+    assert "    sources:\n      - ../setup.md" in run(spark, site, "nodes", "docs/a.md", "--namespace", "@front")[1]
+    assert run(spark, site, "nodes", "docs/a.md", "--namespace", "none")[0] == 2 and run(spark, site, "nodes", "../x")[0] == 2
+    assert run(spark, site / "docs", "edges", "a.md", "--namespace", "front")[1] == "docs/a.md -> setup.md\n"
     assert "did you mean docs/a.md" in run(spark, site, "nodes", "a")[2]
 
 
@@ -108,3 +113,18 @@ def test_lock_file_round_trip(spark, tmp_path):
             lockfile.parse(bad)
     lockfile.write_tables(spark.createDataFrame(nodes, lockfile.NODES), spark.createDataFrame(edges, lockfile.EDGES), str(tmp_path))
     assert rows(lockfile.read_tables(spark, str(tmp_path))[0]) == sorted(nodes, key=lambda t: tuple((x is not None, str(x)) for x in t))
+
+
+def test_guide_and_init(spark, tmp_path):
+    code, out, _ = run(spark, tmp_path, "guide")
+    assert code == 0 and all(r in out for r in config.RULES)
+    assert run(spark, tmp_path, "init")[0] == 0 and run(spark, tmp_path, "init")[0] == 2
+    assert config.load(str(tmp_path)).graphs[0].name == "markdown"
+    assert run(spark, tmp_path, "check")[0] == 0
+
+
+def test_text_layout():
+    from skeinwork.operators.project import graph_key, metadata_lines
+
+    assert metadata_lines({"b": [{"x": 1, "y": "a\nb"}, {}, 2], "a": {"c": None}}) == ["a:", "  c: null", "b:", "  - x: 1", '    y: "a\\nb"', "  - {}", "  - 2"]
+    assert graph_key("../a", "/r/d", "/r") == "a" and graph_key("..", "/r/d", "/r") == "." and graph_key("/x", "/r", "/r") is None
