@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, reread, write_shared
 
 
 def steps(edges: DataFrame, direction: str) -> DataFrame:
@@ -25,34 +25,30 @@ def search(edges: DataFrame, seeds: DataFrame, direction: str = "inbound", depth
     join of the frontier with the hops, less what was visited, written before the next; cycles end.
     """
     hops = steps(edges, direction).where("at <> next")
-    first = seeds.select(F.col("path").alias("node")).distinct()
-    frontier = materialize(first.select("node", F.col("node").alias("order")), "seeds")
-    visited = frontier.select("node")
-    levels: list[DataFrame] = []
+    spark = edges.sparkSession
+    columns = ["node", "via", "depth", "lines", "order"]
+    first = seeds.select(F.col("path").alias("node")).distinct().select(
+        "node", F.col("node").alias("via"), F.lit(0).alias("depth"), F.lit(None).cast("array<bigint>").alias("lines"), F.col("node").alias("order")
+    )
+    written = [write_shared(first, "level")]
     level = 0
     while depth is None or level < depth:
         level += 1
-        found = frontier.join(hops, F.col("node") == F.col("at")).select(
+        front = reread(spark, written[-1]).select("node", "order")
+        found = front.join(hops, F.col("node") == F.col("at")).select(
             F.col("next"), F.struct("order", "way", F.col("node").alias("via")).alias("k"), "lines"
         )
         # the least key is the parent discovered first; min_by combines before the shuffle
         best = found.groupBy("next").agg(F.min("k").alias("k"), F.min_by("lines", "k").alias("lines"))
+        visited = reread(spark, *written).select("node")
         fresh = best.join(visited, F.col("next") == F.col("node"), "left_anti").select(
             F.col("next").alias("node"), F.col("k.via").alias("via"), F.lit(level).alias("depth"), "lines",
             F.concat_ws("\u0001", F.col("k.order"), F.col("k.way").cast("string"), F.col("next")).alias("order"),
-        )
-        fresh = materialize(fresh, "level")
-        if fresh.isEmpty():
+        ).select(*columns)
+        written.append(write_shared(fresh, "level"))
+        if reread(spark, written[-1]).isEmpty():
             break
-        levels.append(fresh)
-        visited = visited.unionByName(fresh.select("node"))
-        frontier = fresh.select("node", "order")
-    if not levels:
-        return frontier.limit(0).select("node", F.col("node").alias("via"), F.lit(0).alias("depth"), F.lit(None).cast("array<bigint>").alias("lines"))
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.unionByName(x)
-    return out.drop("order")
+    return reread(spark, *written).where("depth > 0").drop("order")
 
 
 def reach_counts(edges: DataFrame, of: DataFrame) -> DataFrame:
@@ -63,14 +59,15 @@ def reach_counts(edges: DataFrame, of: DataFrame) -> DataFrame:
     """
     back = edges.select(F.col("target").alias("at"), F.col("source").alias("next")).distinct()
     asked = of.select("node").distinct()
-    known = materialize(asked.select("node", F.col("node").alias("reached")), "reach")
-    fresh = known
+    spark = edges.sparkSession
+    written = [write_shared(asked.select("node", F.col("node").alias("reached")), "reach")]
     while True:
+        fresh = reread(spark, written[-1])
         step = fresh.join(back, F.col("reached") == F.col("at")).select("node", F.col("next").alias("reached")).distinct()
-        fresh = materialize(step.join(known, ["node", "reached"], "left_anti"), "reach")
-        if fresh.isEmpty():
+        written.append(write_shared(step.join(reread(spark, *written), ["node", "reached"], "left_anti"), "reach"))
+        if reread(spark, written[-1]).isEmpty():
             break
-        known = known.unionByName(fresh)
+    known = reread(spark, *written)
     return known.groupBy("node").agg((F.count(F.lit(1)) - 1).alias("impact_radius"))
 
 
