@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .dedup import hex_identity, kept_deliveries
 
 #: Bounds of the store.
@@ -91,10 +92,7 @@ def running_totals(rows: DataFrame, order: list[Column], values: list[str], buck
     """
     named = rows.select("*", *[o.alias(f"__o{i}") for i, o in enumerate(order)])
     keys = [F.col(f"__o{i}") for i in range(len(order))]
-    parted = named.repartitionByRange(buckets, *keys).withColumn("__b", F.spark_partition_id())
-    from ..session import materialize
-
-    parted = materialize(parted, "ranges")
+    parted = materialize(named.repartitionByRange(buckets, *keys).withColumn("__b", F.spark_partition_id()), "ranges")
     w = Window.partitionBy("__b").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     inside = parted
     for v in values:
@@ -110,10 +108,9 @@ def running_totals(rows: DataFrame, order: list[Column], values: list[str], buck
 
 def eviction(covered: DataFrame, byte_limit: int, file_limit: int) -> DataFrame:
     """Groups to evict, oldest known first, then the unknown by id, until what is left fits both limits."""
-    total = covered.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("all_bytes"), F.coalesce(F.sum("files"), F.lit(0)).alias("all_files"))
-    summed = running_totals(covered, [F.col("last").isNull(), F.col("last"), F.col("id")], ["bytes", "files"])
-    sized = summed.join(F.broadcast(total))  # one row
-    still = (F.col("all_bytes") - F.col("before_bytes") > byte_limit) | (F.col("all_files") - F.col("before_files") > file_limit)
+    total = covered.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.sum("files"), F.lit(0)).alias("files")).first()
+    sized = running_totals(covered, [F.col("last").isNull(), F.col("last"), F.col("id")], ["bytes", "files"])
+    still = (F.lit(total["bytes"]) - F.col("before_bytes") > byte_limit) | (F.lit(total["files"]) - F.col("before_files") > file_limit)
     return sized.where(still).select("id", "bytes", "files")
 
 
