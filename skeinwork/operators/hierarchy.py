@@ -109,7 +109,7 @@ def _resolve(gone: DataFrame, known: DataFrame, kind: int, paths: bool) -> DataF
     """Root, depth, size and cycle state of one round's removed nodes, from those of the nodes that went later."""
     above = known.select(
         F.col("v").alias("__p"), F.col("root").alias("__root"), F.col("depth").alias("__depth"),
-        F.col("cyc").alias("__pcyc"), *([F.col("path").alias("__path")] if paths else []),
+        F.col("cyc").alias("__pcyc"), *([F.col("path").alias("__path"), F.col("turn").alias("__turn")] if paths else []),
     )
     hung = gone.join(above, F.col("p") == F.col("__p"))
     looped, total = F.lit(False), F.lit(0)
@@ -117,13 +117,15 @@ def _resolve(gone: DataFrame, known: DataFrame, kind: int, paths: bool) -> DataF
         below = known.select(F.col("v").alias("__c"), F.col("total").alias("__total"), F.col("cyc").alias("__ccyc"))
         hung = hung.join(below, F.col("c") == F.col("__c"))
         looped, total = F.col("__ccyc") == 2, F.col("__total")
+    depth = F.col("__depth") + F.col("w")
     return hung.select(
         "v",
         F.col("__root").alias("root"),
-        (F.col("__depth") + F.col("w")).alias("depth"),
+        depth.alias("depth"),
         F.when(looped, total).otherwise(F.col("base") + total).cast("long").alias("total"),
         F.when(looped, 2).when(F.col("__pcyc") > 0, 1).otherwise(0).alias("cyc"),
-        *([F.concat("__path", "mid", F.array("v")).alias("path")] if paths else []),
+        # a loop is met at the parent's turn, as only loop nodes are spliced out of it
+        *([F.concat("__path", "mid", F.array("v")).alias("path"), F.when(looped, depth).otherwise(F.col("__turn")).alias("turn")] if paths else []),
     )
 
 
@@ -132,8 +134,10 @@ def hierarchy(links: DataFrame, paths: bool = False) -> DataFrame:
 
     Result: node, root, depth, impact_radius (other nodes that reach it), cyclic (2 on a loop, 1 if
     the way up ends in one, else 0), and with ``paths`` the nodes from the root down to this one.
-    Where cyclic is not 0, root is empty, depth -1 and the path null. ``links`` must have one row per
-    node and no parent that is not a node (see ``current_parents``); an empty table gives no rows.
+    Where cyclic is not 0, root is empty, depth -1 and the path null; ``paths`` then gives instead
+    ``way``, the nodes down from the core of the loop, and ``turn``, the steps of it that lie on the
+    loop. ``links`` must have one row per node and no parent that is not a node (see
+    ``current_parents``); an empty table gives no rows.
     """
     spark = links.sparkSession
     rounds = contract(links, paths)
@@ -145,7 +149,7 @@ def hierarchy(links: DataFrame, paths: bool = False) -> DataFrame:
                 "v", F.when(~core, F.col("v")).alias("root"), F.lit(0).cast("long").alias("depth"),
                 (F.col("sz") + F.when(core, F.col("x")).otherwise(0)).alias("total"),
                 F.when(core, 2).otherwise(0).alias("cyc"),
-                *([F.array("v").alias("path")] if paths else []),
+                *([F.array("v").alias("path"), F.lit(0).cast("long").alias("turn")] if paths else []),
             ),
             "resolved",
         )
@@ -164,15 +168,24 @@ def hierarchy(links: DataFrame, paths: bool = False) -> DataFrame:
         F.when(tree, F.col("depth")).otherwise(-1).cast("long").alias("depth"),
         (F.col("total") - 1).alias("impact_radius"),
         F.col("cyc").cast("long").alias("cyclic"),
-        *([F.when(tree, F.col("path")).alias("path")] if paths else []),
+        *([F.when(tree, F.col("path")).alias("path"), F.when(~tree, F.col("path")).alias("way"), F.when(~tree, F.col("turn")).alias("turn")] if paths else []),
     )
 
 
 def descendants(tree: DataFrame) -> DataFrame:
-    """All pairs of an ancestor and a node below it, with the steps between: from ``hierarchy(paths=True)``.
+    """All pairs of an ancestor and another node below it, with the fewest steps between: from ``hierarchy(paths=True)``.
 
-    The output is the closure itself; each node's path is read once and nothing is shuffled. Nodes on
-    or below a loop have no path and give no pairs.
+    Pairs per ancestor are its impact_radius. The output is the closure itself; each node's path is read
+    once. Above a node on or below a loop come its way down from the loop's core and then, further up, the
+    loop's members that the way leaves out: these are joined to it by core, one row a loop.
     """
-    up = tree.where("path is not null").select("node", "depth", F.posexplode("path").alias("at", "ancestor"))
-    return up.where("at < depth").select("ancestor", F.col("node").alias("descendant"), (F.col("depth") - F.col("at")).cast("long").alias("steps"))
+    looped = tree.where("cyclic > 0").select("node", "cyclic", "way", "turn", F.col("way")[0].alias("core"))
+    loops = looped.where("cyclic = 2").groupBy("core").agg(
+        F.array_sort(F.collect_list(F.struct("turn", "node")))["node"].alias("members")
+    )
+    left_out = F.slice("members", F.col("turn").cast("int") + 2, F.size("members"))
+    above = tree.where("path is not null").select("node", F.col("path").alias("above")).unionByName(
+        looped.join(loops, "core").select("node", F.concat(left_out, "way").alias("above"))
+    )
+    up = above.select("node", F.size("above").alias("__n"), F.posexplode("above").alias("at", "ancestor"))
+    return up.where("at < __n - 1").select("ancestor", F.col("node").alias("descendant"), (F.col("__n") - 1 - F.col("at")).cast("long").alias("steps"))

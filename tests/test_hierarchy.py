@@ -72,3 +72,20 @@ def test_descendants(spark):
     edges = spark.createDataFrame([(1, "outline", "b", "a", T0), (2, "outline", "c", "b", T0), (3, "outline", "l", "l", T0)], SCHEMA)
     tree = hierarchy.hierarchy(hierarchy.current_parents(edges), paths=True)
     assert rows(hierarchy.descendants(tree)) == [("a", "b", 1), ("a", "c", 2), ("b", "c", 1)]
+
+
+def test_descendants_on_and_below_loops(spark):
+    parents = {"x": "y", "y": "z", "z": "x", "t1": "x", "t2": "t1", "me": "me", "on": "me", "b": "a", "p": "q", "q": "p"}
+    parents |= {f"l{i}": f"l{(i + 1) % 17}" for i in range(17)} | {f"h{i}": f"l{i % 5}" for i in range(9)} | {f"d{i}": f"d{i + 1}" for i in range(12)} | {"d12": "l7"}
+    edges = spark.createDataFrame([(i, "outline", s, t, T0) for i, (s, t) in enumerate(parents.items())], SCHEMA)
+    want = []
+    for v in {**parents, "a": None}:
+        seen, at = [v], parents.get(v)
+        while at is not None and at not in seen:
+            want.append((at, v, len(seen)))
+            seen.append(at)
+            at = parents.get(at)
+    tree = hierarchy.hierarchy(hierarchy.current_parents(edges), paths=True)
+    got = rows(hierarchy.descendants(tree), "ancestor", "descendant", "steps")
+    assert got == sorted(want, key=lambda t: tuple((True, str(x)) for x in t))
+    assert Counter(a for a, _, _ in got) == {r.node: r.impact_radius for r in tree.collect() if r.impact_radius}
