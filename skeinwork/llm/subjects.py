@@ -2,8 +2,9 @@
 
 1. Every page is cut to its own body: lines that end as sentences do, cut into sentences.
 2. Document frequencies of all terms, over all documents, give a vocabulary and tf-idf vectors of length 1.
-3. Bisecting k-means splits all documents level by level; every pass reads every document. Only the two
-   starting points of a split come from a bounded sample of its node.
+3. Bisecting k-means splits all documents level by level; every pass reads every document, and a level's
+   passes go on until its centres settle. Only the two starting points of a split come from a bounded
+   sample of its node, or, where that is all alike, from its document farthest from the centre.
 4. Each leaf's discriminative terms are compared with those of the labelled examples of each subject:
    a leaf takes the subject that they speak for, or none.
 5. The term rates of labelled leaves, over all documents, make term weights for each subject. Sentences
@@ -40,6 +41,8 @@ DEPTH, LEAST_SPREAD = 16, 0.004
 LEAST_GAIN, CHANCE, OUTLIERS = 0.02, 6.0, 0.05
 #: Documents of a node by which the two starting points of its split are found.
 SEED_DOCS = 192
+#: The two centres of a node have settled once a pass lowers its spread by no more than this share.
+SETTLED = 1e-4
 #: Pairs of these from which a split is started.
 STARTS = 12
 #: A page has a subject from this share of its sentences.
@@ -334,11 +337,50 @@ def _start(seeds: list, width: int) -> np.ndarray | None:
     return way
 
 
+def _farthest(chunks: DataFrame, splits: list, centres: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """Of each node of ``centres`` the vector of its document least like its centre, ties by id."""
+    width = len(next(iter(centres.values())))
+    shared = chunks.sparkSession.sparkContext.broadcast((_prepared(splits), centres))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels, centres = shared.value
+        held: dict[int, tuple] = {}
+        for batch in batches:
+            for c in _arrays(batch, _OUT):
+                node = _descend(c, levels)
+                size = np.diff(c["ptr"])
+                rows = np.repeat(np.arange(len(node)), size)
+                for n, centre in centres.items():
+                    mine = np.flatnonzero((node == n) & (size > 0))
+                    if len(mine):
+                        use = node[rows] == n
+                        like = np.bincount(rows[use], c["weights"][use] * centre[c["cols"][use]], len(node))
+                        i = mine[np.lexsort((c["ids"][mine], like[mine]))[0]]
+                        at = slice(c["ptr"][i], c["ptr"][i + 1])
+                        one = (float(like[i]), int(c["ids"][i]), c["cols"][at].tobytes(), c["weights"][at].tobytes())
+                        held[n] = min(held.get(n, one), one)
+        yield pa.RecordBatch.from_pylist(
+            [{"node": n, "far": dict(zip("licw", x))} for n, x in held.items()],
+            schema=pa.schema([
+                ("node", pa.int64()), ("far", pa.struct([("l", pa.float64()), ("i", pa.int64()), ("c", pa.binary()), ("w", pa.binary())])),
+            ]),
+        )
+
+    found = chunks.mapInArrow(run, "node bigint, far struct<l:double,i:bigint,c:binary,w:binary>")
+    out = {}
+    for r in found.groupBy("node").agg(F.min("far").alias("far")).collect():
+        out[r["node"]] = np.zeros(width)
+        out[r["node"]][np.frombuffer(r["far"]["c"], np.int32)] = np.frombuffer(r["far"]["w"], np.float32)
+    shared.unpersist()
+    return out
+
+
 def bisect_documents(chunks: DataFrame, width: int) -> list[dict[int, tuple[np.ndarray, float]]]:
     """Bisecting k-means over all documents: for each level the direction that splits each of its nodes.
 
-    A pass assigns all documents by the directions so far. Its centres move the last level's directions,
-    which hold from the next pass on, and its samples start the next level's.
+    A pass assigns all documents by the directions so far and gives the centres of the last level's
+    halves; these move its directions, pass by pass, until no node's spread gets lower. The samples of
+    the last pass start the next level's.
     """
     splits: list[dict] = []
     state = _sums(chunks, splits, width)
@@ -346,30 +388,47 @@ def bisect_documents(chunks: DataFrame, width: int) -> list[dict[int, tuple[np.n
     everything = sum(spread.values())
     done: set[int] = set()
     for _ in range(DEPTH):
-        level = {}
-        for node, (docs, _, seeds) in sorted(state.items()):
+        level, alike = {}, {}
+        for node, (docs, total, seeds) in sorted(state.items()):
             if node not in done and docs > 1 and spread[node] >= LEAST_SPREAD * everything:
                 way = _start(seeds, width)
                 if way is not None:
                     level[node] = (way, 0.0)
+                elif spread[node] > 1e-3 * docs:
+                    alike[node] = _unit(total)
+        for node, far in (_farthest(chunks, splits, alike) if alike else {}).items():
+            level[node] = ((far - alike[node]).astype(np.float32), 0.0)
         if not level:
             break
         splits.append(level)
         docs_of = {n: state[n][0] for n in level}
         state = _sums(chunks, splits, width)
-        for node in level:
-            if 2 * node in state and 2 * node + 1 in state:
-                level[node] = ((_unit(state[2 * node + 1][1]) - _unit(state[2 * node][1])).astype(np.float32), 0.0)
-        below = _spreads(state)
+        below, moving = _spreads(state), set(level)
+        while moving:
+            left = {n: _below(below, n) for n in moving}
+            for node in sorted(moving):
+                if 2 * node in state and 2 * node + 1 in state:
+                    level[node] = ((_unit(state[2 * node + 1][1]) - _unit(state[2 * node][1])).astype(np.float32), 0.0)
+                else:
+                    moving.discard(node)
+            if not moving:
+                break
+            state = _sums(chunks, splits, width)
+            below = _spreads(state)
+            moving = {n for n in moving if left[n] - _below(below, n) > SETTLED * spread[n]}
         for node in level:
             halves = {n: state[n][0] for n in (2 * node, 2 * node + 1) if n in state}
-            if 1 - sum(below[n] for n in halves) / spread[node] < LEAST_GAIN + CHANCE / docs_of[node]:
+            if 1 - _below(below, node) / spread[node] < LEAST_GAIN + CHANCE / docs_of[node]:
                 few = OUTLIERS * sum(halves.values())
                 done |= {n for n in halves if min(halves.values()) > few or halves[n] <= few}
         spread = below
     return splits
 
 
+def _below(spread: dict[int, float], node: int) -> float:
+    return spread.get(2 * node, 0.0) + spread.get(2 * node + 1, 0.0)
+
+
 def _spreads(state: dict[int, tuple[int, np.ndarray, list]]) -> dict[int, float]:
     """Sum of squared distances of each node's documents to their centre."""
     return {n: docs - float(np.linalg.norm(total)) ** 2 / max(docs, 1) for n, (docs, total, _) in state.items()}

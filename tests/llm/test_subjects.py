@@ -78,3 +78,20 @@ def test_2means_start_needs_two_kinds():
     other = {"c": np.array([1], np.int32).tobytes(), "w": np.array([1], np.float32).tobytes()}
     assert subjects._start([one, one, one], 2) is None and subjects._start([one], 2) is None
     assert subjects._start([one, one, other], 2) is not None
+
+
+def coded(spark, kinds):
+    """Documents of one term each, in chunks; ``kinds`` is the term of each."""
+    n = len(kinds)
+    one = np.arange(n + 1)
+    row = [np.arange(n, dtype=np.int64), one[1:].astype(np.int32), one[1:].astype(np.int32), np.asarray(kinds, np.int32), one.astype(np.int64), np.asarray(kinds, np.int32), np.ones(n, np.float32)]
+    return spark.createDataFrame([tuple(a.tobytes() for a in row)], subjects._CODED)
+
+
+def test_a_kind_that_the_sample_lacks_is_split_off(spark):
+    mark = (np.arange(4000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+    kinds = np.zeros(4000, np.int64)
+    kinds[np.argsort(mark)[-40:]] = 1  # none among the SEED_DOCS of smallest hash
+    splits = subjects.bisect_documents(coded(spark, kinds), 2)
+    leaf = subjects._descend(next(subjects._arrays(coded(spark, kinds).toArrow().to_batches()[0], subjects._OUT)), subjects._prepared(splits))
+    assert splits and len(set(leaf[kinds == 1])) == 1 and not set(leaf[kinds == 1]) & set(leaf[kinds == 0])
