@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .nested import canonical, parse_json
 
-#: Values of a field kept as its vocabulary: those with the smallest hashes (a bottom-k sketch).
-VOCABULARY = 64
 #: A field of more distinct values than this share of its rows has a form rather than a vocabulary.
 OPEN_SHARE = 0.5
 #: How far a renamed field may move in the written order, in fields.
@@ -108,11 +106,12 @@ def _safe(text: str) -> str:
     return text if text.isascii() else text.encode("utf-8", "backslashreplace").decode()
 
 
-def field_statistics(values: DataFrame) -> DataFrame:
-    """Per stream, file, path and type: rows, range, place, vocabulary sketch, distinct values and main form.
+def field_statistics(values: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per stream, file, path and type: rows, range, place, distinct values, main form and, of booleans, shares.
 
-    Values, and the elements of arrays, are first counted by (field, value), which combines before the shuffle, so one file with a
-    third of all records is no single task; a field's vocabulary keeps at most ``VOCABULARY`` values.
+    Beside it every field's vocabulary: its distinct values as hashes ``h``, with counts. Values, and the elements
+    of arrays, are first counted by (field, value), which combines before the shuffle, so one file with a
+    third of all records is no single task.
     """
     by = ["stream", "file_seq", "path", "type"]
     values = materialize(values.select(*by, "form", "layout", "num", "place", "items"), "values")  # payloads are parsed once
@@ -127,10 +126,7 @@ def field_statistics(values: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
     )
     by_value = materialize(by_value, "vocabulary")
-    least = by_value.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).where(
-        F.col("__r") <= VOCABULARY
-    )
-    vocabulary = least.groupBy(*by).agg(F.collect_list("h").alias("vocabulary"), F.map_from_entries(F.collect_list(F.struct("h", "n"))).alias("shares"))
+    shares = by_value.where("type = 'boolean'").groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("h", "n"))).alias("shares"))
     layouts = (
         counted.where("layout <> ''").groupBy("stream", "file_seq", "layout").agg(F.sum("n").alias("__n"))
         .groupBy("stream", "file_seq").agg(F.max_by("layout", F.struct("__n", "layout")).alias("__main"))
@@ -146,11 +142,12 @@ def field_statistics(values: DataFrame) -> DataFrame:
         (F.sum("place") / F.sum("n")).alias("any_place"),
     )
     distinct = by_value.groupBy(*by).agg(F.count(F.lit(1)).alias("distinct_values"), F.sum("n").alias("items"))
-    return (
-        base.join(vocabulary, by).join(forms, by).join(distinct, by)
+    stats = (
+        base.join(forms, by).join(distinct, by).join(shares, by, "left")
         .withColumn("place", F.coalesce("written_place", "any_place"))
         .drop("written_place", "any_place")
     )
+    return stats, by_value
 
 
 def files_in_order(records: DataFrame) -> DataFrame:
@@ -162,15 +159,14 @@ def files_in_order(records: DataFrame) -> DataFrame:
     return files.withColumn("before", F.lag("file_seq").over(Window.partitionBy("stream").orderBy("file_seq")))
 
 
-def _likeness(a: str, b: str) -> Column:
-    """Likeness of two fields' contents, 0 to 1, from their sketches; null-safe."""
+def _likeness(a: str, b: str, shared: Column) -> Column:
+    """Likeness of two fields' contents, 0 to 1, from their statistics and the number of ``shared`` values; null-safe."""
 
     def of(name):
         return F.col(f"{a}.{name}"), F.col(f"{b}.{name}")
 
-    va, vb = of("vocabulary")
-    common = F.size(F.array_intersect(va, vb)) / F.least(F.size(va), F.size(vb))
     (da, db), (ra, rb) = of("distinct_values"), of("items")
+    common = shared / F.least(da, db)
     open_ended = (da > OPEN_SHARE * ra) & (db > OPEN_SHARE * rb)
     fa, fb = of("form")
     alike_form = F.when(fa == fb, 1.0).otherwise(0.0)
@@ -204,7 +200,8 @@ def schema_changes(records: DataFrame) -> DataFrame:
     same type and neighbouring places of the written order; the likest pair is taken where each is
     the other's best.
     """
-    stats = materialize(field_statistics(path_values(records)), "fields")
+    stats, vocabulary = field_statistics(path_values(records))
+    stats = materialize(stats, "fields")
     files = files_in_order(records)
     per_field = stats.groupBy("stream", "file_seq", "path").agg(
         F.array_sort(F.collect_set("type")).alias("types"),
@@ -214,28 +211,38 @@ def schema_changes(records: DataFrame) -> DataFrame:
     then = per_field.withColumnRenamed("file_seq", "before").join(
         files.where("before is not null"), ["stream", "before"]
     )
-    sides = here.select("stream", "file_seq", "path", F.col("types").alias("nt"), F.col("stat").alias("ns")).join(
-        then.select("stream", "file_seq", "path", F.col("types").alias("ot"), F.col("stat").alias("os")),
-        ["stream", "file_seq", "path"], "full",
+    sides = here.select("stream", "file_seq", "before", "path", F.col("types").alias("nt"), F.col("stat").alias("ns")).join(
+        then.select("stream", "file_seq", "before", "path", F.col("types").alias("ot"), F.col("stat").alias("os")),
+        ["stream", "file_seq", "before", "path"], "full",
     )
     differing = materialize(sides.where("nt is null or ot is null or nt <> ot"), "differing")
     retyped = differing.where("nt is not null and ot is not null").select(
         "stream", "file_seq", F.lit("retyped").alias("change"), F.col("path").alias("field"), F.lit("").alias("new_field")
     )
     near = F.floor(F.col("stat.place") / PLACE_TOLERANCE)
-    gone = differing.where("nt is null").select("stream", "file_seq", F.col("path").alias("field"), F.col("os").alias("stat"))
+    gone = differing.where("nt is null").select("stream", "file_seq", "before", F.col("path").alias("field"), F.col("os").alias("stat"))
     new = differing.where("ot is null").select("stream", "file_seq", F.col("path").alias("new_field"), F.col("ns").alias("stat"))
     pairs = gone.select(
-        "stream", "file_seq", "field", F.col("stat").alias("a"), F.col("stat.type").alias("type"),
+        "stream", "file_seq", "before", "field", F.col("stat").alias("a"), F.col("stat.type").alias("type"),
         F.explode(F.array(near - 1, near, near + 1)).alias("zone"),
     ).join(
         new.select("stream", "file_seq", "new_field", F.col("stat").alias("b"), F.col("stat.type").alias("type"), near.alias("zone")),
         ["stream", "file_seq", "type", "zone"],
     )
     moved = F.abs(F.col("a.place") - F.col("b.place"))
-    scored = pairs.withColumn("like", _likeness("a", "b")).withColumn("moved", moved).where(
-        (F.col("moved") <= PLACE_TOLERANCE)
-        & (F.col("like") >= F.when(F.col("type").isin("string", "array"), 0.3).otherwise(0.5))
+    near_pairs = materialize(pairs.withColumn("moved", moved).where(F.col("moved") <= PLACE_TOLERANCE), "pairs")
+    old_values = vocabulary.select("stream", F.col("file_seq").alias("before"), F.col("path").alias("field"), "type", "h")
+    new_values = vocabulary.select("stream", "file_seq", F.col("path").alias("new_field"), "type", "h")
+    # all distinct values of each pair, one row a value: containment is exact
+    shared = (
+        near_pairs.where("type <> 'boolean'").select("stream", "file_seq", "before", "field", "new_field", "type")
+        .join(old_values, ["stream", "before", "field", "type"]).join(new_values, ["stream", "file_seq", "new_field", "type", "h"])
+        .groupBy("stream", "file_seq", "field", "new_field").agg(F.count(F.lit(1)).alias("shared"))
+    )
+    scored = near_pairs.join(shared, ["stream", "file_seq", "field", "new_field"], "left").withColumn(
+        "like", _likeness("a", "b", F.coalesce("shared", F.lit(0)))
+    ).where(
+        (F.col("like") >= F.when(F.col("type").isin("string", "array"), 0.3).otherwise(0.5))
     ).withColumn("score", F.col("like") - 0.2 * F.col("moved") / PLACE_TOLERANCE)
 
     def best(side: str, other: str) -> Column:

@@ -65,3 +65,10 @@ def test_one_table_follows_renames_and_reports_failed_casts(spark):
     assert len(table) == 26
     assert table[14].fields["size"] == "10" and not table[25].readable and table[26].fields == {"k": "1", "z": "0"}
     assert rows(drift.failed_casts(df, found), "field", "type", "wanted", "values", "example") == [("size", "string", "integer", 1, "9 B")]
+
+
+def test_renamed_where_one_file_has_many_more_values(spark):
+    first = many(lambda i: {"z": 1, "mode": f"v{i % 35}x"}, 105)
+    second = many(lambda i: {"z": 1, "queue": f"v{i % 1000}x"}, 2000)
+    assert changes(spark, {1: first, 2: second}) == [(2, "renamed", "mode", "queue")]
+    assert changes(spark, {1: second, 2: first}) == [(2, "renamed", "queue", "mode")]
