@@ -57,3 +57,32 @@ def test_long_odd_and_empty(spark):
 def test_record_table(spark):
     df = spark.createDataFrame([(1, json.dumps(payload()), "e"), (2, '{"event": 3, "entry_wall_time": "x"}', "e"), (3, "[1]", "e"), (4, None, "e")], SCHEMA)
     assert rows(nested.records(df)) == [(1, "finish", 5, "available"), (2, "3", None, None)]
+
+
+def test_payloads_are_restored_from_stored_objects(spark, sf):
+    odd = ["[1, {\"a\": []}]", "\"text\"", "3", "{\"b\": {\"#\": [\"" + "0" * 32 + "\"]}, \"a\": \"\\ud800\"}", "\"{\\\"argv\\\": [1]}\"", "{", None, payload(argv=[None, None]), payload(argv="[1,  2]")]
+    texts = [x if x is None or isinstance(x, str) else json.dumps(x) for x in odd]
+    usage = spark.read.parquet(f"{sf}/usage_events.parquet").select("delivery_id", "payload", "event")
+    both = spark.createDataFrame([(-i, x, "e") for i, x in enumerate(texts, 1)], SCHEMA).unionByName(usage)
+    got = {r.delivery_id: r.payload for r in nested.restore(nested.occurrences(both)).collect()}
+    want = {}
+    for r in both.collect():
+        good, value = nested.parse_json(r.payload)
+        if good:
+            want[r.delivery_id] = json.dumps(value, sort_keys=True, separators=(",", ":"))
+    assert got == want
+
+
+def test_records_that_differ_anywhere_differ_in_identity():
+    one = payload(structured={"outcome": "a", "findings": {"total": 1, "prefix": {"records": [{"name": "x"}]}}})
+    others = [json.loads(json.dumps(one)) for _ in range(4)]
+    others[0]["structured"]["outcome"] = "b"
+    others[1]["structured"]["findings"]["total"] = 2
+    others[2]["structured"]["findings"]["prefix"]["records"].append(None)
+    others[3]["argv"] = [None, None]
+    assert len({nested.merkle_rows(0, json.dumps(p))[-1][5] for p in [one, *others]}) == 5
+
+
+def test_very_deep_payloads(spark):
+    deep = '{"argv": ' + "[" * 900 + "]" * 900 + "}"
+    assert rows(nested.child_rows(run(spark, deep))) == [(0, "arg", -1, 0)]
