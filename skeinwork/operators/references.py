@@ -7,6 +7,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 #: Schemes that make a value an address rather than a path.
 URI_SCHEMES = ("mailto:", "tel:", "data:", "urn:", "javascript:")
 
@@ -40,13 +42,17 @@ def orphans(
 
     With ``at`` and ``alive`` = (from, until) the parent must also live at that time, from inclusive
     to exclusive, a null end meaning still alive; a null time asks only that the key exists.
-    Every surviving row keeps all its columns, repeats included.
+    Every surviving row keeps all its columns, repeats included. Masks that no reference has are not
+    joined: one pass over the references finds the few there are, of several columns at most 2**k.
     """
     if match not in ("simple", "partial", "full"):
         raise ValueError(f"unknown match semantics {match!r}")
     names = list(columns)
-    parts = []
-    for mask in product((False, True), repeat=len(names)):
+    parts = [refs.limit(0)]
+    masks = list(product((False, True), repeat=len(names)))
+    if len(names) > 1:
+        masks = [tuple(r) for r in refs.select(*[F.col(n).isNull() for n in names]).distinct().collect()]
+    for mask in masks:
         null = [n for n, m in zip(names, mask) if m]
         held = [n for n, m in zip(names, mask) if not m]
         part = refs
@@ -93,13 +99,15 @@ def orphan_references(raw_edges: DataFrame, findings: DataFrame, nodes: DataFram
     """Orphans among path references: ref_table, ref_id, field, reason, period (``YYYY-MM``).
 
     A reference whose time is unknown is judged by its key alone and has a null period. ``reason`` is
-    ``missing``, ``late`` (every lifetime begins later) or ``deleted``. The anti-join splits on skew;
-    only orphans reach the second join, against one row per path.
+    ``missing``, ``late`` (every lifetime begins later) or ``deleted``. Orphans, few beside the references, are
+    written before the second join, against one row per path: nothing lies between the anti-join and its result
+    that needs its partitions whole, so adaptive execution splits the path that most references share.
     """
     lives = nodes.select("path", "first_seen", "deleted_at").where("path is not null")
     lost = orphans(
         path_references(raw_edges, findings), lives, {"path": "path"}, "simple", "at", ("first_seen", "deleted_at")
     )
+    lost = materialize(lost, "orphans")
     first = lives.groupBy(F.col("path").alias("__path")).agg(F.min("first_seen").alias("__first"))
     reason = (
         F.when(F.col("__path").isNull(), "missing").when(F.col("__first") > F.col("at"), "late").otherwise("deleted")

@@ -65,6 +65,16 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return references.orphan_report(p4_found(spark, d))
 
 
+def p4_composite(spark: SparkSession, d: str) -> DataFrame:
+    """Links of a lock whose (snapshot, target, target's hash) no lock node has, under each way to match nulls."""
+    links = table(spark, d, "lock_edges").select("snapshot_seq", "target", "target_hash")
+    held = table(spark, d, "lock_nodes").select("snapshot_seq", "path", "hash")
+    keys = {"snapshot_seq": "snapshot_seq", "target": "path", "target_hash": "hash"}
+    found = [references.orphans(links, held, keys, m).withColumn("match", F.lit(m)) for m in ("simple", "partial", "full")]
+    every = found[0].unionByName(found[1]).unionByName(found[2])
+    return every.groupBy("match", "snapshot_seq", "target", "target_hash").agg(F.count(F.lit(1)).alias("links"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return snapshots.lock_changes(table(spark, d, "lock_nodes"), table(spark, d, "lock_edges"))
 
@@ -85,6 +95,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_kept, p1_batches, p2_found, p2_table, p2_casts, p3_found, p3_paths, p3_descendants,
-        p4_found, p4_report, p5_found, p6_found, p6_objects, p6_records,
+        p4_found, p4_report, p4_composite, p5_found, p6_found, p6_objects, p6_records,
     )
 }

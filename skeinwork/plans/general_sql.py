@@ -29,6 +29,59 @@ select ref_table, ref_id, field,
   strftime(o.at, '%Y-%m') as period
 from orphan o left join firsts f on f.path = o.path"""
 
+def _unwrapped(x: str) -> str:
+    """A JSON value, a string that holds an array or object read as that."""
+    text = f"({x} ->> '$')"
+    return (
+        f"case when json_type({x}) = 'VARCHAR' and regexp_matches({text}, '^[ \\t\\n\\r]*[\\[{{]') and json_valid({text}) "
+        f"then {text}::json else {x} end"
+    )
+
+
+def _key(x: str, key: str) -> str:
+    return f"case when json_type({x}) = 'OBJECT' then json_extract({x}, '$.\"{key}\"') end"
+
+
+def _listed(x: str) -> str:
+    """A collection as a list of JSON values."""
+    return (
+        f"case when {x} is null or json_type({x}) = 'NULL' then []::json[] when json_type({x}) = 'ARRAY' "
+        f"then json_extract({x}, '$[*]') else [{x}] end"
+    )
+
+
+def _walk(name: str, start: str, keys: tuple[str, ...], also: str = "") -> str:
+    """Steps from ``v`` of table ``start`` down the keys, as tables; the last is ``name`` with a list ``xs``."""
+    steps, before = [], start
+    for i, key in enumerate(keys):
+        steps.append(f"{name}_a{i} as (select {also}delivery_id, {_key('v', key)} as v from {before})")
+        steps.append(f"{name}_b{i} as (select {also}delivery_id, {_unwrapped('v')} as v from {name}_a{i})")
+        before = f"{name}_b{i}"
+    steps.append(f"{name} as (select {also}delivery_id, {_listed('v')} as xs from {before})")
+    return ",\n".join(steps)
+
+
+_CHILDREN = f"""
+with top as (select delivery_id, payload::json as v from usage_events where json_valid(payload)),
+root as (select delivery_id, {_unwrapped('v')} as v from top),
+{_walk("args", "root", ("argv",))},
+{_walk("finds", "root", ("structured", "findings", "prefix", "records"))},
+{_walk("hints", "root", ("structured", "hints", "records"))},
+{_walk("errors", "root", ("structured", "error", "prefix", "records"))},
+each_find as (select delivery_id, unnest(xs) as v0, generate_subscripts(xs, 1) - 1 as pos from finds),
+find as (select delivery_id, pos, {_unwrapped('v0')} as v from each_find where json_type(v0) <> 'NULL'),
+{_walk("lines", "find", ("lines",), "pos, ")},
+{_walk("graphs", "find", ("_graphs",), "pos, ")},
+every as (
+  select delivery_id, 'arg' as child, -1 as parent_pos, unnest(xs) as v, generate_subscripts(xs, 1) - 1 as pos from args
+  union all select delivery_id, 'finding', -1, unnest(xs), generate_subscripts(xs, 1) - 1 from finds
+  union all select delivery_id, 'hint', -1, unnest(xs), generate_subscripts(xs, 1) - 1 from hints
+  union all select delivery_id, 'error', -1, unnest(xs), generate_subscripts(xs, 1) - 1 from errors
+  union all select delivery_id, 'line', pos, unnest(xs), generate_subscripts(xs, 1) - 1 from lines
+  union all select delivery_id, 'graph', pos, unnest(xs), generate_subscripts(xs, 1) - 1 from graphs)
+select delivery_id, child, cast(parent_pos as bigint) as parent_pos, cast(pos as bigint) as pos
+from every where json_type(v) <> 'NULL'"""
+
 _TREE = """
 with recursive cur as (
   select source as node, max(target) as parent from (
@@ -77,6 +130,31 @@ select u.anc as ancestor, u.node as descendant, cast(d.depth - a.depth as bigint
 from up u join tree d on d.node = u.node join tree a on a.node = u.anc where d.cyclic = 0""",
     "p4_found": _ORPHANS,
     "p4_report": f"select ref_table, field, period, reason, count(*) as orphans from ({_ORPHANS}) group by all",
+    "p4_composite": """
+with held as (select distinct snapshot_seq as s, path as p, hash as h from lock_nodes),
+gone as (
+  select e.*,
+    exists (select 1 from held where s = e.snapshot_seq and p = e.target and h = e.target_hash) as whole,
+    (e.snapshot_seq is null or exists (select 1 from held where s = e.snapshot_seq)) as has_s,
+    exists (select 1 from held where p = e.target) as has_p,
+    exists (select 1 from held where h = e.target_hash) as has_h,
+    exists (select 1 from held where s = e.snapshot_seq and p = e.target) as has_sp,
+    exists (select 1 from held where s = e.snapshot_seq and h = e.target_hash) as has_sh,
+    exists (select 1 from held where p = e.target and h = e.target_hash) as has_ph
+  from (select snapshot_seq, target, target_hash, count(*) as n from lock_edges group by all) e),
+told as (
+  select *, snapshot_seq is null as a, target is null as b, target_hash is null as c from gone),
+judged as (
+  select snapshot_seq, target, target_hash, n,
+    not (a or b or c) and not whole as simple,
+    case when a and b and c then false when not (a or b or c) then not whole
+         when a and b then not has_h when a and c then not has_p when b and c then not has_s
+         when a then not has_ph when b then not has_sh else not has_sp end as partial,
+    case when a and b and c then false when a or b or c then true else not whole end as complete
+  from told)
+select 'simple' as match, snapshot_seq, target, target_hash, n as links from judged where simple
+union all select 'partial', snapshot_seq, target, target_hash, n from judged where partial
+union all select 'full', snapshot_seq, target, target_hash, n from judged where complete""",
     "p5_found": """
 with n as (
   select snapshot_seq, path, list_sort(list(distinct coalesce('h' || hash, ''))) as h
@@ -94,6 +172,7 @@ select o.snapshot_seq, path, change from (
          when a.h <> b.h or a.t <> b.t then 'changed' end as change
   from x a full join x b on a.path = b.path and b.i = a.i + 1) d
 join o on o.i = d.i where change is not null and d.i > 1""",
+    "p6_found": _CHILDREN,
     "p6_records": """
 select delivery_id, json_extract_string(payload, '$.event') as record_event,
   try_cast(json_extract_string(payload, '$.entry_wall_time.value.seconds') as bigint) as entry_seconds,
