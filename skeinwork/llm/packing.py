@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-#: Parts for each shuffle partition into which the items of one size are dealt for ranking, so that no
-#: size is one task however many items share it.
-SALTS_PER_PARTITION = 4
+#: Items of one size that are ranked in one group: all sizes are dealt into so many groups that none holds
+#: more on average, even if all items had one size.
+ITEMS_PER_GROUP = 200_000
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -130,7 +130,7 @@ def pack(counts: DataFrame, capacity: int) -> DataFrame:
     """
     spark = counts.sparkSession
     placed = materialize(items(counts, capacity), "items")
-    salts = SALTS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    salts = 1 + placed.count() // ITEMS_PER_GROUP
     salted = placed.withColumn("salt", F.pmod(F.xxhash64("doc_id", "part"), F.lit(salts)).cast("int"))
     tally = materialize(salted.groupBy("size", "salt").agg(F.count(F.lit(1)).alias("n")), "tally")
     histogram = {r["size"]: r["n"] for r in tally.groupBy("size").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows

@@ -1,10 +1,10 @@
 """Encoding a corpus with a public tokenizer through a table of its distinct words.
 
 Texts are split into words by the tokenizer's own pattern in Spark. Documents are dealt into blocks
-of a few MB by the hash of their id; the distinct words of each block make, over all blocks, the table of
-distinct words, each of which is encoded once. The ids go back to the blocks that hold the word, and
-each block puts them in place by the positions of its words. Only texts, once, and (block, word) pairs
-are shuffled, never single word positions.
+by the hash of their id, as many as the bytes of all texts call for; the distinct words of each block make, over all
+blocks, the table of distinct words, each of which is encoded once. The ids go back to the blocks that hold the word,
+and each block puts them in place by the positions of its words. Only texts, once, and (block, word) pairs
+are shuffled, never single word positions. Decoding goes the same way, by a join of ids with their pieces.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import os
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -30,8 +31,12 @@ WORD_PATTERN = (
 )
 #: Characters that this JVM's Unicode tables do not know; texts with one are encoded whole.
 UNKNOWN_CHARACTER = r"\p{Cn}"
-#: Blocks per shuffle partition, so that hashing spreads them evenly.
-BLOCKS_PER_PARTITION = 8
+#: Bytes of text in a block on average, at most and (where all cores have blocks enough) at least.
+MOST_BYTES, LEAST_BYTES = 16 << 20, 256 << 10
+#: Blocks for each core, so that hashing spreads them evenly, before they grow to the most bytes.
+BLOCKS_PER_CORE = 8
+#: Bytes that a shuffle partition of blocks should not exceed.
+PARTITION_BYTES = 128 << 20
 
 _tokenizers: dict[str, object] = {}
 
@@ -67,21 +72,34 @@ def _split(text: Column) -> Column:
     return F.when(whole, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(WORD_PATTERN), 0))
 
 
+def _deal(df: DataFrame, key: str, size: Column) -> tuple[Column, int]:
+    """The block of each row and the number of shuffle partitions, from the bytes of all rows.
+
+    One aggregate pass over ``size``. Blocks are bounded by ``MOST_BYTES`` on average (a single row is never cut).
+    """
+    spark = df.sparkSession
+    total = df.agg(F.sum(size.cast("long")).alias("n")).first()["n"] or 0
+    each = min(MOST_BYTES, max(LEAST_BYTES, total // (BLOCKS_PER_CORE * spark.sparkContext.defaultParallelism)))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION_BYTES))
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(max(1, -(-total // each)))).alias("block"), parts
+
+
 def _blocked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    block = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(parts * BLOCKS_PER_PARTITION)).cast("int")
-    dealt = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), block.alias("block"))
-    return dealt.repartition(parts, "block").select("block", "doc_id", _split(F.col("text")).alias("words"))
+    plain = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    block, parts = _deal(plain, "doc_id", F.octet_length("text"))
+    return plain.select("doc_id", "text", block).repartition(parts, "block").select("block", "doc_id", _split(F.col("text")).alias("words"))
+
+
+def _whole(table: pa.Table, name: str, kind: pa.DataType) -> pa.Array:
+    """A column of a table as one array."""
+    column = table.column(name)
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], kind)
 
 
 def _place(left: pa.Table, right: pa.Table, count_only: bool) -> pa.Table:
     """Put the ids of a block's words in the places of the words."""
-    words = left.column("words").combine_chunks()
-    if isinstance(words, pa.ChunkedArray):
-        words = pa.concat_arrays(words.chunks) if words.num_chunks else pa.array([], pa.list_(pa.string()))
-    ids = right.column("ids").combine_chunks()
-    if isinstance(ids, pa.ChunkedArray):
-        ids = pa.concat_arrays(ids.chunks) if ids.num_chunks else pa.array([], pa.list_(pa.int32()))
+    words = _whole(left, "words", pa.list_(pa.string()))
+    ids = _whole(right, "ids", pa.list_(pa.int32()))
     at = pc.index_in(words.flatten(), value_set=right.column("word").combine_chunks()).to_numpy(zero_copy_only=False)
     bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64))])
     lengths = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -125,9 +143,8 @@ def count_tokens(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id
 
 def word_table(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The corpus's distinct words with their number of occurrences and their ids."""
-    counted = _blocked(docs, doc_id, text).select(F.explode("words").alias("word")).groupBy("word").agg(
-        F.count(F.lit(1)).alias("occurrences")
-    )
+    words = docs.select(F.explode(_split(F.coalesce(F.col(text), F.lit("")))).alias("word"))
+    counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("occurrences"))
     counted = materialize(counted, "words")
     return counted.join(encode_words(counted, path or f"{VOCABULARIES}/{BYTE_BPE}"), "word")
 
@@ -150,25 +167,31 @@ def pieces(path: str) -> list[bytes]:
     return out
 
 
+def _spell(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Put the pieces of a block's ids in the places of the ids."""
+    ids = _whole(left, "ids", pa.list_(pa.int32()))
+    spelling = _whole(right, "piece", pa.binary()).cast(pa.large_binary())
+    spelled = spelling.take(pc.index_in(ids.flatten(), value_set=_whole(right, "id", pa.int32())))
+    data = b"".join(spelled.to_pylist())
+    at = np.concatenate([[0], np.cumsum(pc.binary_length(spelled).to_numpy(zero_copy_only=False).astype(np.int64))])
+    ends = at[np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64))])]
+    text = [data[x:y].decode("utf-8", "replace") for x, y in zip(ends[:-1], ends[1:])]
+    return pa.table({"doc_id": left.column("doc_id"), "text": pa.array(text, pa.string())})
+
+
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, text`` of encoded rows: each id joined with its piece, the bytes joined in order.
 
-    The piece table has as many rows as the vocabulary, whatever the corpus, so every worker holds it
-    and the join needs no shuffle. Bytes that are no UTF-8 become replacement characters.
+    Rows are dealt into blocks, whose distinct ids are joined with the table of pieces (as many rows as the
+    vocabulary, whatever the corpus) and put in place in their block. Bytes that are no UTF-8, and ids that are not in
+    the vocabulary, become replacement characters. Null lists of ids give empty texts, repeated rows stay.
     """
-    path = path or f"{VOCABULARIES}/{BYTE_BPE}"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = pa.array(pieces(path), pa.large_binary())
-        for batch in batches:
-            ids = batch.column(1)
-            spelled = vocabulary.take(ids.flatten())  # the pieces of all rows, end to end
-            data = b"".join(spelled.to_pylist())
-            at = np.concatenate([[0], np.cumsum(pc.binary_length(spelled).to_numpy(zero_copy_only=False))])
-            lengths = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
-            ends = at[np.concatenate([[0], np.cumsum(lengths)])]
-            text = [data[x:y].decode("utf-8", "replace") for x, y in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string())], names=["doc_id", "text"])
-
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
-
+    spark = encoded.sparkSession
+    plain = materialize(encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")), "ids")
+    block, parts = _deal(plain, "doc_id", F.size("ids") * 4)
+    blocked = plain.select("doc_id", "ids", block).repartition(parts, "block")
+    spellings = pieces(path or f"{VOCABULARIES}/{BYTE_BPE}")
+    table = spark.createDataFrame(pd.DataFrame({"id": range(len(spellings)), "piece": spellings}), "id int, piece binary")
+    pairs = blocked.select(F.col("block").alias("part"), F.explode("ids").alias("id")).distinct()
+    back = pairs.join(table, "id", "left").select("part", "id", F.coalesce("piece", F.lit("\ufffd").cast("binary")).alias("piece"))
+    return blocked.groupBy("block").cogroup(back.groupBy("part")).applyInArrow(_spell, "doc_id bigint, text string")

@@ -45,3 +45,24 @@ def test_whole_corpus_against_the_tokenizer(spark, sf):
     t = tokens.tokenizer(PATH)
     for r in docs.select("doc_id", "text").collect():
         assert got[r.doc_id] == t.encode(r.text or "", add_special_tokens=False).ids
+
+
+def test_blocks_grow_in_number_with_the_bytes_whatever_the_partitions(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "MOST_BYTES", 20_000)
+    monkeypatch.setattr(tokens, "LEAST_BYTES", 1_000)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        for docs in (500, 4_000):
+            df = spark.range(docs).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ten bytes "), 20).alias("text"))
+            blocks = tokens._blocked(df, "doc_id", "text").groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()
+            assert sum(r.n for r in blocks) == docs
+            assert len(blocks) >= docs * 200 / 20_000 * 0.9 and max(r.n for r in blocks) * 200 <= 2 * 20_000
+            assert {len(r.ids) for r in tokens.encode(df).collect()} == {len(tokens.tokenizer(PATH).encode("ten bytes " * 20, add_special_tokens=False).ids)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_ids_out_of_the_vocabulary_and_null_lists(spark):
+    df = spark.createDataFrame([(1, [10_000_000]), (2, None), (3, []), (3, [])], "doc_id bigint, ids array<int>")
+    assert sorted((r.doc_id, r.text) for r in tokens.decode(df).collect()) == [(1, "\ufffd"), (2, ""), (3, ""), (3, "")]
