@@ -2,14 +2,15 @@
 
 1. Every page is cut to its own body: lines that end as sentences do, cut into sentences.
 2. Document frequencies of all terms, over all documents, give a vocabulary and tf-idf vectors of length 1.
-3. Bisecting k-means splits all documents level by level; every pass reads every document, and a level's
-   passes go on until its centres settle. Only the two starting points of a split come from a bounded
+3. Bisecting k-means splits all documents level by level; passes over all documents of a level's nodes
+   go on until its centres settle. Only the two starting points of a split come from a bounded
    sample of its node, or, where that is all alike, from its document farthest from the centre.
 4. Each leaf's discriminative terms are compared with those of the labelled examples of each subject:
-   a leaf takes the subject that they speak for, or none.
-5. The term rates of labelled leaves, over all documents, make term weights for each subject. Sentences
-   are assigned by these, and weights taken again from the clear ones, as a leaf may hold several
-   subjects; a page's mixture of sentences gives the subjects of at least a fifth of them.
+   they give the leaf's mixture of subjects, mostly one, or none.
+5. Leaves, cut into one part for each subject of their mixture, are then the components of a mixture of
+   sentences: a sentence belongs to the leaf that its terms speak for, by their rates in the leaves, and the
+   rates are taken again from the clear sentences. A page's mixture of leaves times the subjects of these gives
+   its shares. Subjects enter by the labels of leaves alone: without the tree no page has one.
 
 Documents are kept in chunks of flat arrays, so that a pass over them is a few array operations. What
 reaches the driver is bounded by the model: vocabulary, nodes and subjects, never by the corpus.
@@ -26,15 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import drop_shared, materialize, reread, write_shared
 
-#: Terms kept, the most frequent by documents: the size of the model.
-VOCABULARY = 16_384
-#: A term must be in this share of all documents, and no more than this one.
+#: A term must be in this share of all documents (and in two), and no more than that one: the first bounds the
+#: vocabulary, as the mean number of terms of a document divided by it, whatever the corpus. Terms of the labelled examples always count.
 LEAST_SHARE, MOST_SHARE = 2e-5, 0.5
-#: Levels of the tree, and the share of all documents' spread (squared distance to their centre) under which
-#: a node stays a leaf, so that the number of leaves is bounded by its inverse.
-DEPTH, LEAST_SPREAD = 16, 0.004
+#: The share of all documents' spread (squared distance to their centre) under which a node stays a leaf, so that
+#: the number of nodes that are split on each level is bounded by its inverse.
+LEAST_SPREAD = 0.004
 #: A split that lowers its node's spread by a smaller share than this, plus what chance gives a node of few
 #: documents, told nothing: its halves are leaves. Where it only split off odd documents, under the last share
 #: of the node, the rest is tried again.
@@ -55,8 +55,12 @@ WEAK, CLEAR, PAGE = 0.9, 1.5, 0.25
 STRONG, REFINEMENTS = 3.0, 3
 #: Subjects that may share a term as one of their own.
 SHARED = 4
-#: Documents in a chunk.
-CHUNK = 2_000
+#: A part of a leaf uses a term whose rate there is at least the highest among its subject's, divided by this.
+USED = 5
+#: Documents in a chunk, and tasks of a pass for each core of the cluster.
+CHUNK, TASKS_PER_CORE = 2_000, 4
+#: Tasks whose sums the driver takes as they are.
+TASKS_TO_DRIVER = 64
 #: The status of a page that was delivered as asked for.
 DELIVERED = 200
 
@@ -212,94 +216,202 @@ def coded_chunks(chunks: DataFrame, vocabulary: np.ndarray, idf: np.ndarray) ->
     return chunks.mapInArrow(run, _CODED)
 
 
-def _prepared(splits: list[dict[int, tuple[np.ndarray, float]]]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Each level as one table of directions and the row of each node in it, -1 for nodes not split."""
+def _prepared(splits: list[dict[int, tuple[np.ndarray, int, int]]]) -> list[tuple[np.ndarray, ...]]:
+    """Each level as the row of each node (-1 for nodes not split), the directions, and the halves of each row."""
     out = []
     for level in splits:
         nodes = sorted(level)
         if nodes:
             lookup = np.full(max(nodes) + 2, -1)
             lookup[nodes] = np.arange(len(nodes))
-            out.append((lookup, np.stack([level[n][0] for n in nodes])))
+            halves = np.array([level[n][1:] for n in nodes])
+            out.append((lookup, np.stack([level[n][0] for n in nodes]), halves))
     return out
 
 
-def _descend(c: dict[str, np.ndarray], levels: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+def _values(c: dict[str, np.ndarray], live: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The non-zero values of some documents: number of the document among them, column, weight."""
+    size = np.diff(c["ptr"])[live]
+    rows = np.repeat(np.arange(len(live)), size)
+    if len(live) == len(c["ptr"]) - 1:
+        return rows, c["cols"], c["weights"]
+    ends = np.cumsum(size)
+    at = np.arange(len(rows)) + np.repeat(c["ptr"][live] - (ends - size), size)
+    return rows, c["cols"][at], c["weights"][at]
+
+
+def _sides(rows: np.ndarray, cols: np.ndarray, weights: np.ndarray, which: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """On which side of its node's direction (a row of ``table``) each document lies."""
+    along = table.ravel()[(which * table.shape[1])[rows] + cols]
+    return np.bincount(rows, weights * along, len(which)) > 0
+
+
+def _descend(c: dict[str, np.ndarray], levels: list[tuple[np.ndarray, ...]]) -> np.ndarray:
     """The node of each document after the given levels; a document stays where its node was not split."""
-    docs = len(c["doc_ends"])
-    rows = np.repeat(np.arange(docs), np.diff(c["ptr"]))
-    node = np.ones(docs, np.int64)  # children of n: 2n and 2n + 1
-    for lookup, table in levels:
-        here = lookup[np.minimum(node, len(lookup) - 1)]
-        mine = here[rows]
-        use = mine >= 0
-        side = np.bincount(rows[use], c["weights"][use] * table[mine[use], c["cols"][use]], docs) > 0
-        node = np.where(here >= 0, 2 * node + side, node)
+    node = np.zeros(len(c["ptr"]) - 1, np.int64)
+    live = np.arange(len(node))
+    for lookup, table, halves in levels:
+        which = lookup[np.minimum(node[live], len(lookup) - 1)]
+        live, which = live[which >= 0], which[which >= 0]
+        if not len(live):
+            break
+        side = _sides(*_values(c, live), which, table)
+        node[live] = halves[which, side.astype(np.int64)]
     return node
 
 
-def _sums(chunks: DataFrame, splits: list, width: int) -> dict[int, tuple[int, np.ndarray, list]]:
-    """Of each node of the last level: documents, sum of vectors, and its documents of smallest hash.
+_WORK = {"place": np.int32, "ids": np.int64, "ptr": np.int64, "cols": np.int32, "weights": np.float32}
+_WORK_DDL = ", ".join(f"{n} binary" for n in _WORK)
+
+
+def _few_tasks(df: DataFrame) -> DataFrame:
+    """A few tasks a core, whatever the data: each sends one sparse row a node, so what is shuffled is bounded."""
+    return df.coalesce(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
+
+
+def _work(chunks: DataFrame) -> DataFrame:
+    """Vectors of all documents that have any term, at place 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in _arrays(batch, {n: k for n, k in _WORK.items() if n != "place"}):
+                yield _kept(c, np.where(np.diff(c["ptr"]) > 0, 0, -1))
+
+    return _few_tasks(chunks.select("ids", "ptr", "cols", "weights")).mapInArrow(run, _WORK_DDL)
+
+
+def _kept(c: dict[str, np.ndarray], place: np.ndarray) -> pa.RecordBatch:
+    live = np.flatnonzero(place >= 0)
+    _, cols, weights = _values(c, live)
+    ptr = np.concatenate([[0], np.cumsum(np.diff(c["ptr"])[live])]).astype(np.int64)
+    return _row(place[live].astype(np.int32), c["ids"][live], ptr, cols, weights, names=list(_WORK))
+
 
-    Tasks add up what they read and send one row a node; the second step adds rows as they stream by.
+def _divide(work: DataFrame, table: np.ndarray, goes: np.ndarray) -> DataFrame:
+    """The documents of the halves that go on, at the places that ``goes`` (place x side) names; -1 is left out."""
+    shared = work.sparkSession.sparkContext.broadcast((table, goes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, goes = shared.value
+        for batch in batches:
+            for c in _arrays(batch, _WORK):
+                side = _sides(*_values(c, np.arange(len(c["place"]))), c["place"].astype(np.int64), table)
+                place = goes[c["place"], side.astype(np.int64)]
+                if (place >= 0).any():
+                    yield _kept(c, place)
+
+    return _few_tasks(work).mapInArrow(run, _WORK_DDL)
+
+
+def _add_up(df: DataFrame, add, groups: int, width: int) -> dict[int, tuple[int, np.ndarray]]:
+    """Counts and vectors of groups, added up over all chunks: ``add(batches, count, total)`` adds a task's to its arrays.
+
+    A task sends one sparse row a group. Where tasks are many, rows are added up by group before the driver takes them.
     """
-    levels = _prepared(splits)
-    nodes = np.array([n for n in _leaves(splits) if n >= 2 ** len(splits)])
-    shared = chunks.sparkSession.sparkContext.broadcast((levels, nodes))  # bounded by nodes x vocabulary
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, nodes = shared.value
-        count = np.zeros(len(nodes), np.int64)
-        total = np.zeros((len(nodes), width))
+        count, total = np.zeros(groups, np.int64), np.zeros(groups * width)
+        add(batches, count, total)
+        yield packed((n, int(count[n]), total[n * width : (n + 1) * width]) for n in range(groups) if count[n])
+
+    def packed(found):
+        rows = [(n, d, np.flatnonzero(v), v) for n, d, v in found]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
+                pa.array([r[2].astype(np.int32).tobytes() for r in rows], pa.binary()), pa.array([r[3][r[2]].tobytes() for r in rows], pa.binary()),
+            ], names=["node", "docs", "cols", "total"],
+        )
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        acc: dict[int, list] = {}
+        for batch in batches:
+            merge(acc, zip(*(c.to_pylist() for c in batch.columns)))
+        yield packed((n, d, v) for n, (d, v) in acc.items())
+
+    def merge(acc: dict[int, list], rows) -> None:
+        for n, d, cols, total in rows:
+            got = acc.setdefault(n, [0, np.zeros(width)])
+            got[0] += d
+            got[1][np.frombuffer(cols, np.int32)] += np.frombuffer(total, np.float64)
+
+    ddl = "node bigint, docs bigint, cols binary, total binary"
+    sent = _few_tasks(df).mapInArrow(part, ddl)
+    if TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism > TASKS_TO_DRIVER:
+        sent = sent.repartition("node").mapInArrow(join, ddl)
+    out: dict[int, list] = {}
+    merge(out, sent.collect())  # bounded by groups x vocabulary x tasks
+    return {n: (d, v) for n, (d, v) in out.items()}
+
+
+def _accumulate(total: np.ndarray, key: np.ndarray, weights: np.ndarray | None) -> None:
+    if 4 * len(key) < len(total):
+        np.add.at(total, key, 1 if weights is None else weights)
+    else:
+        total += np.bincount(key, weights, len(total))
+
+
+def _sums(work: DataFrame, places: int, width: int, table: np.ndarray | None = None) -> dict[int, tuple[int, np.ndarray]]:
+    """Documents and sum of vectors of each place or, by the directions of ``table``, of its halves (2p and 2p + 1)."""
+    shared = work.sparkSession.sparkContext.broadcast(table)  # bounded by nodes x vocabulary
+    nodes = places if table is None else 2 * places
+
+    def add(batches: Iterator[pa.RecordBatch], count: np.ndarray, total: np.ndarray) -> None:
+        table = shared.value
+        for batch in batches:
+            for c in _arrays(batch, _WORK):
+                rows, cols, weights = _values(c, np.arange(len(c["place"])))
+                node = c["place"].astype(np.int64)
+                if table is not None:
+                    node = 2 * node + _sides(rows, cols, weights, node, table)
+                count += np.bincount(node, minlength=nodes)
+                _accumulate(total, (node * width)[rows] + cols, weights)
+
+    out = _add_up(work, add, nodes, width)
+    shared.unpersist()
+    return out
+
+
+_SEED = "struct<m:bigint,i:bigint,c:binary,w:binary>"
+_SEED_TYPE = pa.struct([("m", pa.int64()), ("i", pa.int64()), ("c", pa.binary()), ("w", pa.binary())])
+
+
+def _seeds(work: DataFrame) -> dict[int, list]:
+    """Of each place its documents of smallest hash, ``SEED_DOCS`` at most; a task sends no more than that."""
+
+    def packed(kept: dict[int, list]) -> pa.RecordBatch:
+        seeds = [[dict(zip("micw", x)) for x in held] for held in kept.values()]
+        return pa.RecordBatch.from_arrays([pa.array(list(kept), pa.int64()), pa.array(seeds, pa.list_(_SEED_TYPE))], names=["place", "seeds"])
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, list] = {}
         for batch in batches:
-            for c in _arrays(batch, _OUT):
-                node = _descend(c, levels)
-                live = node >= nodes[0]
-                place = np.searchsorted(nodes, node)
-                size = np.diff(c["ptr"])
-                count += np.bincount(place[live], minlength=len(nodes))
-                use = np.repeat(live, size)
-                key = np.repeat(place[live], size[live]) * width + c["cols"][use]
-                total += np.bincount(key, c["weights"][use], total.size).reshape(total.shape)
+            for c in _arrays(batch, _WORK):
                 mark = ((c["ids"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64)
-                limit = np.full(len(nodes) + 1, np.iinfo(np.int64).max)
+                limit = np.full(int(c["place"].max(initial=0)) + 1, np.iinfo(np.int64).max)
                 for p, held in kept.items():
-                    if len(held) == SEED_DOCS:
+                    if len(held) == SEED_DOCS and p < len(limit):
                         limit[p] = held[-1][0]
-                who = np.flatnonzero(live & (size > 0) & (mark <= limit[place]))
-                who = who[np.lexsort((mark[who], place[who]))]
-                start = np.flatnonzero(np.diff(place[who], prepend=-1))
+                who = np.flatnonzero(mark <= limit[c["place"]])
+                who = who[np.lexsort((mark[who], c["place"][who]))]
+                start = np.flatnonzero(np.diff(c["place"][who], prepend=-1))
                 rank = np.arange(len(who)) - np.repeat(start, np.diff(np.append(start, len(who))))
                 for i in who[rank < SEED_DOCS]:
                     s = slice(c["ptr"][i], c["ptr"][i + 1])
-                    kept.setdefault(int(place[i]), []).append((int(mark[i]), int(c["ids"][i]), c["cols"][s].tobytes(), c["weights"][s].tobytes()))
+                    kept.setdefault(int(c["place"][i]), []).append((int(mark[i]), int(c["ids"][i]), c["cols"][s].tobytes(), c["weights"][s].tobytes()))
                 kept = {p: sorted(held)[:SEED_DOCS] for p, held in kept.items()}
-        yield _packed({int(n): (int(count[p]), total[p], kept.get(p, [])) for p, n in enumerate(nodes) if count[p]})
-
-    def _packed(acc):
-        return pa.RecordBatch.from_pylist(
-            [{"node": n, "docs": d, "total": v.tobytes(), "seeds": [dict(zip(("m", "i", "c", "w"), x)) for x in s]} for n, (d, v, s) in acc.items()],
-            schema=pa.schema([
-                ("node", pa.int64()), ("docs", pa.int64()), ("total", pa.binary()),
-                ("seeds", pa.list_(pa.struct([("m", pa.int64()), ("i", pa.int64()), ("c", pa.binary()), ("w", pa.binary())]))),
-            ]),
-        )
+        yield packed(kept)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc: dict[int, list] = {}
+        kept: dict[int, list] = {}
         for batch in batches:
             for r in batch.to_pylist():
-                got = acc.setdefault(r["node"], [0, np.zeros(width, np.float64), []])
-                got[0] += r["docs"]
-                got[1] += np.frombuffer(r["total"], np.float64)
-                got[2] = sorted(got[2] + [(s["m"], s["i"], s["c"], s["w"]) for s in r["seeds"]])[:SEED_DOCS]
-        yield _packed(acc)
-
-    ddl = "node bigint, docs bigint, total binary, seeds array<struct<m:bigint,i:bigint,c:binary,w:binary>>"
-    rows = chunks.mapInArrow(part, ddl).repartition("node").mapInArrow(join, ddl).collect()
-    shared.unpersist()
-    return {r["node"]: (r["docs"], np.frombuffer(r["total"], np.float64), r["seeds"]) for r in rows}
+                kept[r["place"]] = sorted(kept.get(r["place"], []) + [(s["m"], s["i"], s["c"], s["w"]) for s in r["seeds"]])[:SEED_DOCS]
+        yield packed(kept)
+
+    ddl = f"place bigint, seeds array<{_SEED}>"
+    rows = _few_tasks(work).mapInArrow(part, ddl).repartition("place").mapInArrow(join, ddl).collect()
+    return {r["place"]: r["seeds"] for r in rows}
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -313,9 +425,11 @@ def _start(seeds: list, width: int) -> np.ndarray | None:
     """
     if len(seeds) < 2:
         return None
-    x = np.zeros((len(seeds), width), np.float32)
+    columns = [np.frombuffer(s["c"], np.int32) for s in seeds]
+    used = np.unique(np.concatenate(columns))
+    x = np.zeros((len(seeds), len(used)), np.float32)
     for k, s in enumerate(seeds):
-        x[k, np.frombuffer(s["c"], np.int32)] = np.frombuffer(s["w"], np.float32)
+        x[k, np.searchsorted(used, columns[k])] = np.frombuffer(s["w"], np.float32)
     like = x @ x.T
     best, way = -np.inf, None
     for a in range(0, len(seeds), max(1, len(seeds) // STARTS)):
@@ -333,131 +447,139 @@ def _start(seeds: list, width: int) -> np.ndarray | None:
             gain = float((x[~side] @ p).sum() ** 2 / (~side).sum() + (x[side] @ q).sum() ** 2 / side.sum())
             gain -= len(x) * (small < OUTLIERS * len(x))  # a few odd documents are split off only if nothing else can be
             if gain > best:
-                best, way = gain, (q - p).astype(np.float32)
+                best, way = gain, np.zeros(width, np.float32)
+                way[used] = q - p
     return way
 
 
-def _farthest(chunks: DataFrame, splits: list, centres: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
-    """Of each node of ``centres`` the vector of its document least like its centre, ties by id."""
+def _farthest(work: DataFrame, centres: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """Of each place of ``centres`` the vector of its document least like its centre, ties by id."""
     width = len(next(iter(centres.values())))
-    shared = chunks.sparkSession.sparkContext.broadcast((_prepared(splits), centres))
+    shared = work.sparkSession.sparkContext.broadcast(centres)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, centres = shared.value
         held: dict[int, tuple] = {}
         for batch in batches:
-            for c in _arrays(batch, _OUT):
-                node = _descend(c, levels)
-                size = np.diff(c["ptr"])
-                rows = np.repeat(np.arange(len(node)), size)
-                for n, centre in centres.items():
-                    mine = np.flatnonzero((node == n) & (size > 0))
+            for c in _arrays(batch, _WORK):
+                for p, centre in shared.value.items():
+                    mine = np.flatnonzero(c["place"] == p)
                     if len(mine):
-                        use = node[rows] == n
-                        like = np.bincount(rows[use], c["weights"][use] * centre[c["cols"][use]], len(node))
-                        i = mine[np.lexsort((c["ids"][mine], like[mine]))[0]]
+                        rows, cols, weights = _values(c, mine)
+                        like = np.bincount(rows, weights * centre[cols], len(mine))
+                        i = mine[(k := np.lexsort((c["ids"][mine], like))[0])]
                         at = slice(c["ptr"][i], c["ptr"][i + 1])
-                        one = (float(like[i]), int(c["ids"][i]), c["cols"][at].tobytes(), c["weights"][at].tobytes())
-                        held[n] = min(held.get(n, one), one)
+                        one = (float(like[k]), int(c["ids"][i]), c["cols"][at].tobytes(), c["weights"][at].tobytes())
+                        held[p] = min(held.get(p, one), one)
         yield pa.RecordBatch.from_pylist(
-            [{"node": n, "far": dict(zip("licw", x))} for n, x in held.items()],
+            [{"place": p, "far": dict(zip("licw", x))} for p, x in held.items()],
             schema=pa.schema([
-                ("node", pa.int64()), ("far", pa.struct([("l", pa.float64()), ("i", pa.int64()), ("c", pa.binary()), ("w", pa.binary())])),
+                ("place", pa.int64()), ("far", pa.struct([("l", pa.float64()), ("i", pa.int64()), ("c", pa.binary()), ("w", pa.binary())])),
             ]),
         )
 
-    found = chunks.mapInArrow(run, "node bigint, far struct<l:double,i:bigint,c:binary,w:binary>")
+    found = _few_tasks(work).mapInArrow(run, "place bigint, far struct<l:double,i:bigint,c:binary,w:binary>")
     out = {}
-    for r in found.groupBy("node").agg(F.min("far").alias("far")).collect():
-        out[r["node"]] = np.zeros(width)
-        out[r["node"]][np.frombuffer(r["far"]["c"], np.int32)] = np.frombuffer(r["far"]["w"], np.float32)
+    for r in found.groupBy("place").agg(F.min("far").alias("far")).collect():
+        out[r["place"]] = np.zeros(width)
+        out[r["place"]][np.frombuffer(r["far"]["c"], np.int32)] = np.frombuffer(r["far"]["w"], np.float32)
     shared.unpersist()
     return out
 
 
-def bisect_documents(chunks: DataFrame, width: int) -> list[dict[int, tuple[np.ndarray, float]]]:
-    """Bisecting k-means over all documents: for each level the direction that splits each of its nodes.
+def bisect_documents(chunks: DataFrame, width: int) -> list[dict[int, tuple[np.ndarray, int, int]]]:
+    """Bisecting k-means over all documents: for each level, of each node split there, its direction and halves.
 
-    A pass assigns all documents by the directions so far and gives the centres of the last level's
-    halves; these move its directions, pass by pass, until no node's spread gets lower. The samples of
-    the last pass start the next level's.
+    Node 0 holds all documents. A level works on the documents of its nodes alone, written with the node of each;
+    passes over all of these move the two centres of every node until no node's spread gets lower.
     """
+    spark = chunks.sparkSession
     splits: list[dict] = []
-    state = _sums(chunks, splits, width)
+    path = write_shared(_work(chunks), "work")
+    work = reread(spark, path)
+    state = _sums(work, 1, width)
+    if not state:
+        return splits
     spread = _spreads(state)
-    everything = sum(spread.values())
-    done: set[int] = set()
-    for _ in range(DEPTH):
-        level, alike = {}, {}
-        for node, (docs, total, seeds) in sorted(state.items()):
-            if node not in done and docs > 1 and spread[node] >= LEAST_SPREAD * everything:
-                way = _start(seeds, width)
-                if way is not None:
-                    level[node] = (way, 0.0)
-                elif spread[node] > 1e-3 * docs:
-                    alike[node] = _unit(total)
-        for node, far in (_farthest(chunks, splits, alike) if alike else {}).items():
-            level[node] = ((far - alike[node]).astype(np.float32), 0.0)
-        if not level:
-            break
-        splits.append(level)
-        docs_of = {n: state[n][0] for n in level}
-        state = _sums(chunks, splits, width)
-        below, moving = _spreads(state), set(level)
+    everything, known = spread[0], 1
+    nodes = [0]  # of each place the node
+    while nodes:
+        seeds, table, alike = _seeds(work), np.zeros((len(nodes), width), np.float32), {}
+        moving = set()
+        for p in range(len(nodes)):
+            way = _start(seeds[p], width)
+            if way is not None:
+                table[p] = way
+                moving.add(p)
+            elif spread[p] > 1e-3 * state[p][0]:
+                alike[p] = _unit(state[p][1])
+        for p, far in (_farthest(work, alike) if alike else {}).items():
+            table[p] = far - alike[p]
+            moving.add(p)
+        split = set(moving)
+        parts = _sums(work, len(nodes), width, table)
+        below = _spreads(parts)
         while moving:
-            left = {n: _below(below, n) for n in moving}
-            for node in sorted(moving):
-                if 2 * node in state and 2 * node + 1 in state:
-                    level[node] = ((_unit(state[2 * node + 1][1]) - _unit(state[2 * node][1])).astype(np.float32), 0.0)
+            left = {p: _below(below, p) for p in moving}
+            for p in sorted(moving):
+                if 2 * p in parts and 2 * p + 1 in parts:
+                    table[p] = _unit(parts[2 * p + 1][1]) - _unit(parts[2 * p][1])
                 else:
-                    moving.discard(node)
+                    moving.discard(p)
             if not moving:
                 break
-            state = _sums(chunks, splits, width)
-            below = _spreads(state)
-            moving = {n for n in moving if left[n] - _below(below, n) > SETTLED * spread[n]}
-        for node in level:
-            halves = {n: state[n][0] for n in (2 * node, 2 * node + 1) if n in state}
-            if 1 - _below(below, node) / spread[node] < LEAST_GAIN + CHANCE / docs_of[node]:
-                few = OUTLIERS * sum(halves.values())
-                done |= {n for n in halves if min(halves.values()) > few or halves[n] <= few}
-        spread = below
+            parts = _sums(work, len(nodes), width, table)
+            below = _spreads(parts)
+            moving = {p for p in moving if left[p] - _below(below, p) > SETTLED * spread[p]}
+        level, following, goes = {}, [], np.full((len(nodes), 2), -1)
+        for p in sorted(split):
+            level[nodes[p]] = (table[p].copy(), known, known + 1)
+            docs = [parts[2 * p + s][0] if 2 * p + s in parts else 0 for s in (0, 1)]
+            done = set()
+            if 1 - _below(below, p) / spread[p] < LEAST_GAIN + CHANCE / state[p][0]:
+                few = OUTLIERS * sum(docs)
+                done = {s for s in (0, 1) if min(docs) > few or docs[s] <= few}
+            for s in (0, 1):
+                if s not in done and docs[s] > 1 and docs[s] < state[p][0] and below[2 * p + s] >= LEAST_SPREAD * everything:
+                    goes[p, s] = len(following)
+                    following.append((known + s, parts[2 * p + s], below[2 * p + s]))
+            known += 2
+        if level:
+            splits.append(level)
+        nodes = [n for n, _, _ in following]
+        state = dict(enumerate(x for _, x, _ in following))
+        spread = dict(enumerate(x for _, _, x in following))
+        if nodes:
+            rest = write_shared(_divide(work, table, goes), "work")
+            drop_shared(spark, path)
+            path, work = rest, reread(spark, rest)
+    drop_shared(spark, path)
     return splits
 
 
-def _below(spread: dict[int, float], node: int) -> float:
-    return spread.get(2 * node, 0.0) + spread.get(2 * node + 1, 0.0)
+def _below(spread: dict[int, float], place: int) -> float:
+    return spread.get(2 * place, 0.0) + spread.get(2 * place + 1, 0.0)
 
 
-def _spreads(state: dict[int, tuple[int, np.ndarray, list]]) -> dict[int, float]:
+def _spreads(state: dict[int, tuple[int, np.ndarray]]) -> dict[int, float]:
     """Sum of squared distances of each node's documents to their centre."""
-    return {n: docs - float(np.linalg.norm(total)) ** 2 / max(docs, 1) for n, (docs, total, _) in state.items()}
+    return {n: docs - float(np.linalg.norm(total)) ** 2 / max(docs, 1) for n, (docs, total) in state.items()}
 
 
 def _count_terms(chunks: DataFrame, assign, groups: int, width: int) -> np.ndarray:
     """Counts of terms by group over all sentences: groups x width. ``assign`` gives each sentence's group or -1."""
 
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc = np.zeros((groups, width))
+    def add(batches: Iterator[pa.RecordBatch], count: np.ndarray, total: np.ndarray) -> None:
         for batch in batches:
             for c in _arrays(batch, _OUT):
-                owner = np.repeat(assign(c), np.diff(np.concatenate([[0], c["sentence_ends"]])))
+                of = assign(c)
+                count += np.bincount(of[of >= 0], minlength=groups)
+                owner = np.repeat(of, np.diff(np.concatenate([[0], c["sentence_ends"]])))
                 use = (owner >= 0) & (c["terms"] >= 0)
-                acc += np.bincount(owner[use] * width + c["terms"][use], minlength=groups * width).reshape(groups, width)
-        for g in range(groups):
-            yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([acc[g].tobytes()], pa.binary())], names=["g", "v"])
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for r in batch.to_pylist():
-                acc[r["g"]] = acc.get(r["g"], 0) + np.frombuffer(r["v"], np.float64)
-        for g, v in acc.items():
-            yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([v.tobytes()], pa.binary())], names=["g", "v"])
+                _accumulate(total, owner[use] * width + c["terms"][use], None)
 
     out = np.zeros((groups, width))
-    for r in chunks.mapInArrow(part, "g bigint, v binary").repartition("g").mapInArrow(join, "g bigint, v binary").collect():
-        out[r["g"]] = np.frombuffer(r["v"], np.float64)
+    for g, (_, v) in _add_up(chunks, add, groups, width).items():
+        out[g] = v
     return out
 
 
@@ -476,62 +598,73 @@ def example_weights(counts: np.ndarray) -> np.ndarray:
     return (np.clip(share - 0.25, 0, None) * (seen / (seen + 2.0))).T
 
 
-def label_leaves(leaf_counts: np.ndarray, spoken: np.ndarray, top: int = 40) -> np.ndarray:
-    """The subject of each leaf by its discriminative terms, -1 where none is spoken for clearly."""
+def leaf_mixtures(leaf_counts: np.ndarray, spoken: np.ndarray, top: int = 40) -> np.ndarray:
+    """The subjects that each leaf's discriminative terms speak for: leaves x subjects, rows add up to 1 or are 0.
+
+    A subject is in a leaf's mixture if it has the most evidence or nearly as much; a leaf whose terms speak for
+    none, or for more than ``SHARED`` alike, has none.
+    """
     total = leaf_counts.sum(0)
     base = total / max(total.sum(), 1)
-    out = np.full(len(leaf_counts), -1)
+    out = np.zeros((len(leaf_counts), spoken.shape[1]))
     for k, row in enumerate(leaf_counts):
         rate = row / max(row.sum(), 1)
         gain = np.where(rate > 0, rate * np.log(np.maximum(rate, 1e-12) / np.maximum(base, 1e-12)), 0)
         best = np.argsort(-gain, kind="stable")[:top]
         weight = np.clip(gain[best], 0, None)
-        if weight.sum() <= 0:
+        if weight.sum() <= 1e-9:
             continue
         score = (weight[:, None] * spoken[best]).sum(0) / weight.sum()
-        order = np.argsort(-score)
-        if score[order[0]] > 0.1 and score[order[0]] > 1.6 * score[order[1]]:
-            out[k] = order[0]
+        held = (score > 0.1) & (score > score.max() / 1.6)
+        if 1 <= held.sum() <= SHARED:
+            out[k] = score * held / score[held].sum()
     return out
 
 
-def term_weights(leaf_counts: np.ndarray, labels: np.ndarray, seen: np.ndarray, limit: float = 4.0) -> np.ndarray:
-    """How much a term speaks for each subject: log-ratios, terms x subjects; 0 is no evidence.
+def leaf_parts(leaf_counts: np.ndarray, mixtures: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each leaf cut into one part for each subject of its mixture: term counts of the parts, subject of each.
 
-    A term's rate in a subject is its highest in any leaf of that subject (or among its examples), small
-    leaves held down, so that a language spread over the leaves of all subjects says nothing. It is
-    compared with that of the first subject that may not share the term, after ``SHARED`` others.
+    A leaf of one subject is one part. In a leaf of several, a term goes to these as the examples tell, and by
+    the mixture where they tell nothing.
     """
-    subjects = len(seen)
-    told = (seen + 1.0) / (seen.sum(0) + subjects)  # what the examples say of the term
-    size = leaf_counts.sum(1, keepdims=True)
-    rate = leaf_counts / (size + 0.001 * size.sum())
-    best = np.zeros((subjects, leaf_counts.shape[1]))
-    for k in range(subjects):
-        if (labels == k).any():
-            best[k] = rate[labels == k].max(0)
-        shown = np.where(seen[k] >= 2, seen[k] / max(seen[k].sum(), 1), 0)
-        best[k] = np.maximum(best[k], shown)
+    leaf, subject = np.nonzero(mixtures)
+    told = (seen + mixtures.shape[1] * 0.1) / (seen.sum(0) + mixtures.shape[1])
+    claim = mixtures[leaf, subject][:, None] * told[subject]
+    whole = np.zeros_like(leaf_counts)
+    np.add.at(whole, leaf, claim)
+    return leaf_counts[leaf] * claim / np.maximum(whole[leaf], 1e-12), subject
+
+
+def rate_weights(counts: np.ndarray, subject: np.ndarray, subjects: int, limit: float = 4.0) -> np.ndarray:
+    """How much a term speaks for each subject by the leaves: log-ratios, terms x subjects; 0 is no evidence.
+
+    A term's rate in a subject is its highest in any part of a leaf with that subject, small ones held down, so
+    that a language spread over the leaves of all subjects says nothing. It is compared with that of the first
+    subject that may not share the term, after ``SHARED`` others.
+    """
+    size = counts.sum(1, keepdims=True)
+    rate = counts / np.maximum(size + 0.001 * size.sum(), 1e-12)
+    best = np.zeros((subjects, counts.shape[1]))
+    np.maximum.at(best, subject, rate)
     ranked = np.sort(best, 0)[::-1]
     base = (ranked[SHARED] if subjects > SHARED else 0) + 1e-4
-    ratio = np.log(np.maximum(best, 1e-9) / base)
-    # where a leaf holds two subjects, the examples tell whose its terms are
-    held = (best * told >= (best * told).max(0) / 3) & (best >= ranked[0] / 5) & (leaf_counts.sum(0) + seen.sum(0) >= 4)
-    return np.where(held, np.clip(ratio, 0, limit), 0).T.astype(np.float32)
+    held = (best >= ranked[0] / 5) & (counts.sum(0) >= 4)
+    return np.where(held, np.clip(np.log(np.maximum(best, 1e-9) / base), 0, limit), 0).T
 
 
-def examples_first(weights: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """Weights in which a term that the examples show clearly speaks for their subject alone.
+def leaf_evidence(weights: np.ndarray, counts: np.ndarray, subject: np.ndarray) -> np.ndarray:
+    """How much a term speaks for each part of a leaf: terms x parts.
 
-    Clearly: three times or more, seven tenths of them in one subject.
+    It speaks as much as for the part's subject, in the parts that use it, by its rate beside the highest rate
+    among that subject's.
     """
-    total = seen.sum(0)
-    top = seen.argmax(0)
-    clear = (total >= 3) & (seen.max(0) >= 0.7 * total)
-    out = weights.copy()
-    out[clear] = 0
-    out[clear, top[clear]] = STRONG
-    return out
+    size = counts.sum(1, keepdims=True)
+    rate = counts / np.maximum(size + 0.001 * size.sum(), 1e-12)
+    best = np.zeros((weights.shape[1], counts.shape[1]))
+    np.maximum.at(best, subject, rate)
+    used = (rate > 0) & (rate >= best[subject] / USED)
+    spoken = np.where(weights > WEAK, weights, 0)  # less is no evidence
+    return np.where(used, spoken.T[subject], 0).T.astype(np.float32)
 
 
 def spoken_weights(spoken: np.ndarray, everything: np.ndarray) -> np.ndarray:
@@ -550,36 +683,41 @@ def spoken_weights(spoken: np.ndarray, everything: np.ndarray) -> np.ndarray:
     return np.where(own, STRONG * share, np.where(shared, WEAK + 0.1, 0)).T.astype(np.float32)
 
 
-def _classify(c: dict[str, np.ndarray], weights: np.ndarray, strict: bool = False) -> np.ndarray:
-    """The subject of each sentence, -1 for none: its terms' evidence, and its page's where they are unclear.
+def _leaf_of(c: dict[str, np.ndarray], evidence: np.ndarray, subject: np.ndarray, subjects: int, strict: bool = False) -> np.ndarray:
+    """The part of a leaf that each sentence belongs to, -1 for none: its terms' evidence, and its page's where they are unclear.
 
-    ``strict`` leaves out sentences in which another subject has half as much evidence.
+    ``strict`` leaves out sentences in which a part with another subject has half as much evidence.
     """
-    sentences = len(c["sentence_ends"])
+    sentences, parts = len(c["sentence_ends"]), evidence.shape[1]
+    if not sentences or not parts:
+        return np.full(sentences, -1)
     owner = np.repeat(np.arange(sentences), np.diff(np.concatenate([[0], c["sentence_ends"]])))
-    kinds = weights.shape[1]
-    strong = np.where(weights > WEAK, weights, 0)
-    speaks = np.append(strong.any(1), False)  # most terms are no evidence; -1 is the last
+    speaks = np.append(evidence.any(1), False)  # most terms are no evidence; -1 is the last
     use = speaks[c["terms"]]
-    once = np.unique(owner[use].astype(np.int64) * len(weights) + c["terms"][use])  # a repeated term says no more
-    owner, terms = once // len(weights), once % len(weights)
-    said_of = strong[terms]
-    at, kind = np.nonzero(said_of)
-    score = np.bincount(owner[at] * kinds + kind, said_of[at, kind], sentences * kinds).reshape(sentences, kinds)
-    doc = _sentence_docs(c)
-    docs = len(c["doc_ends"])
-    at, kind = np.nonzero(score >= CLEAR)
-    prior = np.bincount(doc[at] * kinds + kind, score[at, kind], docs * kinds).reshape(docs, kinds)
+    once = np.unique(owner[use].astype(np.int64) * len(evidence) + c["terms"][use])  # a repeated term says no more
+    owner, terms = once // len(evidence), once % len(evidence)
+    first = np.flatnonzero(np.diff(owner, prepend=-1))
+    score = np.zeros((sentences, parts), np.float32)
+    if len(first):
+        score[owner[first]] = np.add.reduceat(evidence[terms], first, axis=0)
+    by = np.zeros((sentences, subjects), np.float32)  # the best part of each subject
+    for k in np.unique(subject):
+        by[:, k] = score[:, subject == k].max(1)
+    doc, docs = _sentence_docs(c), len(c["doc_ends"])
+    at, kind = np.nonzero(by >= CLEAR)
+    prior = np.bincount(doc[at] * subjects + kind, by[at, kind], docs * subjects).reshape(docs, subjects)
     prior = (prior / np.maximum(prior.sum(1, keepdims=True), 1e-9))[doc]
-    best = (score * (0.25 + prior)).argmax(1) if sentences else np.zeros(0, np.int64)
     row = np.arange(sentences)
-    said = score[row, best]
-    if strict and sentences:
-        rest = score.copy()
+    best = (by * (0.25 + prior)).argmax(1)
+    said = by[row, best]
+    if strict:
+        rest = by.copy()
         rest[row, best] = 0
-        other = rest.max(1)
-        return np.where((said >= CLEAR) & (other <= 0.5 * said), best, -1)
-    return np.where((said >= CLEAR) | ((said > WEAK) & (prior[row, best] >= PAGE)), best, -1)
+        known = (said >= CLEAR) & (rest.max(1) <= 0.5 * said)
+    else:
+        known = (said >= CLEAR) | ((said > WEAK) & (prior[row, best] >= PAGE))
+    leaf = np.where(subject[None, :] == best[:, None], score, -1).argmax(1)
+    return np.where(known, leaf, -1)
 
 
 def assign_subjects(
@@ -596,9 +734,9 @@ def assign_subjects(
     chunks = materialize(hashed_chunks(docs, doc_id, text), "hashed")
     total = docs.count()
     df = document_frequencies(chunks)
-    kept = df.where((F.col("df") >= max(2, LEAST_SHARE * total)) & (F.col("df") <= max(2, MOST_SHARE * total)))
-    terms = kept.orderBy(F.desc("df"), "term").limit(VOCABULARY).collect()
-    terms.sort(key=lambda r: r["term"])
+    often = (F.col("df") >= max(2, LEAST_SHARE * total)) | F.col("term").isin(_example_terms(examples))
+    kept = df.where(often & (F.col("df") <= max(2, MOST_SHARE * total)))
+    terms = sorted(kept.collect(), key=lambda r: r["term"])
     vocabulary = np.array([r["term"] for r in terms], np.uint32)
     idf = np.log(max(total, 1) / np.array([r["df"] for r in terms], np.float64)) if terms else np.zeros(0)
     width = len(vocabulary)
@@ -608,28 +746,32 @@ def assign_subjects(
     coded = materialize(coded_chunks(chunks, vocabulary, idf), "coded")
     seen = _example_counts(examples, names, vocabulary)
     splits = bisect_documents(coded, width)
-    leaves = np.array(_leaves(splits))
-
-    levels = _prepared(splits)
+    leaves, levels, kinds = np.array(_leaves(splits)), _prepared(splits), len(names)
 
     def by_leaf(c):
         return np.searchsorted(leaves, _descend(c, levels))[_sentence_docs(c)]
 
-    leaf_counts = _count_terms(coded, by_leaf, len(leaves), width)
-    labels = label_leaves(leaf_counts, example_weights(seen))
-    weights = examples_first(term_weights(leaf_counts, labels, seen), seen)
+    counts = _count_terms(coded, by_leaf, len(leaves), width)
+    everything = counts.sum(0)
+    counts, subject = leaf_parts(counts, leaf_mixtures(counts, example_weights(seen)), seen)
+    if not len(subject):
+        return spark.createDataFrame([], schema)
+    evidence = leaf_evidence(rate_weights(counts, subject, kinds), counts, subject)
     for _ in range(REFINEMENTS):
-        spoken = _count_terms(coded, lambda c, w=weights: _classify(c, w, True), len(names), width)
-        weights = spoken_weights(spoken, leaf_counts.sum(0))
+        counts = _count_terms(coded, lambda c, e=evidence: _leaf_of(c, e, subject, kinds, True), len(subject), width)
+        spoken = np.zeros((kinds, width))
+        np.add.at(spoken, subject, counts)
+        evidence = leaf_evidence(spoken_weights(spoken, everything), counts, subject)
+    of_part = np.eye(kinds)[subject]  # the subject of each part of a leaf
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in _arrays(batch, _OUT):
-                found = _classify(c, weights)
-                doc, k = _sentence_docs(c), len(names)
-                held = found >= 0
-                mix = np.bincount(doc[held] * k + found[held], minlength=len(c["doc_ends"]) * k).reshape(-1, k)
-                share = mix / np.maximum(np.bincount(doc, minlength=len(c["doc_ends"])), 1)[:, None]
+                leaf = _leaf_of(c, evidence, subject, kinds)
+                doc, docs = _sentence_docs(c), len(c["doc_ends"])
+                held = leaf >= 0
+                mixture = np.bincount(doc[held] * len(subject) + leaf[held], minlength=docs * len(subject)).reshape(docs, -1)
+                share = mixture @ of_part / np.maximum(np.bincount(doc, minlength=docs), 1)[:, None]
                 who, which = np.nonzero(share >= LEAST_MIX - 1e-9)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c["ids"][who]), pa.array([names[i] for i in which], pa.string()), pa.array(share[who, which])],
@@ -639,6 +781,11 @@ def assign_subjects(
     return coded.mapInArrow(run, schema)
 
 
+def _example_terms(examples: DataFrame) -> list[int]:
+    texts = [r["text"] or "" for r in examples.select("text").collect()]
+    return sorted({term_hash(w) for text in texts for w in _WORD.findall(text.lower())})
+
+
 def _example_counts(examples: DataFrame, names: list[str], vocabulary: np.ndarray) -> np.ndarray:
     """Counts of terms by subject among the labelled examples: subjects x terms.
 
@@ -664,8 +811,8 @@ def _example_counts(examples: DataFrame, names: list[str], vocabulary: np.ndarra
 
 
 def _leaves(splits: list[dict]) -> list[int]:
-    nodes, split = {1}, {n for level in splits for n in level}
+    nodes, split = {0}, {n for level in splits for n in level}
     for level in splits:
-        for n in level:
-            nodes |= {2 * n, 2 * n + 1}
+        for _, left, right in level.values():
+            nodes |= {left, right}
     return sorted(nodes - split)

@@ -95,3 +95,27 @@ def test_a_kind_that_the_sample_lacks_is_split_off(spark):
     splits = subjects.bisect_documents(coded(spark, kinds), 2)
     leaf = subjects._descend(next(subjects._arrays(coded(spark, kinds).toArrow().to_batches()[0], subjects._OUT)), subjects._prepared(splits))
     assert splits and len(set(leaf[kinds == 1])) == 1 and not set(leaf[kinds == 1]) & set(leaf[kinds == 0])
+
+
+def test_subjects_come_from_the_leaves(spark, corpus, monkeypatch):
+    (docs, areas, examples), _ = corpus
+    whole = {tuple(r) for r in subjects.assign_subjects(docs, areas, examples).select("doc_id", "subject").collect()}
+    with monkeypatch.context() as m:
+        m.setattr(subjects, "bisect_documents", lambda chunks, width: [])
+        bare = {tuple(r) for r in subjects.assign_subjects(docs, areas, examples).select("doc_id", "subject").collect()}
+    assert len(whole & bare) <= len(whole) / 2
+    mixtures = subjects.leaf_mixtures
+    with monkeypatch.context() as m:
+        m.setattr(subjects, "leaf_mixtures", lambda *a: np.roll(mixtures(*a), 1, axis=1))
+        turned = {tuple(r) for r in subjects.assign_subjects(docs, areas, examples).select("doc_id", "subject").collect()}
+    assert len(whole & turned) <= len(whole) / 2
+
+
+def test_a_leaf_of_two_subjects_is_cut_by_the_examples():
+    counts = np.array([[50.0, 50, 0, 40], [0, 0, 80, 40]])
+    spoken = np.array([[0.7, 0, 0], [0, 0.7, 0], [0, 0, 0.7], [0, 0, 0]])
+    mixtures = subjects.leaf_mixtures(counts, spoken)
+    assert (mixtures > 0).tolist() == [[True, True, False], [False, False, True]]
+    assert np.allclose(mixtures.sum(1), 1)
+    parts, subject = subjects.leaf_parts(counts, mixtures, np.array([[9.0, 0, 0, 0], [0, 9, 0, 0], [0, 0, 9, 0]]))
+    assert subject.tolist() == [0, 1, 2] and parts[0, 0] > 40 and parts[1, 1] > 40 and np.allclose(parts[:2].sum(0), counts[0])
