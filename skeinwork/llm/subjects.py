@@ -18,6 +18,7 @@ reaches the driver is bounded by the model: vocabulary, nodes and subjects, neve
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections.abc import Iterator
@@ -59,6 +60,8 @@ SHARED = 4
 USED = 5
 #: Documents in a chunk, and tasks of a pass for each core of the cluster.
 CHUNK, TASKS_PER_CORE = 2_000, 4
+#: Documents up to which a node's whole subtree is grown in one task, as the passes of small nodes cost more than their work.
+LOCAL_DOCS = 30_000
 #: Tasks whose sums the driver takes as they are.
 TASKS_TO_DRIVER = 64
 #: The status of a page that was delivered as asked for.
@@ -260,49 +263,6 @@ def _descend(c: dict[str, np.ndarray], levels: list[tuple[np.ndarray, ...]]) ->
     return node
 
 
-_WORK = {"place": np.int32, "ids": np.int64, "ptr": np.int64, "cols": np.int32, "weights": np.float32}
-_WORK_DDL = ", ".join(f"{n} binary" for n in _WORK)
-
-
-def _few_tasks(df: DataFrame) -> DataFrame:
-    """A few tasks a core, whatever the data: each sends one sparse row a node, so what is shuffled is bounded."""
-    return df.coalesce(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
-
-
-def _work(chunks: DataFrame) -> DataFrame:
-    """Vectors of all documents that have any term, at place 0."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for c in _arrays(batch, {n: k for n, k in _WORK.items() if n != "place"}):
-                yield _kept(c, np.where(np.diff(c["ptr"]) > 0, 0, -1))
-
-    return _few_tasks(chunks.select("ids", "ptr", "cols", "weights")).mapInArrow(run, _WORK_DDL)
-
-
-def _kept(c: dict[str, np.ndarray], place: np.ndarray) -> pa.RecordBatch:
-    live = np.flatnonzero(place >= 0)
-    _, cols, weights = _values(c, live)
-    ptr = np.concatenate([[0], np.cumsum(np.diff(c["ptr"])[live])]).astype(np.int64)
-    return _row(place[live].astype(np.int32), c["ids"][live], ptr, cols, weights, names=list(_WORK))
-
-
-def _divide(work: DataFrame, table: np.ndarray, goes: np.ndarray) -> DataFrame:
-    """The documents of the halves that go on, at the places that ``goes`` (place x side) names; -1 is left out."""
-    shared = work.sparkSession.sparkContext.broadcast((table, goes))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, goes = shared.value
-        for batch in batches:
-            for c in _arrays(batch, _WORK):
-                side = _sides(*_values(c, np.arange(len(c["place"]))), c["place"].astype(np.int64), table)
-                place = goes[c["place"], side.astype(np.int64)]
-                if (place >= 0).any():
-                    yield _kept(c, place)
-
-    return _few_tasks(work).mapInArrow(run, _WORK_DDL)
-
-
 def _add_up(df: DataFrame, add, groups: int, width: int) -> dict[int, tuple[int, np.ndarray]]:
     """Counts and vectors of groups, added up over all chunks: ``add(batches, count, total)`` adds a task's to its arrays.
 
@@ -351,67 +311,209 @@ def _accumulate(total: np.ndarray, key: np.ndarray, weights: np.ndarray | None)
         total += np.bincount(key, weights, len(total))
 
 
-def _sums(work: DataFrame, places: int, width: int, table: np.ndarray | None = None) -> dict[int, tuple[int, np.ndarray]]:
-    """Documents and sum of vectors of each place or, by the directions of ``table``, of its halves (2p and 2p + 1)."""
-    shared = work.sparkSession.sparkContext.broadcast(table)  # bounded by nodes x vocabulary
-    nodes = places if table is None else 2 * places
-
-    def add(batches: Iterator[pa.RecordBatch], count: np.ndarray, total: np.ndarray) -> None:
-        table = shared.value
-        for batch in batches:
-            for c in _arrays(batch, _WORK):
-                rows, cols, weights = _values(c, np.arange(len(c["place"])))
-                node = c["place"].astype(np.int64)
-                if table is not None:
-                    node = 2 * node + _sides(rows, cols, weights, node, table)
-                count += np.bincount(node, minlength=nodes)
-                _accumulate(total, (node * width)[rows] + cols, weights)
-
-    out = _add_up(work, add, nodes, width)
-    shared.unpersist()
-    return out
-
+_WORK = {"place": np.int32, "ids": np.int64, "ptr": np.int64, "cols": np.int32, "weights": np.float32}
+_WORK_DDL = ", ".join(f"{n} binary" for n in _WORK)
+_VECTORS = {n: k for n, k in _WORK.items() if n != "place"}
 
-_SEED = "struct<m:bigint,i:bigint,c:binary,w:binary>"
-_SEED_TYPE = pa.struct([("m", pa.int64()), ("i", pa.int64()), ("c", pa.binary()), ("w", pa.binary())])
 
+def _few_tasks(df: DataFrame) -> DataFrame:
+    """A few tasks a core, whatever the data: each sends one sparse row a node, so what is shuffled is bounded."""
+    return df.coalesce(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
 
-def _seeds(work: DataFrame) -> dict[int, list]:
-    """Of each place its documents of smallest hash, ``SEED_DOCS`` at most; a task sends no more than that."""
 
-    def packed(kept: dict[int, list]) -> pa.RecordBatch:
-        seeds = [[dict(zip("micw", x)) for x in held] for held in kept.values()]
-        return pa.RecordBatch.from_arrays([pa.array(list(kept), pa.int64()), pa.array(seeds, pa.list_(_SEED_TYPE))], names=["place", "seeds"])
+def _kept(c: dict[str, np.ndarray], place: np.ndarray) -> dict[str, np.ndarray]:
+    """The documents with a place of 0 or more."""
+    live = np.flatnonzero(place >= 0)
+    _, cols, weights = _values(c, live)
+    ptr = np.concatenate([[0], np.cumsum(np.diff(c["ptr"])[live])]).astype(np.int64)
+    return {"place": place[live].astype(np.int32), "ids": c["ids"][live], "ptr": ptr, "cols": cols, "weights": weights}
+
+
+def _followed(c: dict[str, np.ndarray], table: np.ndarray, goes: np.ndarray) -> np.ndarray:
+    """The place that each document goes on to by its side of its node's direction."""
+    side = _sides(*_values(c, np.arange(len(c["place"]))), c["place"].astype(np.int64), table)
+    return goes[c["place"], side.astype(np.int64)]
+
+
+def _add_sums(c: dict[str, np.ndarray], table: np.ndarray | None, width: int, count: np.ndarray, total: np.ndarray) -> None:
+    rows, cols, weights = _values(c, np.arange(len(c["place"])))
+    node = c["place"].astype(np.int64)
+    if table is not None:
+        node = 2 * node + _sides(rows, cols, weights, node, table)
+    count += np.bincount(node, minlength=len(count))
+    _accumulate(total, (node * width)[rows] + cols, weights)
+
+
+def _add_seeds(c: dict[str, np.ndarray], kept: dict[int, list]) -> dict[int, list]:
+    mark = ((c["ids"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64)
+    limit = np.full(int(c["place"].max(initial=0)) + 1, np.iinfo(np.int64).max)
+    for p, held in kept.items():
+        if len(held) == SEED_DOCS and p < len(limit):
+            limit[p] = held[-1][0]
+    who = np.flatnonzero(mark <= limit[c["place"]])
+    who = who[np.lexsort((mark[who], c["place"][who]))]
+    start = np.flatnonzero(np.diff(c["place"][who], prepend=-1))
+    rank = np.arange(len(who)) - np.repeat(start, np.diff(np.append(start, len(who))))
+    for i in who[rank < SEED_DOCS]:
+        s = slice(c["ptr"][i], c["ptr"][i + 1])
+        kept.setdefault(int(c["place"][i]), []).append((int(mark[i]), int(c["ids"][i]), c["cols"][s].tobytes(), c["weights"][s].tobytes()))
+    return {p: sorted(held)[:SEED_DOCS] for p, held in kept.items()}
+
+
+def _add_farthest(c: dict[str, np.ndarray], centres: dict[int, np.ndarray], held: dict[int, tuple]) -> None:
+    for p, centre in centres.items():
+        mine = np.flatnonzero(c["place"] == p)
+        if len(mine):
+            rows, cols, weights = _values(c, mine)
+            like = np.bincount(rows, weights * centre[cols], len(mine))
+            i = mine[(k := np.lexsort((c["ids"][mine], like))[0])]
+            at = slice(c["ptr"][i], c["ptr"][i + 1])
+            one = (float(like[k]), int(c["ids"][i]), c["cols"][at].tobytes(), c["weights"][at].tobytes())
+            held[p] = min(held.get(p, one), one)
+
+
+def _dense(cols: bytes, values: bytes, kind: type, width: int) -> np.ndarray:
+    out = np.zeros(width)
+    out[np.frombuffer(cols, np.int32)] = np.frombuffer(values, kind)
+    return out
 
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, list] = {}
-        for batch in batches:
-            for c in _arrays(batch, _WORK):
-                mark = ((c["ids"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64)
-                limit = np.full(int(c["place"].max(initial=0)) + 1, np.iinfo(np.int64).max)
-                for p, held in kept.items():
-                    if len(held) == SEED_DOCS and p < len(limit):
-                        limit[p] = held[-1][0]
-                who = np.flatnonzero(mark <= limit[c["place"]])
-                who = who[np.lexsort((mark[who], c["place"][who]))]
-                start = np.flatnonzero(np.diff(c["place"][who], prepend=-1))
-                rank = np.arange(len(who)) - np.repeat(start, np.diff(np.append(start, len(who))))
-                for i in who[rank < SEED_DOCS]:
-                    s = slice(c["ptr"][i], c["ptr"][i + 1])
-                    kept.setdefault(int(c["place"][i]), []).append((int(mark[i]), int(c["ids"][i]), c["cols"][s].tobytes(), c["weights"][s].tobytes()))
-                kept = {p: sorted(held)[:SEED_DOCS] for p, held in kept.items()}
-        yield packed(kept)
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, list] = {}
-        for batch in batches:
-            for r in batch.to_pylist():
-                kept[r["place"]] = sorted(kept.get(r["place"], []) + [(s["m"], s["i"], s["c"], s["w"]) for s in r["seeds"]])[:SEED_DOCS]
-        yield packed(kept)
+_SEED = pa.struct([("m", pa.int64()), ("i", pa.int64()), ("c", pa.binary()), ("w", pa.binary())])
+_SEED_DDL = "place bigint, seeds array<struct<m:bigint,i:bigint,c:binary,w:binary>>"
+
+
+class _Cluster:
+    """The documents of a level's nodes as written chunks; every method is a pass over all of them."""
+
+    def __init__(self, df: DataFrame, width: int, path: str | None = None):
+        self.df, self.width, self.path, self.spark = df, width, path, df.sparkSession
+
+    def sums(self, places: int, table: np.ndarray | None = None) -> dict[int, tuple[int, np.ndarray]]:
+        """Documents and sum of vectors of each place or, by the directions of ``table``, of its halves (2p and 2p + 1)."""
+        shared, width = self.spark.sparkContext.broadcast(table), self.width  # bounded by nodes x vocabulary
+
+        def add(batches: Iterator[pa.RecordBatch], count: np.ndarray, total: np.ndarray) -> None:
+            for batch in batches:
+                for c in _arrays(batch, _WORK):
+                    _add_sums(c, shared.value, width, count, total)
+
+        out = _add_up(self.df, add, places if table is None else 2 * places, width)
+        shared.unpersist()
+        return out
+
+    def seeds(self) -> dict[int, list]:
+        """Of each place its documents of smallest hash, ``SEED_DOCS`` at most; a task sends no more than that."""
+
+        def packed(kept: dict[int, list]) -> pa.RecordBatch:
+            seeds = [[dict(zip("micw", x)) for x in held] for held in kept.values()]
+            return pa.RecordBatch.from_arrays([pa.array(list(kept), pa.int64()), pa.array(seeds, pa.list_(_SEED))], names=["place", "seeds"])
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kept: dict[int, list] = {}
+            for batch in batches:
+                for c in _arrays(batch, _WORK):
+                    kept = _add_seeds(c, kept)
+            yield packed(kept)
+
+        def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kept: dict[int, list] = {}
+            for batch in batches:
+                for r in batch.to_pylist():
+                    kept[r["place"]] = sorted(kept.get(r["place"], []) + [(s["m"], s["i"], s["c"], s["w"]) for s in r["seeds"]])[:SEED_DOCS]
+            yield packed(kept)
+
+        rows = _few_tasks(self.df).mapInArrow(part, _SEED_DDL).repartition("place").mapInArrow(join, _SEED_DDL).collect()
+        return {r["place"]: r["seeds"] for r in rows}
+
+    def farthest(self, centres: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+        """Of each place of ``centres`` the vector of its document least like its centre, ties by id."""
+        shared, width = self.spark.sparkContext.broadcast(centres), self.width
+        far = pa.struct([("l", pa.float64()), ("i", pa.int64()), ("c", pa.binary()), ("w", pa.binary())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, tuple] = {}
+            for batch in batches:
+                for c in _arrays(batch, _WORK):
+                    _add_farthest(c, shared.value, held)
+            rows = [{"place": p, "far": dict(zip("licw", x))} for p, x in held.items()]
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("place", pa.int64()), ("far", far)]))
+
+        found = _few_tasks(self.df).mapInArrow(run, "place bigint, far struct<l:double,i:bigint,c:binary,w:binary>")
+        rows = found.groupBy("place").agg(F.min("far").alias("far")).collect()
+        shared.unpersist()
+        return {r["place"]: _dense(r["far"]["c"], r["far"]["w"], np.float32, width) for r in rows}
+
+    def _moved(self, table: np.ndarray, goes: np.ndarray) -> DataFrame:
+        shared = self.spark.sparkContext.broadcast((table, goes))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for c in _arrays(batch, _WORK):
+                    place = _followed(c, *shared.value)
+                    if (place >= 0).any():
+                        yield _row(*_kept(c, place).values(), names=list(_WORK))
+
+        return _few_tasks(self.df).mapInArrow(run, _WORK_DDL)
+
+    def divide(self, table: np.ndarray, goes: np.ndarray) -> "_Cluster":
+        """The documents of the halves that go on, at the places that ``goes`` (place x side) names; -1 is left out."""
+        path = write_shared(self._moved(table, goes), "work")
+        self.drop()
+        return _Cluster(reread(self.spark, path), self.width, path)
+
+    def subtrees(self, table: np.ndarray | None, goes: np.ndarray | None, limit: float) -> dict[int, list]:
+        """The whole subtrees of small nodes, each grown by one task that holds its documents."""
+        df = self.df if table is None else self._moved(table, goes)
+        width = self.width
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for c in _arrays(batch, _WORK):
+                    for p in np.unique(c["place"]):
+                        mine = _kept(c, np.where(c["place"] == p, 0, -1))
+                        row = _row(*[mine[n] for n in _VECTORS], names=list(_VECTORS))
+                        yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), *row.columns], names=["at", *_VECTORS])
+
+        def grow(rows: pa.Table) -> pa.Table:
+            held = [c for b in rows.select(list(_VECTORS)).to_batches() for c in _arrays(b, _VECTORS)]
+            tree = pickle.dumps(_grow(_Memory(held, width), 1, limit)[0])
+            return pa.table({"at": rows.column("at")[:1], "tree": pa.array([tree], pa.binary())})
+
+        by_node = _few_tasks(df).mapInArrow(cut, "at bigint, " + ", ".join(f"{n} binary" for n in _VECTORS))
+        return {r["at"]: pickle.loads(r["tree"]) for r in by_node.groupBy("at").applyInArrow(grow, "at bigint, tree binary").collect()}
+
+    def drop(self) -> None:
+        if self.path:
+            drop_shared(self.spark, self.path)
+
+
+class _Memory:
+    """The documents of one small node, in memory: the same passes as ``_Cluster``."""
+
+    def __init__(self, chunks: list[dict[str, np.ndarray]], width: int):
+        ends = np.cumsum([0] + [c["ptr"][-1] for c in chunks])
+        joined = {n: np.concatenate([c[n] for c in chunks]) for n in ("ids", "cols", "weights")}
+        order = np.concatenate([c["ptr"][:-1] + e for c, e in zip(chunks, ends)] + [ends[-1:]]).astype(np.int64)
+        self.c = {"place": np.zeros(len(joined["ids"]), np.int32), "ptr": order, **joined}
+        self.width = width
+
+    def sums(self, places: int, table: np.ndarray | None = None) -> dict[int, tuple[int, np.ndarray]]:
+        nodes = places if table is None else 2 * places
+        count, total = np.zeros(nodes, np.int64), np.zeros(nodes * self.width)
+        _add_sums(self.c, table, self.width, count, total)
+        return {n: (int(count[n]), total[n * self.width : (n + 1) * self.width]) for n in range(nodes) if count[n]}
+
+    def seeds(self) -> dict[int, list]:
+        return {p: [dict(zip("micw", x)) for x in held] for p, held in _add_seeds(self.c, {}).items()}
+
+    def farthest(self, centres: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+        held: dict[int, tuple] = {}
+        _add_farthest(self.c, centres, held)
+        return {p: _dense(x[2], x[3], np.float32, self.width) for p, x in held.items()}
 
-    ddl = f"place bigint, seeds array<{_SEED}>"
-    rows = _few_tasks(work).mapInArrow(part, ddl).repartition("place").mapInArrow(join, ddl).collect()
-    return {r["place"]: r["seeds"] for r in rows}
+    def divide(self, table: np.ndarray, goes: np.ndarray) -> "_Memory":
+        self.c = _kept(self.c, _followed(self.c, table, goes))
+        return self
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -452,58 +554,56 @@ def _start(seeds: list, width: int) -> np.ndarray | None:
     return way
 
 
-def _farthest(work: DataFrame, centres: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
-    """Of each place of ``centres`` the vector of its document least like its centre, ties by id."""
-    width = len(next(iter(centres.values())))
-    shared = work.sparkSession.sparkContext.broadcast(centres)
+def bisect_documents(chunks: DataFrame, width: int) -> list[dict[int, tuple[np.ndarray, int, int]]]:
+    """Bisecting k-means over all documents: for each level, of each node split there, its direction and halves.
+
+    Node 0 holds all documents. A level works on the documents of its nodes alone, written with the node of each;
+    passes over all of these move the two centres of every node until no node's spread gets lower. A node of up to
+    ``LOCAL_DOCS`` documents is finished in one task by the same steps, with the same result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple] = {}
         for batch in batches:
-            for c in _arrays(batch, _WORK):
-                for p, centre in shared.value.items():
-                    mine = np.flatnonzero(c["place"] == p)
-                    if len(mine):
-                        rows, cols, weights = _values(c, mine)
-                        like = np.bincount(rows, weights * centre[cols], len(mine))
-                        i = mine[(k := np.lexsort((c["ids"][mine], like))[0])]
-                        at = slice(c["ptr"][i], c["ptr"][i + 1])
-                        one = (float(like[k]), int(c["ids"][i]), c["cols"][at].tobytes(), c["weights"][at].tobytes())
-                        held[p] = min(held.get(p, one), one)
-        yield pa.RecordBatch.from_pylist(
-            [{"place": p, "far": dict(zip("licw", x))} for p, x in held.items()],
-            schema=pa.schema([
-                ("place", pa.int64()), ("far", pa.struct([("l", pa.float64()), ("i", pa.int64()), ("c", pa.binary()), ("w", pa.binary())])),
-            ]),
-        )
+            for c in _arrays(batch, _VECTORS):
+                yield _row(*_kept(c, np.where(np.diff(c["ptr"]) > 0, 0, -1)).values(), names=list(_WORK))
 
-    found = _few_tasks(work).mapInArrow(run, "place bigint, far struct<l:double,i:bigint,c:binary,w:binary>")
-    out = {}
-    for r in found.groupBy("place").agg(F.min("far").alias("far")).collect():
-        out[r["place"]] = np.zeros(width)
-        out[r["place"]][np.frombuffer(r["far"]["c"], np.int32)] = np.frombuffer(r["far"]["w"], np.float32)
-    shared.unpersist()
-    return out
+    work = _few_tasks(chunks.select(*_VECTORS)).mapInArrow(run, _WORK_DDL)  # documents with any term, at place 0
+    splits, used = _grow(_Cluster(work, width), 1, None)
+    used.drop()
+    return splits
 
 
-def bisect_documents(chunks: DataFrame, width: int) -> list[dict[int, tuple[np.ndarray, int, int]]]:
-    """Bisecting k-means over all documents: for each level, of each node split there, its direction and halves.
+def _grow(work, known: int, limit: float | None):
+    """Grow a tree on the documents of ``work``, from node 0 on; its levels, and what is left of ``work``.
 
-    Node 0 holds all documents. A level works on the documents of its nodes alone, written with the node of each;
-    passes over all of these move the two centres of every node until no node's spread gets lower.
+    ``known`` is the next node's number, ``limit`` the least spread of a node to be split (None: by this one's).
     """
-    spark = chunks.sparkSession
-    splits: list[dict] = []
-    path = write_shared(_work(chunks), "work")
-    work = reread(spark, path)
-    state = _sums(work, 1, width)
+    width, splits = work.width, []
+    state = work.sums(1)
     if not state:
-        return splits
+        return splits, work
     spread = _spreads(state)
-    everything, known = spread[0], 1
+    limit = LEAST_SPREAD * spread[0] if limit is None else limit
     nodes = [0]  # of each place the node
+
+    def graft(trees: dict[int, list], roots: dict[int, int], depth: int, known: int) -> int:
+        for at, tree in sorted(trees.items()):
+            names = {0: roots[at]}
+            for i, level in enumerate(tree):
+                while len(splits) <= depth + i:
+                    splits.append({})
+                for n, (way, left, right) in sorted(level.items()):
+                    names[left], names[right] = known, known + 1
+                    splits[depth + i][names[n]] = (way, known, known + 1)
+                    known += 2
+        return known
+
+    if isinstance(work, _Cluster) and state[0][0] <= LOCAL_DOCS:
+        graft(work.subtrees(None, None, limit), {0: 0}, 0, known)
+        return splits, work
+    depth = 0
     while nodes:
-        seeds, table, alike = _seeds(work), np.zeros((len(nodes), width), np.float32), {}
+        seeds, table, alike = work.seeds(), np.zeros((len(nodes), width), np.float32), {}
         moving = set()
         for p in range(len(nodes)):
             way = _start(seeds[p], width)
@@ -512,11 +612,11 @@ def bisect_documents(chunks: DataFrame, width: int) -> list[dict[int, tuple[np.n
                 moving.add(p)
             elif spread[p] > 1e-3 * state[p][0]:
                 alike[p] = _unit(state[p][1])
-        for p, far in (_farthest(work, alike) if alike else {}).items():
+        for p, far in (work.farthest(alike) if alike else {}).items():
             table[p] = far - alike[p]
             moving.add(p)
-        split = set(moving)
-        parts = _sums(work, len(nodes), width, table)
+        split = sorted(moving)
+        parts = work.sums(len(nodes), table)
         below = _spreads(parts)
         while moving:
             left = {p: _below(below, p) for p in moving}
@@ -527,33 +627,38 @@ def bisect_documents(chunks: DataFrame, width: int) -> list[dict[int, tuple[np.n
                     moving.discard(p)
             if not moving:
                 break
-            parts = _sums(work, len(nodes), width, table)
+            parts = work.sums(len(nodes), table)
             below = _spreads(parts)
             moving = {p for p in moving if left[p] - _below(below, p) > SETTLED * spread[p]}
-        level, following, goes = {}, [], np.full((len(nodes), 2), -1)
-        for p in sorted(split):
-            level[nodes[p]] = (table[p].copy(), known, known + 1)
+        while len(splits) <= depth:
+            splits.append({})
+        following, small = [], {}
+        goes, goes_small = np.full((len(nodes), 2), -1), np.full((len(nodes), 2), -1)
+        for p in split:
+            splits[depth][nodes[p]] = (table[p].copy(), known, known + 1)
             docs = [parts[2 * p + s][0] if 2 * p + s in parts else 0 for s in (0, 1)]
             done = set()
             if 1 - _below(below, p) / spread[p] < LEAST_GAIN + CHANCE / state[p][0]:
                 few = OUTLIERS * sum(docs)
                 done = {s for s in (0, 1) if min(docs) > few or docs[s] <= few}
             for s in (0, 1):
-                if s not in done and docs[s] > 1 and docs[s] < state[p][0] and below[2 * p + s] >= LEAST_SPREAD * everything:
-                    goes[p, s] = len(following)
-                    following.append((known + s, parts[2 * p + s], below[2 * p + s]))
+                if s not in done and 1 < docs[s] < state[p][0] and below[2 * p + s] >= limit:
+                    if isinstance(work, _Cluster) and docs[s] <= LOCAL_DOCS:
+                        goes_small[p, s] = len(small)
+                        small[len(small)] = known + s
+                    else:
+                        goes[p, s] = len(following)
+                        following.append((known + s, parts[2 * p + s], below[2 * p + s]))
             known += 2
-        if level:
-            splits.append(level)
+        depth += 1
+        if small:
+            known = graft(work.subtrees(table, goes_small, limit), small, depth, known)
         nodes = [n for n, _, _ in following]
         state = dict(enumerate(x for _, x, _ in following))
         spread = dict(enumerate(x for _, _, x in following))
         if nodes:
-            rest = write_shared(_divide(work, table, goes), "work")
-            drop_shared(spark, path)
-            path, work = rest, reread(spark, rest)
-    drop_shared(spark, path)
-    return splits
+            work = work.divide(table, goes)
+    return [level for level in splits if level], work
 
 
 def _below(spread: dict[int, float], place: int) -> float:

@@ -119,3 +119,12 @@ def test_a_leaf_of_two_subjects_is_cut_by_the_examples():
     assert np.allclose(mixtures.sum(1), 1)
     parts, subject = subjects.leaf_parts(counts, mixtures, np.array([[9.0, 0, 0, 0], [0, 9, 0, 0], [0, 0, 9, 0]]))
     assert subject.tolist() == [0, 1, 2] and parts[0, 0] > 40 and parts[1, 1] > 40 and np.allclose(parts[:2].sum(0), counts[0])
+
+
+def test_small_nodes_are_finished_alike_in_one_task(spark, corpus, monkeypatch):
+    (docs, areas, examples), _ = corpus
+    got = []
+    for most in (0, 120, 10_000):  # by passes alone, partly, and all in one task
+        monkeypatch.setattr(subjects, "LOCAL_DOCS", most)
+        got.append({tuple(r) for r in subjects.assign_subjects(docs, areas, examples).collect()})
+    assert got[0] == got[1] == got[2] and got[0]
