@@ -5,17 +5,24 @@ then takes an independent third of the nodes left with one child out of their ch
 its hash is larger than both neighbours'), joining child to grandparent. The number of rounds is
 logarithmic in the number of nodes, whatever the depth or fan-out. Each round writes one table in
 which the removed nodes are marked; reading these in reverse order recovers roots, depths, subtree
-sizes and paths, as the nodes a removed one was attached to went later. What never contracts to a
-root is a self-loop, the core of a cycle.
+sizes and paths, as the nodes a removed one was attached to went later. What was removed in one round reads
+what went later, which shrinks from round to round, so that all rounds together read a few times the nodes. What
+never contracts to a root is a self-loop, the core of a cycle. Once few nodes are left, one task contracts
+the rest leaf by leaf and reverses that, with the same result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import drop_shared, reread, write_shared
 
+#: Nodes that one task finishes: rounds over fewer cost more than their work.
+LOCAL_NODES = 20_000
 _ALIVE, _RAKED, _SPLICED = 0, 1, 2
 
 
@@ -84,7 +91,7 @@ def _round(alive: DataFrame, turn: int, paths: bool) -> DataFrame:
 
 
 def contract(links: DataFrame, paths: bool = False) -> list[str]:
-    """Contract ``links`` (node, parent) to roots and cycle cores; the written rounds, first to last.
+    """Contract ``links`` (node, parent) until ``LOCAL_NODES`` or only roots and cycle cores are alive; the written rounds.
 
     Columns: v, its parent p, steps w and nodes x (with what they absorbed) between them, absorbed
     size sz, kind (0 alive, 1 raked, 2 spliced), for spliced nodes the child c, and base, the size
@@ -100,11 +107,79 @@ def contract(links: DataFrame, paths: bool = False) -> list[str]:
     rounds = [write_shared(start, "contract0")]
     while True:
         alive = reread(spark, rounds[-1]).where(F.col("kind") == _ALIVE).drop("kind", "c", "base")
-        if alive.where("p is not null and p <> v").isEmpty():  # roots and cores of cycles
+        if alive.where("p is not null and p <> v").limit(1).isEmpty() or alive.count() <= LOCAL_NODES:  # roots and cores of cycles
             return rounds
         rounds.append(write_shared(_round(alive, len(rounds), paths), f"contract{len(rounds)}"))
 
 
+def _solve(rows: list[dict]) -> list[dict]:
+    """Contract the links left by hand: rake leaf after leaf, then take the loops that remain, then go back.
+
+    Of a loop the least node is the core; the others lie below it, down the links.
+    """
+    at = {r["v"]: r for r in rows}
+    kids = dict.fromkeys(at, 0)
+    for r in rows:
+        r["total"] = r["sz"]
+        if r["p"] is not None:
+            kids[r["p"]] += 1
+    raked = [v for v, n in kids.items() if not n and at[v]["p"] is not None]
+    for v in raked:  # grows as parents become leaves
+        up = at[at[v]["p"]]
+        up["total"] += at[v]["x"] + at[v]["total"]
+        kids[up["v"]] -= 1
+        if not kids[up["v"]] and up["p"] is not None:
+            raked.append(up["v"])
+    left = set(at) - set(raked)
+
+    def hang(r: dict, up: dict, cyc: int) -> None:
+        path = [*up["path"], *r["mid"], r["v"]] if "mid" in r else None
+        r.update(root=up["root"], depth=up["depth"] + r["w"], cyc=cyc, path=path)
+        r["turn"] = r["depth"] if cyc == 2 else up["turn"]
+
+    for v in sorted(left):
+        r = at[v]
+        if "cyc" in r:
+            continue
+        r.update(root=v if r["p"] is None else None, depth=0, cyc=0 if r["p"] is None else 2, path=[v], turn=0)
+        if r["p"] is not None:
+            loop = [r]
+            while loop[-1]["p"] != v:
+                loop.append(at[loop[-1]["p"]])
+            total = sum(m["total"] + m["x"] for m in loop)
+            for m in reversed(loop[1:]):
+                hang(m, at[m["p"]], 2)
+            for m in loop:
+                m["total"] = total
+    for v in reversed(raked):
+        up = at[at[v]["p"]]
+        hang(at[v], up, 1 if up["cyc"] else 0)
+    return rows
+
+
+def _finish(alive: DataFrame, paths: bool) -> DataFrame:
+    """Root, depth, size and cycle state of the nodes that were left, in one task of at most ``LOCAL_NODES``
+    nodes; beyond that these are roots and cores alone, and each stands for itself."""
+    extra = ["path", "turn"] if paths else []
+    core = F.col("p").isNotNull()
+    if alive.count() > LOCAL_NODES:
+        return alive.select(
+            "v", F.when(~core, F.col("v")).alias("root"), F.lit(0).cast("long").alias("depth"),
+            (F.col("sz") + F.when(core, F.col("x")).otherwise(0)).alias("total"), F.when(core, 2).otherwise(0).alias("cyc"),
+            *([F.array("v").alias("path"), F.lit(0).cast("long").alias("turn")] if paths else []),
+        )
+    kinds = {"v": pa.string(), "root": pa.string(), "depth": pa.int64(), "total": pa.int64(), "cyc": pa.int32(), "path": pa.list_(pa.string()), "turn": pa.int64()}
+    schema = pa.schema([(n, k) for n, k in kinds.items() if n not in ("path", "turn") or paths])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _solve([r for batch in batches for r in batch.to_pylist()])
+        for i in range(0, len(rows), 2_000):
+            yield pa.RecordBatch.from_pylist([{n: r[n] for n in schema.names} for r in rows[i : i + 2_000]], schema=schema)
+
+    ddl = "v string, root string, depth bigint, total bigint, cyc int" + (", path array<string>, turn bigint" if extra else "")
+    return alive.repartition(1).mapInArrow(run, ddl)
+
+
 def _resolve(gone: DataFrame, known: DataFrame, kind: int, paths: bool) -> DataFrame:
     """Root, depth, size and cycle state of one round's removed nodes, from those of the nodes that went later."""
     above = known.select(
@@ -142,18 +217,7 @@ def hierarchy(links: DataFrame, paths: bool = False) -> DataFrame:
     spark = links.sparkSession
     rounds = contract(links, paths)
     final = reread(spark, rounds[-1]).where(F.col("kind") == _ALIVE)
-    core = F.col("p").isNotNull()
-    done = [
-        write_shared(
-            final.select(
-                "v", F.when(~core, F.col("v")).alias("root"), F.lit(0).cast("long").alias("depth"),
-                (F.col("sz") + F.when(core, F.col("x")).otherwise(0)).alias("total"),
-                F.when(core, 2).otherwise(0).alias("cyc"),
-                *([F.array("v").alias("path"), F.lit(0).cast("long").alias("turn")] if paths else []),
-            ),
-            "resolved",
-        )
-    ]
+    done = [write_shared(_finish(final.select("v", "p", "w", "x", "sz", *(["mid"] if paths else [])), paths), "resolved")]
     for written in reversed(rounds[1:]):
         gone = reread(spark, written)
         # a spliced node's neighbours went later; a raked one's parent may have been spliced in its round

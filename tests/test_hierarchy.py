@@ -89,3 +89,15 @@ def test_descendants_on_and_below_loops(spark):
     got = rows(hierarchy.descendants(tree), "ancestor", "descendant", "steps")
     assert got == sorted(want, key=lambda t: tuple((True, str(x)) for x in t))
     assert Counter(a for a, _, _ in got) == {r.node: r.impact_radius for r in tree.collect() if r.impact_radius}
+
+
+def test_rounds_and_one_task_agree(spark, sf, monkeypatch):
+    links = hierarchy.current_parents(spark.read.parquet(f"{sf}/raw_edges.parquet"))
+    extra = [(f"c{i}", f"c{(i * 7 + 3) % 40}") for i in range(40)] + [(f"d{i}", f"d{i - 1}" if i else "c5") for i in range(30)] + [("self", "self"), ("alone", None)]
+    links = links.unionByName(spark.createDataFrame(extra, "node string, parent string"))
+    got = []
+    for most in (0, 60, 100_000):
+        monkeypatch.setattr(hierarchy, "LOCAL_NODES", most)
+        tree = hierarchy.hierarchy(links, paths=True)
+        got.append((rows(tree, "node", "root", "depth", "impact_radius", "cyclic"), rows(tree.where("cyclic = 0"), "node", "path"), rows(hierarchy.descendants(tree))))
+    assert got[0] == got[1] == got[2]
