@@ -1,15 +1,18 @@
 """Schemas that drift between files: one table of one shape, and a report of each change.
 
-Payloads become rows of (path, raw type, value). Statistics of these by stream and file say which
-fields a file has, of what type and with what content; consecutive files are compared by them. A
-renamed field is found by its type, its place in the written order of its record and its content.
+Payloads become maps of path to raw type and value, and in the same Arrow pass partial statistics of
+these by stream, file, path and type: how often, in what place, with which values and forms. Added up, they
+say which fields a file has, of what type and with what content; consecutive files are compared by them. A
+renamed field is found by its type, its place among the fields that stay and its content.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,28 +21,27 @@ from .nested import canonical, parse_json
 
 #: A field of more distinct values than this share of its rows has a form rather than a vocabulary.
 OPEN_SHARE = 0.5
-#: How far a renamed field may move in the written order, in fields.
+#: How many of the fields that stay may lie between a field and its new name.
 PLACE_TOLERANCE = 3.0
-
-_VALUES = pa.schema([
-    ("record_id", pa.int64()), ("stream", pa.string()), ("file_seq", pa.int64()), ("path", pa.string()),
-    ("type", pa.string()), ("value", pa.string()), ("form", pa.string()), ("num", pa.float64()),
-    ("place", pa.float64()), ("layout", pa.string()), ("items", pa.list_(pa.string())),
+#: How much likeness a step over such a field costs, and a step over a field that came or went.
+MOVED, PASSED = 0.2 / PLACE_TOLERANCE, 0.02
+
+_PARSED = pa.schema([
+    ("record_id", pa.int64()), ("stream", pa.string()), ("file_seq", pa.int64()),
+    ("values", pa.map_(pa.string(), pa.struct([("type", pa.string()), ("value", pa.string())]))),
+    ("path", pa.string()), ("type", pa.string()), ("what", pa.string()), ("key", pa.string()), ("h", pa.int64()),
+    ("n", pa.int64()), ("place", pa.float64()), ("lo", pa.float64()), ("hi", pa.float64()),
 ])
-_VALUES_DDL = (
-    "record_id bigint, stream string, file_seq bigint, path string, type string, value string, form string, "
-    "num double, place double, layout string, items array<string>"
+_PARSED_DDL = (
+    "record_id bigint, stream string, file_seq bigint, values map<string,struct<type:string,value:string>>, path string, "
+    "type string, what string, key string, h bigint, n bigint, place double, lo double, hi double"
 )
+_TYPE_OF = {bool: "boolean", int: "integer", float: "float", list: "array", str: "string"}
+_LARGEST = 1.7976931348623157e308
 
 
 def raw_type(value) -> str:
-    if isinstance(value, bool):
-        return "boolean"
-    if isinstance(value, int):
-        return "integer"
-    if isinstance(value, float):
-        return "float"
-    return "array" if isinstance(value, list) else "string"
+    return _TYPE_OF[type(value)]
 
 
 def leaves(value: dict, prefix: str = "") -> Iterator[tuple[str, object]]:
@@ -57,106 +59,160 @@ def leaves(value: dict, prefix: str = "") -> Iterator[tuple[str, object]]:
             yield prefix + key, inner
 
 
+_DIGITS, _LETTERS, _RUN = re.compile(r"\d+"), re.compile(r"[^\W\d_]+"), re.compile(r"([^9a])\1+")
+_HEX = re.compile(r"(?=.*[0-9])(?=.*[a-fA-F])[0-9a-fA-F]+")
+
+
 def form_of(value) -> str:
-    """The form of a text: runs of digits, of hexadecimal digits with both, and of letters, with lengths for the first two."""
+    """The form of a whole text: runs of digits, of letters and of any other character, each as one; hexadecimal
+    texts with digits and letters by their length. Of an array, the types of its elements."""
     if isinstance(value, list):
-        return "[" + ",".join(sorted({raw_type(x) if x is not None else "null" for x in value})) + "]"
+        return "[" + ",".join(sorted({"null" if x is None else _TYPE_OF.get(type(x), "object") for x in value})) + "]"
     text = str(value)
-    if len(text) >= 8 and all(c in "0123456789abcdefABCDEF" for c in text):
+    if _HEX.fullmatch(text):
         return f"hex{len(text)}"
-    out = []
-    for c in text[:64]:
-        k = "9" if c.isdigit() else "a" if c.isalpha() else c
-        if not out or out[-1] != k:
-            out.append(k)
-    return "".join(out)
+    return _RUN.sub(r"\1", _DIGITS.sub("9", _LETTERS.sub("a", text)))
 
 
-def path_values(records: DataFrame) -> DataFrame:
-    """One row for each field of each readable record: path, raw type, value, place and layout.
+def _safe(text: str) -> str:
+    return text if text.isascii() else text.encode("utf-8", "backslashreplace").decode()
+
 
-    ``value`` is the canonical text, ``items`` that of each element of an array, ``place`` the number of fields before it, ``layout`` the first
-    key of a record whose keys are not in alphabetical order (sorted layouts hide the written order).
-    Payloads that are not JSON objects give no row.
+def _number(value) -> float:
+    try:
+        return max(-_LARGEST, min(_LARGEST, float(value)))
+    except OverflowError:
+        return _LARGEST if value > 0 else -_LARGEST
+
+
+def hash_of(text: str | None) -> int:
+    """64-bit hash of a value's text, as a signed number; null is that of no value."""
+    h = 0 if text is None else xxhash.xxh64_intdigest(text)
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+class _Tally:
+    """Partial statistics of the fields of one batch of records."""
+
+    def __init__(self) -> None:
+        self.files: dict[tuple, dict[tuple, tuple[dict, dict, dict]]] = {}
+
+    def add(self, stream, seq, root: dict, found: list[tuple[str, object]]) -> None:
+        keys = list(root)
+        layout = keys[0] if keys and keys != sorted(keys) else ""  # sorted keys hide the written order
+        fields = self.files.setdefault((stream, seq), {})
+        for place, (path, value) in enumerate(found):
+            kind = _TYPE_OF[type(value)]
+            field = fields.get((path, kind))
+            if field is None:
+                field = fields[path, kind] = ({}, {}, {})
+            layouts, values, forms = field
+            seen = layouts.setdefault(layout, [0, 0])
+            seen[0] += 1
+            seen[1] += place
+            if kind == "array":
+                form = form_of(value)
+                forms[form] = forms.get(form, 0) + 1
+                for item in [canonical(x) for x in value] or [None]:
+                    values[item] = values.get(item, 0) + 1
+            else:
+                values[value] = values.get(value, 0) + 1
+
+    def rows(self) -> Iterator[tuple]:
+        """(stream, file_seq, path, type, what, key, h, n, place, lo, hi): layouts ``l``, forms ``f``, values ``v``."""
+        for (stream, seq), fields in self.files.items():
+            for (path, kind), (layouts, values, forms) in fields.items():
+                by = (stream, seq, _safe(path), kind)
+                numbers = kind in ("integer", "float")
+                lo, hi = (_number(min(values)), _number(max(values))) if numbers else (None, None)
+                for layout, (n, place) in layouts.items():
+                    yield (*by, "l", _safe(layout), 0, n, float(place), lo, hi)
+                for value, n in values.items():
+                    if kind == "string":
+                        form = form_of(value)
+                        forms[form] = forms.get(form, 0) + n
+                    text = value if isinstance(value, str) or value is None else canonical(value)
+                    yield (*by, "v", "", hash_of(text and _safe(text)), n, None, None, None)
+                for form, n in forms.items():
+                    yield (*by, "f", _safe(form), 0, n, None, None, None)
+
+
+def parse(records: DataFrame, values: bool = False) -> DataFrame:
+    """One pass over the payloads: partial statistics and, with ``values``, of every record its values by path.
+
+    Statistics have a ``path``, records (all, unreadable ones with null ``values``) a ``record_id``. A value is
+    its canonical text. Statistics are those of an Arrow batch, so that what follows is smaller than the values. Payloads that
+    are not JSON objects have no fields.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            tally, out = _Tally(), []
             for rid, stream, seq, payload in zip(*(c.to_pylist() for c in batch.columns)):
                 good, root = parse_json(payload)
-                if not good or not isinstance(root, dict):
-                    continue
-                keys = list(root)
-                layout = keys[0] if keys and keys != sorted(keys) else ""
-                for place, (path, value) in enumerate(leaves(root)):
-                    kind = raw_type(value)
-                    text = value if isinstance(value, str) else canonical(value)
-                    num = float(value) if kind in ("integer", "float") and abs(value) < 1e300 else None
-                    text = _safe(text)
-                    items = [_safe(canonical(x)) for x in value] if kind == "array" else [text]
-                    rows.append((rid, stream, seq, _safe(path), kind, text, _safe(form_of(value)), num, float(place), _safe(layout), items))
-            cols = list(zip(*rows)) if rows else [[]] * len(_VALUES)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _VALUES)], schema=_VALUES)
-
-    return records.select("record_id", "stream", "file_seq", "payload").mapInArrow(run, _VALUES_DDL)
+                held = None
+                if good and isinstance(root, dict):
+                    found = list(leaves(root))
+                    tally.add(stream, seq, root, found)
+                    if values:
+                        held = {
+                            _safe(p): {"type": raw_type(v), "value": _safe(v if isinstance(v, str) else canonical(v))} for p, v in found
+                        }
+                if values:
+                    out.append((rid, stream, seq, None if held is None else list(held.items()), *[None] * 9))
+            out += [(None, r[0], r[1], None, *r[2:]) for r in tally.rows()]
+            cols = list(zip(*out)) if out else [[]] * len(_PARSED)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _PARSED)], schema=_PARSED)
 
+    return records.select("record_id", "stream", "file_seq", "payload").mapInArrow(run, _PARSED_DDL)
 
-def _safe(text: str) -> str:
-    return text if text.isascii() else text.encode("utf-8", "backslashreplace").decode()
 
+_BY = ["stream", "file_seq", "path", "type"]
 
-def field_statistics(values: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per stream, file, path and type: rows, range, place, distinct values, main form and, of booleans, shares.
 
-    Beside it every field's vocabulary: its distinct values as hashes ``h``, with counts. Values, and the elements
-    of arrays, are first counted by (field, value), which combines before the shuffle, so one file with a
-    third of all records is no single task.
+def field_statistics(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per stream, file, path and type: rows, range, place, distinct values, main form and, of booleans, the share of true.
+
+    Beside it every field's vocabulary: its distinct values as hashes ``h``. Partial statistics are added up by
+    (field, value) with a combine before the shuffle, so one file with a third of all records is no single task.
+    ``place`` is taken from records in the file's main layout whose keys are not sorted, where it has such.
     """
-    by = ["stream", "file_seq", "path", "type"]
-    values = materialize(values.select(*by, "form", "layout", "num", "place", "items"), "values")  # payloads are parsed once
-    counted = materialize(
-        values.groupBy(*by, "form", "layout").agg(
-            F.count(F.lit(1)).alias("n"), F.min("num").alias("lo"), F.max("num").alias("hi"), F.sum("place").alias("place")
-        ),
-        "counted",
-    )
-    by_value = (
-        values.select(*by, F.explode_outer("items").alias("item")).groupBy(*by, F.xxhash64("item").alias("h"))
-        .agg(F.count(F.lit(1)).alias("n"))
+    tall = materialize(
+        parsed.where("path is not null").groupBy(*_BY, "what", "key", "h").agg(
+            F.sum("n").alias("n"), F.sum("place").alias("place"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
+        ), "tallies",
     )
-    by_value = materialize(by_value, "vocabulary")
-    shares = by_value.where("type = 'boolean'").groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("h", "n"))).alias("shares"))
-    layouts = (
-        counted.where("layout <> ''").groupBy("stream", "file_seq", "layout").agg(F.sum("n").alias("__n"))
-        .groupBy("stream", "file_seq").agg(F.max_by("layout", F.struct("__n", "layout")).alias("__main"))
+    main = (
+        tall.where("what = 'l' and key <> ''").groupBy("stream", "file_seq", "key").agg(F.sum("n").alias("n"))
+        .groupBy("stream", "file_seq").agg(F.max_by("key", F.struct("n", "key")).alias("__main"))
     )
-    forms = counted.groupBy(*by, "form").agg(F.sum("n").alias("n")).groupBy(*by).agg(
-        F.max_by("form", F.struct(F.col("form") != "[]", "n", "form")).alias("form")
-    )
-    base = counted.groupBy(*by, "layout").agg(
-        F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("place").alias("place")
-    ).join(layouts, ["stream", "file_seq"], "left").groupBy(*by).agg(
-        F.sum("n").alias("rows"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
-        (F.sum(F.when(F.col("layout") == F.col("__main"), F.col("place"))) / F.sum(F.when(F.col("layout") == F.col("__main"), F.col("n")))).alias("written_place"),
-        (F.sum("place") / F.sum("n")).alias("any_place"),
-    )
-    distinct = by_value.groupBy(*by).agg(F.count(F.lit(1)).alias("distinct_values"), F.sum("n").alias("items"))
-    stats = (
-        base.join(forms, by).join(distinct, by).join(shares, by, "left")
-        .withColumn("place", F.coalesce("written_place", "any_place"))
-        .drop("written_place", "any_place")
+
+    def when(condition: str, value) -> Column:
+        return F.when(F.expr(condition), value)
+
+    n, written = F.col("n"), "what = 'l' and key = __main"
+    stats = tall.join(main, ["stream", "file_seq"], "left").groupBy(*_BY).agg(
+        F.sum(when("what = 'l'", n)).alias("rows"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+        F.coalesce(
+            F.sum(when(written, F.col("place"))) / F.sum(when(written, n)), F.sum(when("what = 'l'", F.col("place"))) / F.sum(when("what = 'l'", n))
+        ).alias("place"),
+        F.max_by("key", when("what = 'f'", F.struct(F.col("key") != "[]", "n", "key"))).alias("form"),
+        F.count_if(F.col("what") == "v").alias("distinct_values"), F.sum(when("what = 'v'", n)).alias("items"),
+        F.sum(when(f"what = 'v' and h = {hash_of('true')}", n)).alias("yes"),
     )
-    return stats, by_value
+    return stats, tall.where("what = 'v'").select(*_BY, "h")
 
 
 def files_in_order(records: DataFrame) -> DataFrame:
-    """Each file with the one before it in its stream: stream, file_seq, before (null for the first).
+    """Each file with its number in its stream (from 1) and its neighbours: stream, file_seq, idx, before, after.
 
     Files whose lines are all unreadable are files too. A window holds one stream's files.
     """
-    files = records.select("stream", "file_seq").distinct()
-    return files.withColumn("before", F.lag("file_seq").over(Window.partitionBy("stream").orderBy("file_seq")))
+    order = Window.partitionBy("stream").orderBy("file_seq")
+    return records.select("stream", "file_seq").distinct().select(
+        "stream", "file_seq", F.row_number().over(order).alias("idx"), F.lag("file_seq").over(order).alias("before"),
+        F.lead("file_seq").over(order).alias("after"),
+    )
 
 
 def _likeness(a: str, b: str, shared: Column) -> Column:
@@ -179,71 +235,83 @@ def _likeness(a: str, b: str, shared: Column) -> Column:
         .when((width <= 0) & (F.abs(ha - hb) <= 2), 0.7)  # a number that counts up, such as a revision
         .otherwise(0.0)
     )
-    (sa, sb) = of("shares")
-    share = F.aggregate(
-        F.map_keys(sa), F.lit(0.0), lambda acc, k: acc + F.least(F.element_at(sa, k) / ra, F.coalesce(F.try_element_at(sb, k) / rb, F.lit(0.0)))
-    )
+    ya, yb = (F.coalesce(y, F.lit(0)) / r for y, r in zip(of("yes"), (ra, rb)))
     text = F.when(open_ended, F.greatest(alike_form, common)).otherwise(common)
     kind = F.col(f"{a}.type")
     return (
-        F.when(kind == "boolean", share)
+        F.when(kind == "boolean", F.least(ya, yb) + F.least(1 - ya, 1 - yb))
         .when(kind.isin("integer", "float"), F.greatest(ranges, F.when(~open_ended, common).otherwise(0.0)))
         .when(kind == "array", F.when(fa == fb, F.greatest(common, F.when(open_ended, 0.6).otherwise(0.0))).otherwise(0.0))
         .otherwise(text)
     )
 
 
-def schema_changes(records: DataFrame) -> DataFrame:
-    """Each change of a file against the one before it: stream, file_seq, change, field, new_field.
+def _fields_in_order(records: DataFrame, stats: DataFrame) -> DataFrame:
+    """Each path of each file with its types and most frequent type's statistics, beside the files before and after.
 
-    Changes are added, removed, retyped and renamed. Gone and new fields of one file meet only in the
-    same type and neighbouring places of the written order; the likest pair is taken where each is
-    the other's best.
+    ``kept_before`` and ``kept_after`` tell whether the neighbouring file has the path too; ``at_before``,
+    ``at_after`` how many paths of that kind are written before it, ``new_before``, ``gone_before`` how many others.
     """
-    stats, vocabulary = field_statistics(path_values(records))
-    stats = materialize(stats, "fields")
-    files = files_in_order(records)
-    per_field = stats.groupBy("stream", "file_seq", "path").agg(
-        F.array_sort(F.collect_set("type")).alias("types"),
-        F.max_by(F.struct(*[c for c in stats.columns if c not in ("stream", "file_seq", "path")]), F.struct("rows", "type")).alias("stat"),
+    rest = [c for c in stats.columns if c not in ("stream", "file_seq", "path")]
+    fields = stats.groupBy("stream", "file_seq", "path").agg(
+        F.array_sort(F.collect_set("type")).alias("types"), F.max_by(F.struct(*rest), F.struct("rows", "type")).alias("stat")
+    ).join(files_in_order(records), ["stream", "file_seq"])
+    path = Window.partitionBy("stream", "path").orderBy("idx")
+    fields = fields.select(
+        "*", F.coalesce(F.lag("idx").over(path) == F.col("idx") - 1, F.lit(False)).alias("kept_before"), F.lag("types").over(path).alias("types_before"),
+        F.coalesce(F.lead("idx").over(path) == F.col("idx") + 1, F.lit(False)).alias("kept_after"),
     )
-    here = per_field.join(files.select("stream", "file_seq", "before").where("before is not null"), ["stream", "file_seq"])
-    then = per_field.withColumnRenamed("file_seq", "before").join(
-        files.where("before is not null"), ["stream", "before"]
-    )
-    sides = here.select("stream", "file_seq", "before", "path", F.col("types").alias("nt"), F.col("stat").alias("ns")).join(
-        then.select("stream", "file_seq", "before", "path", F.col("types").alias("ot"), F.col("stat").alias("os")),
-        ["stream", "file_seq", "before", "path"], "full",
+    earlier = Window.partitionBy("stream", "file_seq").orderBy("stat.place", "path").rowsBetween(Window.unboundedPreceding, -1)
+
+    def count(kept: str, value: bool) -> Column:
+        return F.coalesce(F.sum((F.col(kept) == value).cast("long")).over(earlier), F.lit(0))
+
+    return fields.select(
+        "*", count("kept_before", True).alias("at_before"), count("kept_before", False).alias("new_before"),
+        count("kept_after", True).alias("at_after"), count("kept_after", False).alias("gone_before"),
     )
-    differing = materialize(sides.where("nt is null or ot is null or nt <> ot"), "differing")
-    retyped = differing.where("nt is not null and ot is not null").select(
+
+
+def schema_changes(records: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
+    """Each change of a file against the one before it: stream, file_seq, change, field, new_field.
+
+    Changes are added, removed, retyped and renamed. Gone and new fields of one file meet only in the
+    same type and in like places among the fields that stay; the likest pair is taken where each is
+    the other's best. ``parsed`` is ``parse(records)``, where it is at hand.
+    """
+    stats, vocabulary = field_statistics(parse(records) if parsed is None else parsed)
+    fields = materialize(_fields_in_order(records, stats), "fields")
+    retyped = fields.where("kept_before and types <> types_before").select(
         "stream", "file_seq", F.lit("retyped").alias("change"), F.col("path").alias("field"), F.lit("").alias("new_field")
     )
-    near = F.floor(F.col("stat.place") / PLACE_TOLERANCE)
-    gone = differing.where("nt is null").select("stream", "file_seq", "before", F.col("path").alias("field"), F.col("os").alias("stat"))
-    new = differing.where("ot is null").select("stream", "file_seq", F.col("path").alias("new_field"), F.col("ns").alias("stat"))
-    pairs = gone.select(
-        "stream", "file_seq", "before", "field", F.col("stat").alias("a"), F.col("stat.type").alias("type"),
-        F.explode(F.array(near - 1, near, near + 1)).alias("zone"),
-    ).join(
-        new.select("stream", "file_seq", "new_field", F.col("stat").alias("b"), F.col("stat.type").alias("type"), near.alias("zone")),
-        ["stream", "file_seq", "type", "zone"],
+    gone = fields.where("not kept_after and after is not null").select(
+        "stream", F.col("after").alias("file_seq"), F.col("file_seq").alias("before"), F.col("path").alias("field"), F.col("stat").alias("a"),
+        F.col("stat.type").alias("type"), F.col("at_after").alias("at_a"), F.col("gone_before").alias("passed_a"),
     )
-    moved = F.abs(F.col("a.place") - F.col("b.place"))
-    near_pairs = materialize(pairs.withColumn("moved", moved).where(F.col("moved") <= PLACE_TOLERANCE), "pairs")
-    old_values = vocabulary.select("stream", F.col("file_seq").alias("before"), F.col("path").alias("field"), "type", "h")
-    new_values = vocabulary.select("stream", "file_seq", F.col("path").alias("new_field"), "type", "h")
-    # all distinct values of each pair, one row a value: containment is exact
+    new = fields.where("not kept_before and before is not null").select(
+        "stream", "file_seq", F.col("path").alias("new_field"), F.col("stat").alias("b"), F.col("stat.type").alias("type"),
+        F.col("at_before").alias("at_b"), F.col("new_before").alias("passed_b"),
+    )
+    moved = F.abs(F.col("at_a") - F.col("at_b"))
+    near = F.floor(F.col("at_a") / PLACE_TOLERANCE)
+    pairs = gone.withColumn("zone", F.explode(F.array(near - 1, near, near + 1))).join(
+        new.withColumn("zone", F.floor(F.col("at_b") / PLACE_TOLERANCE)), ["stream", "file_seq", "type", "zone"]
+    ).where(moved <= PLACE_TOLERANCE)
+    pairs = materialize(pairs, "pairs")
+    pair = ["stream", "file_seq", "field", "new_field"]
+    ends = F.explode(F.array(
+        F.struct(F.col("before").alias("of"), F.col("field").alias("path")), F.struct(F.col("file_seq").alias("of"), F.col("new_field").alias("path")),
+    ))
+    # all distinct values of each pair's two fields, one row a value: containment is exact
     shared = (
-        near_pairs.where("type <> 'boolean'").select("stream", "file_seq", "before", "field", "new_field", "type")
-        .join(old_values, ["stream", "before", "field", "type"]).join(new_values, ["stream", "file_seq", "new_field", "type", "h"])
-        .groupBy("stream", "file_seq", "field", "new_field").agg(F.count(F.lit(1)).alias("shared"))
+        pairs.where("type <> 'boolean'").select(*pair, "type", ends.alias("end")).select(*pair, "type", "end.*")
+        .join(vocabulary.withColumnRenamed("file_seq", "of"), ["stream", "of", "path", "type"])
+        .groupBy(*pair, "h").agg(F.count(F.lit(1)).alias("n")).where("n = 2")
+        .groupBy(*pair).agg(F.count(F.lit(1)).alias("shared"))
     )
-    scored = near_pairs.join(shared, ["stream", "file_seq", "field", "new_field"], "left").withColumn(
-        "like", _likeness("a", "b", F.coalesce("shared", F.lit(0)))
-    ).where(
-        (F.col("like") >= F.when(F.col("type").isin("string", "array"), 0.3).otherwise(0.5))
-    ).withColumn("score", F.col("like") - 0.2 * F.col("moved") / PLACE_TOLERANCE)
+    scored = pairs.join(shared, pair, "left").withColumn("like", _likeness("a", "b", F.coalesce("shared", F.lit(0)))).where(
+        F.col("like") >= F.when(F.col("type").isin("string", "array"), 0.3).otherwise(0.5)
+    ).withColumn("score", F.col("like") - MOVED * moved - PASSED * F.least(F.abs(F.col("passed_a") - F.col("passed_b")), F.lit(5)))
 
     def best(side: str, other: str) -> Column:
         return F.row_number().over(
@@ -270,78 +338,126 @@ def schema_changes(records: DataFrame) -> DataFrame:
     )
 
 
-def field_lineage(records: DataFrame, changes: DataFrame) -> DataFrame:
+def field_lineage(stats: DataFrame, records: DataFrame, changes: DataFrame) -> DataFrame:
     """The consistent name of every field in every file: stream, file_seq, path, field.
 
-    Renames are followed back in time to the first name, by pointer doubling over the rename links
-    (their chains are no longer than a stream has files). A name that comes back joins its old chain.
+    A field lives from the file it comes in to the one before it is gone. Renames join the lives of its names
+    to chains, followed back by pointer doubling until none is left; a chain is named after its first path.
+    A path that comes back unrelated takes its old name again, unless the old chain is still there: then it is
+    ``path#file_seq`` of the file it came in.
     """
-    stats = path_values(records).select("stream", "file_seq", "path").distinct()
-    names = changes.where("change = 'renamed'").groupBy("stream", F.col("new_field").alias("path")).agg(
-        F.min_by("field", "file_seq").alias("older"), F.min("file_seq").alias("since")
+    path = Window.partitionBy("stream", "path").orderBy("idx")
+    present = stats.select("stream", "file_seq", "path").distinct().join(files_in_order(records), ["stream", "file_seq"])
+    begins = F.when(F.lag("idx").over(path) == F.col("idx") - 1, None).otherwise(F.col("file_seq"))
+    present = present.withColumn("__b", begins).withColumn("since", F.last("__b", ignorenulls=True).over(path))
+    present = materialize(present.select("stream", "file_seq", "idx", "before", "path", "since"), "present")
+    lives = present.groupBy("stream", "path", "since").agg(
+        F.min("idx").alias("from"), F.max("idx").alias("to"), F.min_by("before", "idx").alias("before")
     )
-    earliest = stats.groupBy("stream", "path").agg(F.min("file_seq").alias("first"))
+    ends = present.select("stream", F.col("file_seq").alias("before"), F.col("path").alias("field"), F.col("since").alias("since_up"))
+    names = changes.where("change = 'renamed'").select("stream", F.col("file_seq").alias("since"), F.col("new_field").alias("path"), "field")
     links = materialize(
-        names.join(earliest, ["stream", "path"]).where("since <= first").select("stream", "path", "older"), "links"
+        lives.join(names, ["stream", "path", "since"]).join(ends, ["stream", "before", "field"])
+        .select("stream", "path", "since", F.col("field").alias("up"), "since_up"), "links",
     )
-    for _ in range(8):  # chains of up to 2**8 renames
-        up = links.select("stream", F.col("path").alias("older"), F.col("older").alias("__up"))
-        step = links.join(up, ["stream", "older"], "left")
-        links = materialize(step.select("stream", "path", F.coalesce("__up", "older").alias("older")), "links")
-        if links.join(up.select("stream", "older").distinct(), ["stream", "older"], "left_semi").isEmpty():
+    while True:
+        above = links.select("stream", F.col("path").alias("up"), F.col("since").alias("since_up"), F.col("up").alias("__up"), F.col("since_up").alias("__since"))
+        if links.join(above, ["stream", "up", "since_up"], "left_semi").isEmpty():
             break
-    return stats.join(links, ["stream", "path"], "left").select(
-        "stream", "file_seq", "path", F.coalesce("older", "path").alias("field")
+        links = materialize(
+            links.join(above, ["stream", "up", "since_up"], "left").select(
+                "stream", "path", "since", F.coalesce("__up", "up").alias("up"), F.coalesce("__since", "since_up").alias("since_up")
+            ), "links",
+        )
+    chained = lives.join(links, ["stream", "path", "since"], "left").select(
+        "stream", "path", "since", "from", "to", F.coalesce("up", "path").alias("head"), F.coalesce("since_up", "since").alias("head_since")
     )
+    chains = chained.groupBy("stream", "head", "head_since").agg(F.min("from").alias("from"), F.max("to").alias("to"))
+    before = Window.partitionBy("stream", "head").orderBy("from").rowsBetween(Window.unboundedPreceding, -1)
+    still = F.max("to").over(before) >= F.col("from")
+    named = chains.select(
+        "stream", "head", "head_since", F.when(still, F.concat("head", F.lit("#"), F.col("head_since").cast("string"))).otherwise(F.col("head")).alias("field")
+    )
+    of_life = chained.join(named, ["stream", "head", "head_since"]).select("stream", "path", "since", "field")
+    return present.join(of_life, ["stream", "path", "since"]).select("stream", "file_seq", "path", "field")
 
 
 #: The Spark type that a raw type is read as.
 TYPES = {"boolean": "boolean", "integer": "bigint", "float": "double", "string": "string", "array": "string"}
 
 
-def cast_values(records: DataFrame, changes: DataFrame) -> DataFrame:
-    """Every value under its consistent field name and type: record_id, field, type, value, typed, failed.
+def field_types(records: DataFrame, changes: DataFrame, parsed: DataFrame) -> DataFrame:
+    """The consistent field and its type for every path of every file: stream, file_seq, path, field, wanted.
 
-    A field's type is the one most of its values have (integers next to floats are floats; ties go by
-    name). ``typed`` is the canonical text of the cast value, null where the cast fails.
+    A field's type is the one most of its values have (integers next to floats are floats; ties go by name).
     """
-    values = path_values(records)
-    named = values.join(field_lineage(records, changes), ["stream", "file_seq", "path"])
-    votes = named.groupBy("field", "type").agg(F.count(F.lit(1)).alias("n"))
-    wanted = votes.groupBy("field").agg(
+    stats = materialize(field_statistics(parsed)[0].select(*_BY, "rows"), "types")
+    named = stats.join(field_lineage(stats, records, changes), ["stream", "file_seq", "path"])
+    wanted = named.groupBy("field", "type").agg(F.sum("rows").alias("n")).groupBy("field").agg(
         F.max_by("type", F.struct("n", "type")).alias("most"), F.collect_set("type").alias("all")
     ).select(
         "field",
         F.when((F.col("most") == "integer") & F.array_contains("all", "float"), "float").otherwise(F.col("most")).alias("wanted"),
     )
-    typed = named.join(wanted, "field")
+    found = named.select("stream", "file_seq", "path", "field").distinct().join(wanted, "field")
+    return materialize(found.select("stream", "file_seq", "path", "field", "wanted"), "lineage")
+
+
+def cast_values(records: DataFrame, changes: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
+    """Every record with its values under their consistent names and types: record_id, stream, file_seq, readable, cast.
+
+    ``cast`` holds (field, type, wanted, value, typed): ``typed`` is the canonical text of the cast value, null where the
+    cast fails. Records meet one row a file, which tells its paths' fields; values are never shuffled.
+    """
+    parsed = materialize(parse(records, True), "parsed") if parsed is None else parsed
+    of_file = field_types(records, changes, parsed).groupBy("stream", "file_seq").agg(
+        F.map_from_entries(F.collect_list(F.struct("path", F.struct("field", "wanted")))).alias("__names")
+    )
+    rows = parsed.where("path is null").select("record_id", "stream", "file_seq", "values").join(of_file, ["stream", "file_seq"], "left")
     cast = F.expr(
-        "case wanted when 'integer' then cast(try_cast(value as bigint) as string) "
-        "when 'float' then cast(try_cast(value as double) as string) "
-        "when 'boolean' then cast(try_cast(value as boolean) as string) "
-        "when 'array' then if(type = 'array', value, null) else value end"
+        "transform(map_entries(values), e -> named_struct('field', __names[e.key].field, 'type', e.value.type, "
+        "'wanted', __names[e.key].wanted, 'value', e.value.value, 'typed', case __names[e.key].wanted "
+        "when 'integer' then cast(try_cast(e.value.value as bigint) as string) "
+        "when 'float' then cast(try_cast(e.value.value as double) as string) "
+        "when 'boolean' then cast(try_cast(e.value.value as boolean) as string) "
+        "when 'array' then if(e.value.type = 'array', e.value.value, null) else e.value.value end))"
     )
-    return typed.select(
-        "record_id", "stream", "file_seq", "field", "type", "wanted", "value", cast.alias("typed")
-    ).withColumn("failed", F.col("typed").isNull())
+    return rows.select("record_id", "stream", "file_seq", F.col("values").isNotNull().alias("readable"), cast.alias("cast"))
 
 
-def one_table(records: DataFrame, changes: DataFrame) -> DataFrame:
+def one_table(records: DataFrame, changes: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
     """All records in one shape: record_id, stream, file_seq, readable, fields (map of field to typed text).
 
     Unreadable records stay, with an empty map.
     """
-    maps = cast_values(records, changes).where("not failed").groupBy("record_id").agg(
-        F.map_from_entries(F.array_sort(F.collect_set(F.struct("field", "typed")))).alias("fields")
-    )
-    return records.select("record_id", "stream", "file_seq").join(maps, "record_id", "left").select(
-        "record_id", "stream", "file_seq", F.col("fields").isNotNull().alias("readable"),
-        F.coalesce("fields", F.expr("cast(map() as map<string,string>)")).alias("fields"),
+    held = F.expr("map_from_entries(transform(filter(cast, c -> c.typed is not null), c -> struct(c.field, c.typed)))")
+    return cast_values(records, changes, parsed).select(
+        "record_id", "stream", "file_seq", "readable", F.coalesce(held, F.expr("cast(map() as map<string,string>)")).alias("fields")
     )
 
 
-def failed_casts(records: DataFrame, changes: DataFrame) -> DataFrame:
+def typed_table(records: DataFrame, changes: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
+    """All records with one typed column for each consistent field, in order of name, after record_id, stream, file_seq, readable.
+
+    Values that do not fit are null (``failed_casts`` counts them). A field whose name is taken, letter case
+    aside, gets underscores at its end. The number of fields is that of the schema, not of the records.
+    """
+    parsed = materialize(parse(records, True), "parsed") if parsed is None else parsed
+    kinds = {r["field"]: r["wanted"] for r in field_types(records, changes, parsed).select("field", "wanted").distinct().collect()}
+    first = ["record_id", "stream", "file_seq", "readable"]
+    taken, columns = set(first), []
+    for field in sorted(kinds):
+        name = field
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        columns.append(F.col("fields")[field].cast(TYPES[kinds[field]]).alias(name))
+    return one_table(records, changes, parsed).select(*first, *columns)
+
+
+def failed_casts(records: DataFrame, changes: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
     """Values that do not fit their field's type, counted by stream, file, field and raw type."""
-    return cast_values(records, changes).where("failed").groupBy("stream", "file_seq", "field", "type", "wanted").agg(
-        F.count(F.lit(1)).alias("values"), F.min("value").alias("example")
+    failed = cast_values(records, changes, parsed).select("stream", "file_seq", F.explode(F.expr("filter(cast, c -> c.typed is null)")).alias("c"))
+    return failed.groupBy("stream", "file_seq", "c.field", "c.type", "c.wanted").agg(
+        F.count(F.lit(1)).alias("values"), F.min("c.value").alias("example")
     )

@@ -35,13 +35,16 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_table(spark: SparkSession, d: str) -> DataFrame:
+    """All records in one shape, a typed column for each field."""
     records = table(spark, d, "usage_records")
-    return drift.one_table(records, materialize(drift.schema_changes(records), "changes"))
+    parsed = materialize(drift.parse(records, True), "parsed")  # payloads are parsed once
+    return drift.typed_table(records, materialize(drift.schema_changes(records, parsed), "changes"), parsed)
 
 
 def p2_casts(spark: SparkSession, d: str) -> DataFrame:
     records = table(spark, d, "usage_records")
-    return drift.failed_casts(records, materialize(drift.schema_changes(records), "changes"))
+    parsed = materialize(drift.parse(records, True), "parsed")
+    return drift.failed_casts(records, materialize(drift.schema_changes(records, parsed), "changes"), parsed)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
