@@ -1,13 +1,11 @@
-"""Path, link and text functions as columns; only percent decoding needs Python, in Arrow batches."""
+"""Path, link and text functions as columns."""
 
 from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 #: URI schemes without an authority.
 BARE_SCHEMES = ("mailto", "tel", "data", "urn", "javascript")
@@ -147,26 +145,11 @@ def matches_globs(path: Column, globs: list[str]) -> Column:
 
 
 def percent_decode(text: Column) -> Column:
-    """``%XX`` escapes decoded; a text with a bad escape or bad UTF-8 stays as it is, and ``+`` is a plus."""
-    return F.when(F.contains(text, F.lit("%")), _decoded(text)).otherwise(text)
-
-
-@F.pandas_udf(StringType())
-def _decoded(texts: pd.Series) -> pd.Series:
-    return texts.map(decode_escapes)
-
-
-def decode_escapes(text: str | None) -> str | None:
-    if text is None:
-        return None
-    parts = text.split("%")
-    raw = bytearray(parts[0].encode())
-    for part in parts[1:]:
-        if not re.match("[0-9A-Fa-f]{2}", part):
-            return text
-        raw.append(int(part[:2], 16))
-        raw += part[2:].encode()
-    try:
-        return raw.decode()
-    except UnicodeDecodeError:
-        return text
+    """``%XX`` escapes decoded as UTF-8; a ``%`` that begins no escape stays, as does ``+``.
+
+    A text that decodes to bytes that are no UTF-8 stays as it is written.
+    """
+    parts = F.regexp_extract_all(text, F.lit("%[0-9A-Fa-f]{2}|[^%]+|%"), 0)
+    digits = F.transform(parts, lambda p: F.when(p.rlike("^%[0-9A-Fa-f]{2}$"), F.substring(p, 2, 2)).otherwise(F.hex(p.cast("binary"))))
+    decoded = F.try_validate_utf8(F.unhex(F.array_join(digits, "")).cast("string"))
+    return F.when(F.contains(text, F.lit("%")), F.coalesce(decoded, text)).otherwise(text)

@@ -28,7 +28,7 @@ def search(edges: DataFrame, seeds: DataFrame, direction: str = "inbound", depth
     spark = edges.sparkSession
     columns = ["node", "via", "depth", "lines", "order"]
     first = seeds.select(F.col("path").alias("node")).distinct().select(
-        "node", F.col("node").alias("via"), F.lit(0).alias("depth"), F.lit(None).cast("array<bigint>").alias("lines"), F.col("node").alias("order")
+        "node", F.col("node").alias("via"), F.lit(0).alias("depth"), F.lit(None).cast("array<bigint>").alias("lines"), F.array("node").alias("order")
     )
     written = [write_shared(first, "level")]
     level = 0
@@ -43,7 +43,8 @@ def search(edges: DataFrame, seeds: DataFrame, direction: str = "inbound", depth
         visited = reread(spark, *written).select("node")
         fresh = best.join(visited, F.col("next") == F.col("node"), "left_anti").select(
             F.col("next").alias("node"), F.col("k.via").alias("via"), F.lit(level).alias("depth"), "lines",
-            F.concat_ws("\u0001", F.col("k.order"), F.col("k.way").cast("string"), F.col("next")).alias("order"),
+            # lists of names are compared name by name, whatever characters these hold
+            F.concat("k.order", F.array(F.col("k.way").cast("string"), F.col("next"))).alias("order"),
         ).select(*columns)
         written.append(write_shared(fresh, "level"))
         if reread(spark, written[-1]).isEmpty():
@@ -131,10 +132,11 @@ def ranked(found: DataFrame, reach: DataFrame, between: DataFrame) -> DataFrame:
     return out.orderBy(F.desc(F.col("impact_radius") / F.col("depth") + F.col("betweenness")), "node")
 
 
-def frontier(found: DataFrame, seeds: DataFrame, depth: int | None) -> DataFrame:
-    """Paths whose edges the search looked at: seeds, and what was reached above the last depth."""
+def frontier(found: DataFrame, seeds: DataFrame, depth: int | None, nodes: DataFrame | None = None) -> DataFrame:
+    """Paths whose edges the search looked at: seeds that are ``nodes`` (if given), and what was reached above the last depth."""
     inner = found if depth is None else found.where(F.col("depth") < depth)
-    return seeds.select("path").unionByName(inner.select(F.col("node").alias("path"))).distinct()
+    begun = seeds.select("path") if nodes is None else seeds.select("path").join(nodes.select("path"), "path", "left_semi")
+    return begun.unionByName(inner.select(F.col("node").alias("path"))).distinct()
 
 
 def inspected(edges: DataFrame, front: DataFrame, direction: str) -> DataFrame:

@@ -90,9 +90,9 @@ def unresolved_fragments(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     asked = (
         edges.where(~is_uri(F.col("target"))).select("source", "target", F.explode("occurrences").alias("o"))
         .select("source", "target", "o.line", fragment(F.col("o.link")).alias("fragment")).where("fragment is not null")
-        .withColumn("decoded", percent_decode(F.col("fragment")))
     )
-    grouped = asked.groupBy("source", "target", "fragment", "decoded").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    grouped = asked.groupBy("source", "target", "fragment").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    grouped = grouped.withColumn("decoded", percent_decode(F.col("fragment")))
     bad = grouped.join(held, "target").where("not array_contains(anchors, fragment) and not array_contains(anchors, decoded)")
     close = F.filter("anchors", lambda a: (F.lower(a) == F.lower(F.col("fragment"))) | (F.lower(a) == F.lower(F.col("decoded"))))
     cause = F.when(F.size(close) > 0, F.concat(F.lit("case differs: "), F.element_at(F.when(F.size(close) > 0, close), 1)))
@@ -105,11 +105,15 @@ def detached_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return finding(nodes.where("fs_type <> 'directory'").join(ends, "path", "left_anti"), "detached-node", "path")
 
 
-def no_baseline(nodes: DataFrame, edges: DataFrame, locked: DataFrame) -> DataFrame:
-    """One finding if something could be locked and the baseline holds nothing, else none."""
-    lockable = nodes.select("fs_hash").where("fs_hash is not null").limit(1).select(F.lit(".").alias("path"), F.lit(1).alias("k"))
-    held = locked.limit(1).select(F.lit(1).alias("k"))
-    return finding(lockable.join(held, "k", "left_anti"), "no-baseline", "path")
+def no_baseline(nodes: DataFrame, edges: DataFrame, locked: DataFrame | None) -> DataFrame:
+    """One finding if something could be locked (it has a hash or links) and there is no baseline or an empty one, else none."""
+    sources = edges.select(F.col("source").alias("path"))
+    linked = nodes.select("path").join(sources, "path", "left_semi")
+    lockable = nodes.where("fs_hash is not null").select("path").unionByName(linked).limit(1)
+    lockable = lockable.select(F.lit(".").alias("path"), F.lit(1).alias("k"))
+    if locked is not None:
+        lockable = lockable.join(locked.limit(1).select(F.lit(1).alias("k")), "k", "left_anti")
+    return finding(lockable, "no-baseline", "path")
 
 
 def rank(severity: Column) -> Column:
@@ -148,9 +152,12 @@ def summary(findings: DataFrame) -> DataFrame:
 
 
 def check(nodes, edges, link_edges, locked, locked_edges, severities, ignore=None) -> DataFrame:
-    """All rules under a policy. ``edges`` are composed, ``link_edges`` per graph with occurrences."""
+    """All rules under a policy. ``edges`` are composed, ``link_edges`` per graph with occurrences.
+
+    ``locked`` is None where there is no baseline at all: then no staleness rule runs.
+    """
     out = no_baseline(nodes, edges, locked)
-    for rule in STALENESS:
+    for rule in STALENESS if locked is not None else ():
         out = out.unionByName(rule(nodes, edges, locked, locked_edges))
     out = out.unionByName(unresolved_edges(nodes, edges)).unionByName(unresolved_fragments(nodes, link_edges)).unionByName(detached_nodes(nodes, edges))
     return apply_policy(out, severities, ignore)

@@ -310,3 +310,31 @@ with said as (select distinct source, replace(replace(replace(target, chr(10), '
   where graph = 'frontmatter' and source is not null and target is not null and target <> '')
 select source as path, t as target, row_number() over (partition by source order by raw) + 3 as line from said""",
 }
+
+
+def _relative() -> str:
+    """How to write the target from the source's directory, as an SQL expression over both."""
+    base = "list_filter(string_split(regexp_replace(source, '/?[^/]*$', ''), '/'), lambda x: x <> '')"
+    to = "list_filter(string_split(target, '/'), lambda x: x <> '')"
+    shared = (
+        f"len(list_filter(range(1, 1 + least(len({base}), len({to}) - 1)), lambda i: ({base})[1:i] = ({to})[1:i]))"
+    )
+    ups = f"len({base}) - {shared}"
+    rest = f"array_to_string(({to})[{shared} + 1:], '/')"
+    return f"case when {ups} = 0 then './' || {rest} else repeat('../', {ups}) || {rest} end"
+
+
+ORACLES |= {
+    "percent_decode": "select distinct target, coalesce(try(url_decode(target)), target) as decoded from raw_edges where target is not null",
+    "link_functions": f"""
+select edge_id, {_URI.format('target')} as uri, {_normal('target')} as normal,
+  case when not {_URI.format('target')} and source <> '' and target <> '' then {_relative()} end as relative,
+  split_part(target, '#', 1) as bare
+from raw_edges where target is not null and source is not null""",
+    "built_edges": f"""
+with said as (
+  select distinct source, '/' || regexp_replace(target, '[^A-Za-z0-9_/.:#-]', '-', 'g') as t from raw_edges
+  where graph = 'markdown' and source is not null and target is not null and target <> ''),
+cut as (select source, split_part(t, '#', 1) as t from said)
+select source, {_normal('t')} as target, count(*) as n from cut group by all""",
+}

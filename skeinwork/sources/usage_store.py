@@ -95,10 +95,66 @@ def _stamp(value) -> tuple[int, int] | None:
     return s, ns
 
 
+def _texts(value) -> bool:
+    return isinstance(value, list) and all(map(_os_text, value))
+
+
+def _os_text(value) -> bool:
+    if not isinstance(value, dict) or set(value) != {"os_encoding", "encoding", "value"} or not isinstance(value["value"], str):
+        return False
+    if value["encoding"] == "utf8":
+        return value["os_encoding"] == "unix-bytes"
+    try:
+        base64.b64decode(value["value"], validate=True).decode()
+    except UnicodeDecodeError:  # only what is no UTF-8 is written in base64
+        return value["os_encoding"] == "unix-bytes" and value["encoding"] == "base64"
+    except ValueError:
+        pass
+    return False
+
+
+def _count(value) -> bool:
+    return type(value) is int and value >= 0
+
+
+def _part(value) -> bool:
+    """Admitted records with their counts, which must add up."""
+    return (
+        isinstance(value, dict) and set(value) == {"total", "included", "omitted", "records"} and isinstance(value["records"], list)
+        and all(_count(value[k]) for k in ("total", "included", "omitted"))
+        and value["included"] == len(value["records"]) and value["total"] == value["included"] + value["omitted"]
+    )
+
+
+def _structured(value) -> bool:
+    if not isinstance(value, dict) or set(value) != {"findings", "hints", "error"} or not _part(value["hints"]):
+        return False
+    inner = [value["findings"], value["error"]]
+    return all(isinstance(v, dict) and set(v) == {"prefix"} and _part(v["prefix"]) for v in inner)
+
+
+def _stream(value) -> bool:
+    return (
+        isinstance(value, dict) and set(value) == {"prefix_base64", "observed_input_bytes", "retained_bytes", "truncated"}
+        and isinstance(value["prefix_base64"], str) and _count(value["retained_bytes"]) and isinstance(value["truncated"], bool)
+        and isinstance(value["observed_input_bytes"], dict) and _count(value["observed_input_bytes"].get("bytes"))
+    )
+
+
+#: What both events have, and the parts beside it with their tests; a start has the first three of these.
+_HEAD = {"schema", "revision", "event", "id", "entry_wall_time", "collected_wall_time"}
+_PARTS = {
+    "command": lambda v: isinstance(v, str), "argv": _texts, "canonical_graph_root": _os_text, "elapsed": lambda v: isinstance(v, dict),
+    "intended_exit": lambda v: isinstance(v, str), "structured": _structured, "stdout": _stream, "stderr": _stream,
+}
+_START_PARTS = ("command", "argv", "canonical_graph_root")
+
+
 def classify(raw: bytes, ident: str, event: str) -> tuple[str, dict | None]:
     """supported, unsupported (a later revision), malformed or oversized; and the record if supported.
 
-    A key repeated at any depth makes a record malformed, as readers would differ about it.
+    A key repeated at any depth makes a record malformed, as readers would differ about it; so do a key that this
+    revision does not have, a part that is not as written here, and a start without one of its parts.
     """
     if len(raw) > EVENT_BYTES:
         return "oversized", None
@@ -111,6 +167,11 @@ def classify(raw: bytes, ident: str, event: str) -> tuple[str, dict | None]:
         if record["id"] != ident or record["event"] != event:
             return "malformed", None
         _stamp(record["entry_wall_time"]), _stamp(record["collected_wall_time"])
+        parts = set(record) - _HEAD
+        if not parts <= set(_PARTS) or not all(_PARTS[k](record[k]) for k in parts):
+            return "malformed", None
+        if event == "start" and parts != set(_START_PARTS):
+            return "malformed", None
     except (ValueError, KeyError, TypeError, AttributeError, RecursionError):
         return "malformed", None
     return "supported", record

@@ -102,3 +102,10 @@ def test_parsers_in_spark(spark):
     got = {r.path: r for r in markdown.parse_pages(df).collect()}
     assert got["a.md"].anchors == ["t"] and got["a.md"].links[0].target == "y" and got["b.md"].links is None and got["c.md"].anchors == []
     assert [(r.path, r.links[0].target) for r in frontmatter.parse_pages(df, ["s"]).collect()] == [("c.md", "q.md")]
+
+
+@pytest.mark.parametrize("text,want", [
+    ("100%-caf%C3%A9", "100%-café"), ("%+A%41%", "%+AA%"), ("%4", "%4"), ("a%zz%20b", "a%zz b"), ("é%C3%A9%", "éé%"), ("%C3x%41", "%C3x%41"), ("", ""), (None, None), ("%00%0A", "\x00\n"), ("%E2%82%AC" * 3000, "€" * 3000),
+])
+def test_escapes_are_decoded_one_by_one(spark, text, want):
+    assert value(spark, P.percent_decode(F.col("t")), t=text) == want

@@ -81,3 +81,17 @@ def test_invocation(tmp_path):
     record = json.loads((tmp_path / store.partition_id("/srv") / f"{run.id}.finish.json").read_text())
     assert record["stdout"]["retained_bytes"] == store.STDOUT_BYTES and record["stdout"]["truncated"] and record["structured"]["findings"]["prefix"]["included"] == 1
     assert not store.Invocation(str(tmp_path), "check", [], "/srv", False).finish("clean")
+
+
+@pytest.mark.parametrize("change", [{"junk": 1}, {"command": 3}, {"argv": "x"}, {"argv": [{"value": "x"}]}, {"structured": {}}, {"canonical_graph_root": None}])
+def test_records_of_other_fields_are_malformed(change):
+    assert store.classify(json.dumps(start(A) | change).encode(), A, "start")[0] == "malformed"
+
+
+def test_a_start_lacks_no_part_and_counts_add_up():
+    bare = {k: v for k, v in start(A).items() if k not in ("command", "argv")}
+    assert store.classify(json.dumps(bare).encode(), A, "start")[0] == "malformed"
+    done = store.finish_record(A, stamp(5), "clean", [{"name": "n"}], [], [], store.Capture(10), store.Capture(10), 7)
+    assert store.classify(json.dumps(done).encode(), A, "finish")[0] == "supported"
+    done["structured"]["hints"]["omitted"] = 1
+    assert store.classify(json.dumps(done).encode(), A, "finish")[0] == "malformed"
