@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -29,12 +30,12 @@ MOVED, PASSED = 0.2 / PLACE_TOLERANCE, 0.02
 _PARSED = pa.schema([
     ("record_id", pa.int64()), ("stream", pa.string()), ("file_seq", pa.int64()),
     ("values", pa.map_(pa.string(), pa.struct([("type", pa.string()), ("value", pa.string())]))),
-    ("path", pa.string()), ("type", pa.string()), ("what", pa.string()), ("key", pa.string()), ("h", pa.int64()),
-    ("n", pa.int64()), ("place", pa.float64()), ("lo", pa.float64()), ("hi", pa.float64()),
+    ("path", pa.string()), ("type", pa.string()), ("what", pa.string()), ("key", pa.string()), ("n", pa.int64()), ("place", pa.float64()),
+    ("lo", pa.float64()), ("hi", pa.float64()), ("f1", pa.int64()), ("f2", pa.int64()), ("h", pa.int64()),
 ])
 _PARSED_DDL = (
     "record_id bigint, stream string, file_seq bigint, values map<string,struct<type:string,value:string>>, path string, "
-    "type string, what string, key string, h bigint, n bigint, place double, lo double, hi double"
+    "type string, what string, key string, n bigint, place double, lo double, hi double, f1 bigint, f2 bigint, h bigint"
 )
 _TYPE_OF = {bool: "boolean", int: "integer", float: "float", list: "array", str: "string"}
 _LARGEST = 1.7976931348623157e308
@@ -44,19 +45,28 @@ def raw_type(value) -> str:
     return _TYPE_OF[type(value)]
 
 
-def leaves(value: dict, prefix: str = "") -> Iterator[tuple[str, object]]:
+def leaves(value: dict, prefix: str = "", out: list | None = None) -> list[tuple[str, object]]:
     """Fields of an object in written order: (dotted path, value).
 
     Objects are ways to their fields, arrays are values, nulls are none; the ``value`` beside a
     ``status`` of ``unavailable`` tells a reason and is no field.
     """
+    out = [] if out is None else out
     for key, inner in value.items():
         if inner is None or key == "value" and value.get("status") == "unavailable":
             continue
         if isinstance(inner, dict):
-            yield from leaves(inner, f"{prefix}{key}.")
+            leaves(inner, f"{prefix}{key}.", out)
         else:
-            yield prefix + key, inner
+            out.append((prefix + key, inner))
+    return out
+
+
+def text_of(value) -> str:
+    """The canonical text of a value."""
+    if isinstance(value, str):
+        return value
+    return str(value) if type(value) is int else canonical(value)
 
 
 _DIGITS, _LETTERS, _RUN = re.compile(r"\d+"), re.compile(r"[^\W\d_]+"), re.compile(r"([^9a])\1+")
@@ -85,10 +95,13 @@ def _number(value) -> float:
         return _LARGEST if value > 0 else -_LARGEST
 
 
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
 def hash_of(text: str | None) -> int:
     """64-bit hash of a value's text, as a signed number; null is that of no value."""
-    h = 0 if text is None else xxhash.xxh64_intdigest(text)
-    return h - (1 << 64) if h >= 1 << 63 else h
+    return 0 if text is None else _signed(xxhash.xxh64_intdigest(text))
 
 
 class _Tally:
@@ -107,7 +120,9 @@ class _Tally:
             if field is None:
                 field = fields[path, kind] = ({}, {}, {})
             layouts, values, forms = field
-            seen = layouts.setdefault(layout, [0, 0])
+            seen = layouts.get(layout)
+            if seen is None:
+                seen = layouts[layout] = [0, 0]
             seen[0] += 1
             seen[1] += place
             if kind == "array":
@@ -118,31 +133,44 @@ class _Tally:
             else:
                 values[value] = values.get(value, 0) + 1
 
-    def rows(self) -> Iterator[tuple]:
-        """(stream, file_seq, path, type, what, key, h, n, place, lo, hi): layouts ``l``, forms ``f``, values ``v``."""
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        """Layouts (``l``) and forms (``f``) of each field, then all values as (field, hash, count)."""
+        few, ones, hashes, counts, sizes = [], [], [], [], []
         for (stream, seq), fields in self.files.items():
             for (path, kind), (layouts, values, forms) in fields.items():
-                by = (stream, seq, _safe(path), kind)
-                numbers = kind in ("integer", "float")
-                lo, hi = (_number(min(values)), _number(max(values))) if numbers else (None, None)
-                for layout, (n, place) in layouts.items():
-                    yield (*by, "l", _safe(layout), 0, n, float(place), lo, hi)
-                for value, n in values.items():
-                    if kind == "string":
+                path = _safe(path)
+                ident = xxhash.xxh3_128_intdigest(f"{stream}\0{seq}\0{path}\0{kind}")
+                ident = (_signed(ident >> 64), _signed(ident & ((1 << 64) - 1)))
+                lo, hi = (_number(min(values)), _number(max(values))) if kind in ("integer", "float") else (None, None)
+                by = (None, stream, seq, None, path, kind)
+                few += [(*by, "l", _safe(layout), n, float(place), lo, hi, *ident, None) for layout, (n, place) in layouts.items()]
+                if kind == "string":
+                    for value, n in values.items():
                         form = form_of(value)
                         forms[form] = forms.get(form, 0) + n
-                    text = value if isinstance(value, str) or value is None else canonical(value)
-                    yield (*by, "v", "", hash_of(text and _safe(text)), n, None, None, None)
-                for form, n in forms.items():
-                    yield (*by, "f", _safe(form), 0, n, None, None, None)
+                few += [(*by, "f", _safe(form), n, None, None, None, *ident, None) for form, n in forms.items()]
+                hashes += [hash_of(v if v is None else _safe(text_of(v))) for v in values]
+                counts += values.values()
+                ones.append(ident)
+                sizes.append(len(values))
+        yield _batch(few)
+        if ones:
+            ids = np.repeat(np.array(ones, np.int64), sizes, axis=0)
+            held = {"n": pa.array(counts, pa.int64()), "f1": pa.array(ids[:, 0]), "f2": pa.array(ids[:, 1]), "h": pa.array(hashes, pa.int64())}
+            yield pa.RecordBatch.from_arrays([held.get(f.name, pa.nulls(len(ids), f.type)) for f in _PARSED], schema=_PARSED)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) if rows else [[]] * len(_PARSED)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _PARSED)], schema=_PARSED)
 
 
 def parse(records: DataFrame, values: bool = False) -> DataFrame:
     """One pass over the payloads: partial statistics and, with ``values``, of every record its values by path.
 
-    Statistics have a ``path``, records (all, unreadable ones with null ``values``) a ``record_id``. A value is
-    its canonical text. Statistics are those of an Arrow batch, so that what follows is smaller than the values. Payloads that
-    are not JSON objects have no fields.
+    Statistics have a field's digest ``f1, f2``, records (all, unreadable ones with null ``values``) a ``record_id``. A value
+    is its canonical text. Statistics are those of an Arrow batch, so that what follows is smaller than the
+    values. Payloads that are not JSON objects have no fields.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,17 +180,15 @@ def parse(records: DataFrame, values: bool = False) -> DataFrame:
                 good, root = parse_json(payload)
                 held = None
                 if good and isinstance(root, dict):
-                    found = list(leaves(root))
+                    found = leaves(root)
                     tally.add(stream, seq, root, found)
                     if values:
-                        held = {
-                            _safe(p): {"type": raw_type(v), "value": _safe(v if isinstance(v, str) else canonical(v))} for p, v in found
-                        }
+                        held = {_safe(p): {"type": raw_type(v), "value": _safe(text_of(v))} for p, v in found}
                 if values:
-                    out.append((rid, stream, seq, None if held is None else list(held.items()), *[None] * 9))
-            out += [(None, r[0], r[1], None, *r[2:]) for r in tally.rows()]
-            cols = list(zip(*out)) if out else [[]] * len(_PARSED)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _PARSED)], schema=_PARSED)
+                    out.append((rid, stream, seq, None if held is None else list(held.items()), *[None] * 11))
+            if out:
+                yield _batch(out)
+            yield from tally.batches()
 
     return records.select("record_id", "stream", "file_seq", "payload").mapInArrow(run, _PARSED_DDL)
 
@@ -173,17 +199,20 @@ _BY = ["stream", "file_seq", "path", "type"]
 def field_statistics(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Per stream, file, path and type: rows, range, place, distinct values, main form and, of booleans, the share of true.
 
-    Beside it every field's vocabulary: its distinct values as hashes ``h``. Partial statistics are added up by
-    (field, value) with a combine before the shuffle, so one file with a third of all records is no single task.
-    ``place`` is taken from records in the file's main layout whose keys are not sorted, where it has such.
+    Beside it every field's vocabulary: its distinct values as hashes ``h`` under its digest ``f1, f2``. Partial
+    statistics are added up by (field, value) with a combine before the shuffle, so one file with a third of all
+    records is no single task. ``place`` is taken from records in the file's main layout whose keys are not
+    sorted, where it has such.
     """
+    field = ["f1", "f2"]
     tall = materialize(
-        parsed.where("path is not null").groupBy(*_BY, "what", "key", "h").agg(
+        parsed.where("f1 is not null").groupBy(*field, "h", *_BY, "what", "key").agg(
             F.sum("n").alias("n"), F.sum("place").alias("place"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
         ), "tallies",
     )
+    few, values = tall.where("what is not null"), tall.where("what is null").select(*field, "h", "n")
     main = (
-        tall.where("what = 'l' and key <> ''").groupBy("stream", "file_seq", "key").agg(F.sum("n").alias("n"))
+        few.where("what = 'l' and key <> ''").groupBy("stream", "file_seq", "key").agg(F.sum("n").alias("n"))
         .groupBy("stream", "file_seq").agg(F.max_by("key", F.struct("n", "key")).alias("__main"))
     )
 
@@ -191,16 +220,17 @@ def field_statistics(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
         return F.when(F.expr(condition), value)
 
     n, written = F.col("n"), "what = 'l' and key = __main"
-    stats = tall.join(main, ["stream", "file_seq"], "left").groupBy(*_BY).agg(
+    stats = few.join(main, ["stream", "file_seq"], "left").groupBy(*_BY, *field).agg(
         F.sum(when("what = 'l'", n)).alias("rows"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
         F.coalesce(
             F.sum(when(written, F.col("place"))) / F.sum(when(written, n)), F.sum(when("what = 'l'", F.col("place"))) / F.sum(when("what = 'l'", n))
         ).alias("place"),
         F.max_by("key", when("what = 'f'", F.struct(F.col("key") != "[]", "n", "key"))).alias("form"),
-        F.count_if(F.col("what") == "v").alias("distinct_values"), F.sum(when("what = 'v'", n)).alias("items"),
-        F.sum(when(f"what = 'v' and h = {hash_of('true')}", n)).alias("yes"),
     )
-    return stats, tall.where("what = 'v'").select(*_BY, "h")
+    spread = values.groupBy(*field).agg(
+        F.count(F.lit(1)).alias("distinct_values"), F.sum("n").alias("items"), F.sum(when(f"h = {hash_of('true')}", n)).alias("yes")
+    )
+    return stats.join(spread, field), values.select(*field, "h")
 
 
 def files_in_order(records: DataFrame) -> DataFrame:
@@ -299,13 +329,10 @@ def schema_changes(records: DataFrame, parsed: DataFrame | None = None) -> DataF
     ).where(moved <= PLACE_TOLERANCE)
     pairs = materialize(pairs, "pairs")
     pair = ["stream", "file_seq", "field", "new_field"]
-    ends = F.explode(F.array(
-        F.struct(F.col("before").alias("of"), F.col("field").alias("path")), F.struct(F.col("file_seq").alias("of"), F.col("new_field").alias("path")),
-    ))
+    ends = F.explode(F.array(F.struct("a.f1", "a.f2"), F.struct("b.f1", "b.f2")))
     # all distinct values of each pair's two fields, one row a value: containment is exact
     shared = (
-        pairs.where("type <> 'boolean'").select(*pair, "type", ends.alias("end")).select(*pair, "type", "end.*")
-        .join(vocabulary.withColumnRenamed("file_seq", "of"), ["stream", "of", "path", "type"])
+        pairs.where("type <> 'boolean'").select(*pair, ends.alias("end")).select(*pair, "end.*").join(vocabulary, ["f1", "f2"])
         .groupBy(*pair, "h").agg(F.count(F.lit(1)).alias("n")).where("n = 2")
         .groupBy(*pair).agg(F.count(F.lit(1)).alias("shared"))
     )
@@ -413,7 +440,7 @@ def cast_values(records: DataFrame, changes: DataFrame, parsed: DataFrame | None
     of_file = field_types(records, changes, parsed).groupBy("stream", "file_seq").agg(
         F.map_from_entries(F.collect_list(F.struct("path", F.struct("field", "wanted")))).alias("__names")
     )
-    rows = parsed.where("path is null").select("record_id", "stream", "file_seq", "values").join(of_file, ["stream", "file_seq"], "left")
+    rows = parsed.where("f1 is null").select("record_id", "stream", "file_seq", "values").join(of_file, ["stream", "file_seq"], "left")
     cast = F.expr(
         "transform(map_entries(values), e -> named_struct('field', __names[e.key].field, 'type', e.value.type, "
         "'wanted', __names[e.key].wanted, 'value', e.value.value, 'typed', case __names[e.key].wanted "

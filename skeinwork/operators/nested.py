@@ -49,12 +49,15 @@ def _no_constant(name: str):
     raise ValueError(f"{name} is not JSON")
 
 
+_decoder = json.JSONDecoder(parse_constant=_no_constant)
+
+
 def parse_json(text: str | None):
     """(True, value) of strict JSON, else (False, None)."""
     if text is None:
         return False, None
     try:
-        return True, json.loads(text, parse_constant=_no_constant)
+        return True, _decoder.decode(text)
     except (ValueError, RecursionError):
         return False, None
 
