@@ -72,6 +72,32 @@ def compose_edges(edges: DataFrame) -> DataFrame:
     )
 
 
+def edge_blocks(edges: DataFrame) -> DataFrame:
+    """``source, target, blocks, provenance``: composed edges with each graph's own block under its namespace.
+
+    A block is the JSON of the graph's occurrences, absent parts left out. A graph that tells nothing of an edge but
+    that it has it, such as the file system's, adds provenance and no block.
+    """
+    said = F.transform("occurrences", lambda o: F.struct(o["line"].alias("line"), o["link"].alias("link"), o["raw"].alias("raw")))
+    block = F.when(F.size("occurrences") > 0, F.to_json(F.struct(said.alias("occurrences"))))
+    ns = namespace(F.col("graph"))
+    one = edges.select("source", "target", ns.alias("ns"), block.alias("block"))
+    return one.groupBy("source", "target").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("block").isNotNull(), F.struct("ns", "block"))))).alias("blocks"),
+        F.array_sort(F.collect_set("ns")).alias("provenance"),
+    )
+
+
+def raw_totals(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row over the raw fragments of all graphs: graphs, distinct node paths, and edges of each graph added up.
+
+    Both sides combine before the shuffle; a path that several graphs tell of is one node.
+    """
+    names = nodes.select("graph").unionByName(edges.select("graph")).distinct().select(F.lit("graphs").alias("what"))
+    parts = names.unionByName(nodes.select("path").distinct().select(F.lit("nodes").alias("what"))).unionByName(edges.select(F.lit("edges").alias("what")))
+    return parts.agg(*[F.count_if(F.col("what") == w).alias(w) for w in ("graphs", "nodes", "edges")])
+
+
 def known(values: Column) -> Column:
     """The distinct non-null values of an array, sorted."""
     return F.array_sort(F.array_distinct(F.filter(values, lambda x: x.isNotNull())))

@@ -122,9 +122,10 @@ def betweenness(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return every.join(scores, "node", "left").select("node", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
 
 
-def ranked(found: DataFrame, reach: DataFrame, between: DataFrame) -> DataFrame:
-    """Search results with reach and betweenness, in order of reach by depth plus betweenness, then name."""
-    both = found.join(reach, "node", "left").join(between, "node", "left")
+def ranked(found: DataFrame, reach: DataFrame, between: DataFrame | None = None) -> DataFrame:
+    """Search results with reach and betweenness (0 where none is given), in order of reach by depth plus betweenness, then name."""
+    both = found.join(reach, "node", "left")
+    both = both.withColumn("betweenness", F.lit(0.0)) if between is None else both.join(between, "node", "left")
     out = both.select(
         "node", "via", "depth", F.coalesce("impact_radius", F.lit(0)).alias("impact_radius"), F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"), "lines",
         F.concat(F.lit("review "), F.col("node"), F.lit(" for changes in "), F.col("via")).alias("fix"),

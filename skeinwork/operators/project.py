@@ -39,12 +39,17 @@ def select_nodes(nodes: DataFrame, selectors: list[str]) -> DataFrame:
 
 
 def suggestions(nodes: DataFrame, missing: str, limit: int = 5) -> DataFrame:
-    """What may have been meant by a path that is no node: keys that end in it, with or without ``.md``."""
+    """What may have been meant by a path that is no node, the first few by name."""
+    return meant(nodes, missing).orderBy("path").limit(limit)
+
+
+def meant(nodes: DataFrame, missing: str) -> DataFrame:
+    """Keys that end in a path, with or without ``.md``."""
     tails = [missing] if missing.endswith(".md") else [missing, missing + ".md"]
     hit = F.lit(False)
     for t in tails:
         hit = hit | (F.col("path") == t) | F.endswith("path", F.lit("/" + t))
-    return nodes.where(hit).select("path").distinct().orderBy("path").limit(limit)
+    return nodes.where(hit).select("path").distinct()
 
 
 def prune_namespaces(blocks: Column, namespaces: list[str] | None) -> Column:
@@ -110,6 +115,21 @@ def project_edges(edges: DataFrame, sources: DataFrame | None = None, namespaces
     return kept.where(F.arrays_overlap("provenance", F.array(*[F.lit(w) for w in wanted])))
 
 
+def project_edge_blocks(edges: DataFrame, sources: DataFrame | None = None, namespaces: list[str] | None = None, fields: list[str] | None = None) -> DataFrame:
+    """``source, target, blocks`` of edges (as ``graph.edge_blocks`` gives them) with pruned blocks.
+
+    With a namespace or field asked, edges without any block left fall away; without, bare edges stay.
+    """
+    kept = edges if sources is None else edges.join(sources.select(F.col("path").alias("source")), "source", "left_semi")
+    kept = kept.select("source", "target", prune_namespaces(F.col("blocks"), namespaces).alias("blocks"))
+    if fields is not None:
+        one = kept.select("source", "target", F.explode("blocks").alias("ns", "text")).withColumn("text", prune_fields(F.col("text"), fields))
+        kept = one.where("text <> '{}'").groupBy("source", "target").agg(
+            F.map_from_entries(F.array_sort(F.collect_list(F.struct("ns", "text")))).alias("blocks")
+        )
+    return kept if namespaces is None and fields is None else kept.where(F.size("blocks") > 0)
+
+
 def beneath(nodes: DataFrame, directories: DataFrame) -> DataFrame:
     """Number of nodes beneath each directory (path), at any depth: ``path, beneath``.
 

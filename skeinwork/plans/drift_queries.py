@@ -80,6 +80,21 @@ def graph_sizes(spark, d):
     return nodes.join(edges, "graph", "full").select("graph", F.coalesce("nodes", F.lit(0)).alias("nodes"), F.coalesce("edges", F.lit(0)).alias("edges"))
 
 
+def raw_totals(spark, d):
+    """Graphs, distinct nodes and edges of the raw fragments."""
+    return graph.raw_totals(graph.fragments(table(spark, d, "nodes")), _links(spark, d))
+
+
+def edge_blocks(spark, d):
+    """What each graph tells of each composed edge: its block's number of occurrences and first line."""
+    one = graph.edge_blocks(_links(spark, d)).select("source", "target", "provenance", F.explode_outer("blocks").alias("ns", "block"))
+    said = F.from_json("block", "occurrences array<struct<line:bigint,link:string,raw:string>>")["occurrences"]
+    return one.select(
+        "source", "target", F.array_join("provenance", ",").alias("provenance"), "ns", F.size(said).cast("long").alias("n"),
+        F.array_min(F.transform(said, lambda o: o["line"])).alias("first_line"),
+    )
+
+
 def lock_nodes_snapshot(spark, d):
     return graph.lock_snapshot(_nodes(spark, d), _edges(spark, d))[0]
 
@@ -330,7 +345,7 @@ def snapshot_intervals(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        content_hash, duplicate_hash, compose_nodes, compose_edges, link_aggregate, graph_sizes, lock_nodes_snapshot,
+        content_hash, duplicate_hash, compose_nodes, compose_edges, link_aggregate, graph_sizes, raw_totals, edge_blocks, lock_nodes_snapshot,
         lock_edges_snapshot, lock_merge, lock_dropped, unresolved_edge, unresolved_fragment, detached_node, no_baseline,
         policy_apply, check_findings, check_summary, check_sorted, impact_radius, impact_via, betweenness, impact_ranked,
         impact_diagnostics, select_glob, select_subtree, project_nodes, project_fields, project_edges, beneath,

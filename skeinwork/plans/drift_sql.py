@@ -325,6 +325,16 @@ def _relative() -> str:
 
 
 ORACLES |= {
+    "raw_totals": f"""{_W},
+a as (select distinct substr(ns, 2) as graph, path from
+  (select path, unnest(map_keys(blocks)) as ns from nodes where deleted_at is null and path is not null))
+select (select count(*) from (select graph from a union select graph from links)) as graphs,
+  (select count(distinct path) from a) as nodes, (select count(*) from links) as edges""",
+    "edge_blocks": f"""{_W},
+told as (select graph, source, target, count(*) as n, min(line) as first_line from occ group by all)
+select e.source, e.target, array_to_string(e.provenance, ',') as provenance, '@' || t.graph as ns,
+  case when t.graph is not null then t.n end as n, t.first_line
+from edges e left join told t on t.source = e.source and t.target = e.target""",
     "percent_decode": "select distinct target, coalesce(try(url_decode(target)), target) as decoded from raw_edges where target is not null",
     "link_functions": f"""
 select edge_id, {_URI.format('target')} as uri, {_normal('target')} as normal,

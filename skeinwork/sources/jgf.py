@@ -16,26 +16,57 @@ def node_lines(nodes: DataFrame) -> DataFrame:
 
 
 def edge_lines(edges: DataFrame) -> DataFrame:
-    """``source, target, json``: each edge of a graph document, absent parts left out."""
-    return edges.select(
-        "source", "target",
-        F.to_json(F.struct("source", "target", F.struct(F.when(F.size("lines") > 0, F.col("lines")).alias("lines"), F.col("provenance").alias("_graphs")).alias("metadata"))).alias("json"),
-    )
+    """``source, target, json``: each edge (with blocks) of a graph document, absent parts left out."""
+    blocks = F.when(F.size("blocks") > 0, F.col("blocks"))
+    return edges.select("source", "target", F.to_json(F.struct("source", "target", blocks.alias("blocks"), "provenance")).alias("json"))
 
 
-def document(nodes: DataFrame, edges: DataFrame) -> str:
-    """A composed graph as one JSON document, streamed to the driver in order; for graphs a reader can take."""
-    out = {"graph": {"directed": True, "nodes": {}, "edges": []}}
-    for r in node_lines(nodes).orderBy("path").toLocalIterator():
-        body = json.loads(r["json"])
-        if "metadata" in body:
-            body["metadata"] = {k: json.loads(v) for k, v in sorted(body["metadata"].items())}
-        out["graph"]["nodes"][r["path"]] = body
+def _members(edges: DataFrame):
     for r in edge_lines(edges).orderBy("source", "target").toLocalIterator():
-        out["graph"]["edges"].append(json.loads(r["json"]))
+        body = json.loads(r["json"])
+        held = {k: json.loads(v) for k, v in sorted(body.get("blocks", {}).items())}
+        yield {"source": body["source"], "target": body["target"], "metadata": held | {"_graphs": body["provenance"]}}
+
+
+def document(nodes: DataFrame, edges: DataFrame) -> str:
+    """A composed graph as one JSON document, streamed to the driver in order; for graphs a reader can take.
+
+    ``edges`` have blocks; nodes with a ``provenance`` column name their graphs.
+    """
+    out = {"graph": {"directed": True, "nodes": {}, "edges": list(_members(edges))}}
+    graphs = F.to_json("provenance") if "provenance" in nodes.columns else F.lit(None).cast("string")
+    for r in nodes.select("path", F.to_json("blocks").alias("blocks"), graphs.alias("graphs")).orderBy("path").toLocalIterator():
+        held = {k: json.loads(v) for k, v in sorted(json.loads(r["blocks"] or "{}").items())}
+        if r["graphs"]:
+            held["_graphs"] = json.loads(r["graphs"])
+        out["graph"]["nodes"][r["path"]] = {"metadata": held} if held else {}
     return json.dumps(out, ensure_ascii=False)
 
 
+def raw_document(nodes: DataFrame, edges: DataFrame) -> str:
+    """The graphs before composition as one JSON document: a list by name, each with its own nodes and edges."""
+    graphs: dict[str, dict] = {}
+
+    def of(name: str) -> dict:
+        return graphs.setdefault(name, {"id": name, "directed": True, "nodes": {}, "edges": []})
+
+    for r in nodes.orderBy("graph", "path").toLocalIterator():
+        held = json.loads(r["metadata"] or "{}")
+        of(r["graph"])["nodes"][r["path"]] = {"metadata": held} if held else {}
+    rows = edges.select("graph", "source", "target", F.to_json("occurrences").alias("said")).orderBy("graph", "source", "target")
+    for r in rows.toLocalIterator():
+        said = json.loads(r["said"] or "[]")
+        of(r["graph"])["edges"].append({"source": r["source"], "target": r["target"]} | ({"metadata": {"occurrences": said}} if said else {}))
+    return json.dumps({"graphs": [graphs[k] for k in sorted(graphs)]}, ensure_ascii=False)
+
+
+def finding_json(findings: DataFrame) -> DataFrame:
+    """``json``: findings as one object a row, absent parts left out."""
+    lines = F.when(F.size("lines") > 0, F.col("lines"))
+    message = F.when(F.col("message") != "", F.col("message"))
+    return findings.select(F.to_json(F.struct("name", "severity", "subject", "target", lines.alias("lines"), message.alias("message"), "cause")).alias("json"))
+
+
 def finding_text(findings: DataFrame) -> DataFrame:
     """Findings as text: ``severity[name]: subject:lines -> target (message)``, controls escaped."""
     target = F.when(F.col("target").isNotNull(), F.concat(F.lit(" -> "), one_line(F.col("target")))).otherwise("")

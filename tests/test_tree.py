@@ -128,3 +128,54 @@ def test_text_layout():
 
     assert metadata_lines({"b": [{"x": 1, "y": "a\nb"}, {}, 2], "a": {"c": None}}) == ["a:", "  c: null", "b:", "  - x: 1", '    y: "a\\nb"', "  - {}", "  - 2"]
     assert graph_key("../a", "/r/d", "/r") == "a" and graph_key("..", "/r/d", "/r") == "." and graph_key("/x", "/r", "/r") is None
+
+
+def test_json_forms_and_raw_graph(spark, site):
+    import json
+
+    code, out, _ = run(spark, site, "check", "--json")
+    told = json.loads(out)
+    assert code == 1 and told["errors"] == len([f for f in told["findings"] if f["severity"] == "error"]) and {"name", "subject", "severity"} <= set(told["findings"][0])
+    raw = {g["id"]: g for g in json.loads(run(spark, site, "graph", "--raw")[1])["graphs"]}
+    assert set(raw) == {"fs", "front", "markdown"} and raw["fs"]["nodes"]["setup.md"]["metadata"]["type"] == "file"
+    assert {"source": "index.md", "target": "setup.md", "metadata": {"occurrences": [{"line": 2, "link": "setup.md#install"}]}} in raw["markdown"]["edges"]
+    whole = json.loads(run(spark, site, "graph")[1])["graph"]
+    edge = next(e for e in whole["edges"] if e["source"] == "docs/a.md" and e["target"] == "setup.md")
+    assert edge["metadata"]["@front"]["occurrences"][0]["line"] == 3 and edge["metadata"]["_graphs"] == ["@front"]
+    link = next(e for e in whole["edges"] if e["source"] == "link.md")
+    assert link["metadata"] == {"_graphs": ["@fs"]}  # the file system tells of an edge, and nothing more
+    rows_of = [json.loads(line) for line in run(spark, site, "edges", "index.md", "--json", "--field", "link")[1].splitlines()]
+    assert rows_of == [{"source": "index.md", "target": "setup.md", "metadata": {"@markdown": {"occurrences": [{"link": "setup.md#install"}]}}}]
+    assert run(spark, site, "edges", "link.md", "--json", "--namespace", "fs")[1] == ""
+
+
+def test_impact_tells_what_is_broken_beside_it(spark, site):
+    import json
+
+    assert run(spark, site, "lock", "--all")[0] == 0
+    (site / "docs/a.md").write_text("# A\n")
+    out = json.loads(run(spark, site, "impact", "setup.md", "--json")[1])
+    assert [r["node"] for r in out["impacted"]] == ["index.md", "link.md"] and all(r["betweenness"] == 0 for r in out["impacted"])
+    assert [(d["name"], d["subject"], d["target"]) for d in out["diagnostics"]] == [("removed-edge", "docs/a.md", "setup.md")]
+    text = run(spark, site, "impact", "index.md", "--direction", "outbound", "--betweenness")[1]
+    assert "note[unresolved-edge]: index.md -> docs/none.md" in text
+
+
+def test_lock_by_glob_is_written_only_on_change(spark, site):
+    import json
+
+    assert json.loads(run(spark, site, "lock", "*.md", "--json")[1]) == {"locked": 3, "selectors": ["*.md"], "written": True}
+    lock_file = site / ".skein" / lockfile.FILE
+    before = lock_file.stat().st_mtime_ns
+    assert not json.loads(run(spark, site, "lock", "index.md", "--json")[1])["written"] and lock_file.stat().st_mtime_ns == before
+    assert "zero-match-selector" in run(spark, site, "lock", "*.none")[2] and "nothing-to-lock" in run(spark, site, "lock", "*.none")[2]
+    lock_file.write_text("nodes =")
+    assert run(spark, site, "lock", "index.md")[0] == 2 and "replaced-unreadable-lock" in run(spark, site, "lock", "--all")[2]
+
+
+def test_ignores_and_suggestions(spark, tmp_path):
+    write(tmp_path, {".skein/config.toml": CONFIG, ".git/info/exclude": "x\n", **{f"d{i}/same.md": "# S\n" for i in range(7)}})
+    out = run(spark, tmp_path, "ignores")[1]
+    assert "configuration: skip/**" in out
+    err = run(spark, tmp_path, "nodes", "same")[2]
+    assert "did you mean d0/same.md" in err and "and 2 more?" in err
