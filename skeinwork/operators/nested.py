@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import json
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -87,13 +87,22 @@ def elements(value) -> list:
     return value if isinstance(value, list) else [value]
 
 
-_encoder = json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-_ascii_encoder = json.JSONEncoder(sort_keys=True, separators=(",", ":"))
+def _writer(ascii_only: bool) -> Callable[[object], str]:
+    """A canonical JSON writer that is made once, where the standard library makes one a call."""
+    plain = json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=ascii_only)
+    if json.encoder.c_make_encoder is None:
+        return plain.encode
+    text = json.encoder.encode_basestring_ascii if ascii_only else json.encoder.encode_basestring
+    made = json.encoder.c_make_encoder(None, plain.default, text, None, ":", ",", True, False, True)
+    return lambda value: "".join(made(value, 0))
+
+
+_write, _write_ascii = _writer(False), _writer(True)
 
 
 def canonical(value) -> str:
     """One text for equal JSON values: sorted keys, no blanks, unescaped non-ASCII letters."""
-    return _encoder.encode(value)
+    return _write(value)
 
 
 def identity_of(kind: str, body: str) -> str:
@@ -151,7 +160,7 @@ def merkle_rows(delivery: int, payload: str | None) -> list[tuple]:
         return ident
 
     def leaf(flat, child: str) -> str:
-        body = _ascii_encoder.encode(flat)
+        body = _write_ascii(flat)
         ident = identity_of(child, body)
         bodies[ident] = body
         return ident
