@@ -223,10 +223,10 @@ def betweenness(spark, d):
 
 
 def impact_ranked(spark, d):
-    nodes, edges = _top(spark, d)
-    found = impact.search(edges, nodes.orderBy("path").limit(1), "inbound", None)
-    out = impact.ranked(found, impact.reach_counts(edges, found), impact.betweenness(edges, nodes))
-    return out.select("node", F.col("depth").cast("long").alias("depth"), "impact_radius", F.round("betweenness", 9).alias("betweenness"))
+    """What the seeds reach in one step over all links, by how much that reaches in turn."""
+    edges = materialize(_edges(spark, d), "edges")
+    found = materialize(impact.search(edges, _seeds(_nodes(spark, d)), "inbound", 1), "found")
+    return impact.ranked(found, impact.reach_counts(edges, found)).select("node", F.col("depth").cast("long").alias("depth"), "impact_radius")
 
 
 def impact_diagnostics(spark, d):

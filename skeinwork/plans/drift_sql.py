@@ -325,6 +325,11 @@ def _relative() -> str:
 
 
 ORACLES |= {
+    "impact_ranked": f"""with recursive {_BASE}, {_SEEDS}, hops as materialized (select distinct target as a, source as b from edges),
+near as (select distinct h.b as node from seeds s join hops h on h.a = s.path where h.b not in (select path from seeds)),
+walk(node, got) as (
+  select node, node from near union select w.node, h.b from walk w join hops h on h.a = w.got)
+select node, 1::bigint as depth, count(*) - 1 as impact_radius from walk group by node""",
     "raw_totals": f"""{_W},
 a as (select distinct substr(ns, 2) as graph, path from
   (select path, unnest(map_keys(blocks)) as ns from nodes where deleted_at is null and path is not null))
