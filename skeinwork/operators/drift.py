@@ -134,8 +134,9 @@ class _Tally:
                 values[value] = values.get(value, 0) + 1
 
     def batches(self) -> Iterator[pa.RecordBatch]:
-        """Layouts (``l``) and forms (``f``) of each field, then all values as (field, hash, count)."""
-        few, ones, hashes, counts, sizes = [], [], [], [], []
+        """Layouts (``l``) of each field, then all forms (``f``) and values as (field, hash, count)."""
+        few, fields_of = [], []
+        held: tuple[tuple[list, list, list], ...] = (([], [], []), ([], [], []))  # forms, values: sizes, hashes, counts
         for (stream, seq), fields in self.files.items():
             for (path, kind), (layouts, values, forms) in fields.items():
                 path = _safe(path)
@@ -148,16 +149,18 @@ class _Tally:
                     for value, n in values.items():
                         form = form_of(value)
                         forms[form] = forms.get(form, 0) + n
-                few += [(*by, "f", _safe(form), n, None, None, None, *ident, None) for form, n in forms.items()]
-                hashes += [hash_of(v if v is None else _safe(text_of(v))) for v in values]
-                counts += values.values()
-                ones.append(ident)
-                sizes.append(len(values))
+                fields_of.append(ident)
+                for (sizes, hashes, counts), texts in zip(held, (forms, values)):
+                    sizes.append(len(texts))
+                    hashes += [hash_of(v if v is None else _safe(text_of(v))) for v in texts]
+                    counts += texts.values()
         yield _batch(few)
-        if ones:
-            ids = np.repeat(np.array(ones, np.int64), sizes, axis=0)
-            held = {"n": pa.array(counts, pa.int64()), "f1": pa.array(ids[:, 0]), "f2": pa.array(ids[:, 1]), "h": pa.array(hashes, pa.int64())}
-            yield pa.RecordBatch.from_arrays([held.get(f.name, pa.nulls(len(ids), f.type)) for f in _PARSED], schema=_PARSED)
+        for (sizes, hashes, counts), what in zip(held, ("f", None)):
+            if hashes:
+                ids = np.repeat(np.array(fields_of, np.int64), sizes, axis=0)
+                cols = {"n": pa.array(counts, pa.int64()), "f1": pa.array(ids[:, 0]), "f2": pa.array(ids[:, 1]), "h": pa.array(hashes, pa.int64())}
+                cols["what"] = pa.repeat(pa.scalar(what, pa.string()), len(ids))
+                yield pa.RecordBatch.from_arrays([cols.get(f.name, pa.nulls(len(ids), f.type)) for f in _PARSED], schema=_PARSED)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -210,27 +213,26 @@ def field_statistics(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.sum("n").alias("n"), F.sum("place").alias("place"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
         ), "tallies",
     )
-    few, values = tall.where("what is not null"), tall.where("what is null").select(*field, "h", "n")
+    few, values = tall.where("what = 'l'"), tall.where("what is null").select(*field, "h", "n")
+    none = F.col("h") == hash_of("[]")  # of an array, empty ones count last
+    forms = tall.where("what = 'f'").groupBy(*field).agg(F.max_by("h", F.struct(~none, "n", "h")).alias("form"))
     main = (
-        few.where("what = 'l' and key <> ''").groupBy("stream", "file_seq", "key").agg(F.sum("n").alias("n"))
+        few.where("key <> ''").groupBy("stream", "file_seq", "key").agg(F.sum("n").alias("n"))
         .groupBy("stream", "file_seq").agg(F.max_by("key", F.struct("n", "key")).alias("__main"))
     )
 
     def when(condition: str, value) -> Column:
         return F.when(F.expr(condition), value)
 
-    n, written = F.col("n"), "what = 'l' and key = __main"
+    n, written = F.col("n"), "key = __main"
     stats = few.join(main, ["stream", "file_seq"], "left").groupBy(*_BY, *field).agg(
-        F.sum(when("what = 'l'", n)).alias("rows"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
-        F.coalesce(
-            F.sum(when(written, F.col("place"))) / F.sum(when(written, n)), F.sum(when("what = 'l'", F.col("place"))) / F.sum(when("what = 'l'", n))
-        ).alias("place"),
-        F.max_by("key", when("what = 'f'", F.struct(F.col("key") != "[]", "n", "key"))).alias("form"),
+        F.sum("n").alias("rows"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+        F.coalesce(F.sum(when(written, F.col("place"))) / F.sum(when(written, n)), F.sum("place") / F.sum("n")).alias("place"),
     )
     spread = values.groupBy(*field).agg(
         F.count(F.lit(1)).alias("distinct_values"), F.sum("n").alias("items"), F.sum(when(f"h = {hash_of('true')}", n)).alias("yes")
     )
-    return stats.join(spread, field), values.select(*field, "h")
+    return stats.join(spread, field).join(forms, field, "left"), values.select(*field, "h")
 
 
 def files_in_order(records: DataFrame) -> DataFrame:
