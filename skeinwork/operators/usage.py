@@ -84,12 +84,13 @@ def expired(covered: DataFrame, now_s: int) -> DataFrame:
     return covered.where(age >= F.lit(RETENTION_S * 1_000_000_000).cast("decimal(28,0)"))
 
 
-def running_totals(rows: DataFrame, order: list[Column], values: list[str], buckets: int = 64) -> DataFrame:
+def running_totals(rows: DataFrame, order: list[Column], values: list[str], buckets: int | None = None) -> DataFrame:
     """Sums of ``values`` over all rows before each row in a global order, as ``before_<value>``.
 
-    Rows are range-partitioned by the order; the sums of the ranges, one row each, are added to the
+    Rows are range-partitioned by the order, into as many ranges as a shuffle has partitions (64 at least); the sums of the ranges, one row each, are added to the
     running sums inside a range, so that no task holds all rows.
     """
+    buckets = buckets or max(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     named = rows.select("*", *[o.alias(f"__o{i}") for i, o in enumerate(order)])
     keys = [F.col(f"__o{i}") for i in range(len(order))]
     parted = materialize(named.repartitionByRange(buckets, *keys).withColumn("__b", F.spark_partition_id()), "ranges")

@@ -42,3 +42,25 @@ def test_empty_tables(spark, sf):
     findings = spark.createDataFrame([], "finding_id bigint, subject string, target string, found_at timestamp_ntz")
     nodes = spark.createDataFrame([], "path string, first_seen timestamp_ntz, deleted_at timestamp_ntz")
     assert references.orphan_references(edges, findings, nodes).count() == 0
+
+
+def test_a_path_that_a_third_refer_to_is_split(spark):
+    from pyspark.sql import functions as F
+
+    tight = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in tight}
+    for k, v in tight.items():
+        spark.conf.set(k, v)
+    try:
+        path = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("p"), F.col("id") % 1000))
+        refs = spark.range(60_000, numPartitions=4).select(F.xxhash64("id").alias("ref"), path.alias("path"), F.lit(D(2024, 2, 1)).cast("timestamp_ntz").alias("at"))
+        nodes = spark.createDataFrame([("hot", D(2024, 1, 1), D(2024, 1, 2)), ("p1", D(2024, 1, 1), None)], "path string, first_seen timestamp_ntz, deleted_at timestamp_ntz")
+        lost = references.orphans(refs, nodes, {"path": "path"}, "simple", "at", ("first_seen", "deleted_at"))
+        assert len(lost.collect()) == 60_000 - refs.where("path = 'p1'").count()
+        assert "skew=true" in lost._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
