@@ -468,15 +468,15 @@ def one_table(records: DataFrame, changes: DataFrame, parsed: DataFrame | None =
 def typed_table(records: DataFrame, changes: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
     """All records with one typed column for each consistent field, in order of name, after record_id, stream, file_seq, readable.
 
-    Values that do not fit are null (``failed_casts`` counts them). A field whose name is taken, letter case
-    aside, gets underscores at its end. The number of fields is that of the schema, not of the records.
+    Values that do not fit are null (``failed_casts`` counts them). Dots and backquotes of a name are written as ``__``; a
+    name that is taken, letter case aside, gets underscores at its end. The number of fields is that of the schema, not of the records.
     """
     parsed = materialize(parse(records, True), "parsed") if parsed is None else parsed
     kinds = {r["field"]: r["wanted"] for r in field_types(records, changes, parsed).select("field", "wanted").distinct().collect()}
     first = ["record_id", "stream", "file_seq", "readable"]
     taken, columns = set(first), []
     for field in sorted(kinds):
-        name = field
+        name = re.sub("[.`]", "__", field)
         while name.lower() in taken:
             name += "_"
         taken.add(name.lower())

@@ -60,6 +60,11 @@ def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(hierarchy.hierarchy(hierarchy.current_parents(table(spark, d, "raw_edges")), paths=True))
 
 
+def p3_closure(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of an ancestor and a node below it, on and below loops too: impact_radius many for each ancestor."""
+    return p3_descendants(spark, d).select("ancestor", "descendant")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return references.orphan_references(table(spark, d, "raw_edges"), table(spark, d, "findings"), table(spark, d, "nodes"))
 
@@ -97,7 +102,7 @@ def p6_records(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_kept, p1_batches, p2_found, p2_table, p2_casts, p3_found, p3_paths, p3_descendants,
+        p1_found, p1_kept, p1_batches, p2_found, p2_table, p2_casts, p3_found, p3_paths, p3_descendants, p3_closure,
         p4_found, p4_report, p4_composite, p5_found, p6_found, p6_objects, p6_records,
     )
 }

@@ -128,6 +128,7 @@ from tree t""",
     "p3_descendants": _TREE + """
 select u.anc as ancestor, u.node as descendant, cast(d.depth - a.depth as bigint) as steps
 from up u join tree d on d.node = u.node join tree a on a.node = u.anc where d.cyclic = 0""",
+    "p3_closure": _TREE + "select distinct anc as ancestor, node as descendant from up where anc <> node",
     "p4_found": _ORPHANS,
     "p4_report": f"select ref_table, field, period, reason, count(*) as orphans from ({_ORPHANS}) group by all",
     "p4_composite": """

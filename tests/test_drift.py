@@ -72,3 +72,34 @@ def test_renamed_where_one_file_has_many_more_values(spark):
     second = many(lambda i: {"z": 1, "queue": f"v{i % 1000}x"}, 2000)
     assert changes(spark, {1: first, 2: second}) == [(2, "renamed", "mode", "queue")]
     assert changes(spark, {1: second, 2: first}) == [(2, "renamed", "queue", "mode")]
+
+
+def test_typed_table_has_a_column_for_each_field(spark):
+    first = many(lambda i: {"k": {"on": True}, "size": 10 * i, "stream": "x", "K.on": 1.5, "tags": ["a"]})
+    second = many(lambda i: {"k": {"on": "maybe" if i else False}, "bytes": 10 * i, "stream": "x", "K.on": 2, "tags": "a"}) + ["torn", None]
+    df = frame(spark, {1: first, 2: second})
+    found = drift.schema_changes(df)
+    table = drift.typed_table(df, found)
+    assert [(f.name, f.dataType.simpleString()) for f in table.schema][4:] == [
+        ("K__on", "double"), ("k__on_", "boolean"), ("size", "bigint"), ("stream_", "string"), ("tags", "string"),
+    ]
+    got = {r.record_id: r for r in table.select(*table.columns).collect()}
+    assert len(got) == 26 and got[14]["size"] == 10 and got[13]["k__on_"] is False and got[14]["k__on_"] is None and not got[25].readable
+    assert rows(drift.failed_casts(df, found), "field", "type", "values") == [("k.on", "string", 11)]  # tags: a tie, so texts, which all fit
+
+
+def test_names_that_come_back_do_not_meet_in_one_record(spark):
+    files = {
+        1: many(lambda i: {"z": 1, "mode": ["json", "text"][i % 2]}), 2: many(lambda i: {"z": 1, "output": ["json", "text"][i % 2]}),
+        3: many(lambda i: {"z": 1, "output": ["json", "text"][i % 2], "mode": f"job {i}"}),
+    }
+    df = frame(spark, files)
+    found = drift.schema_changes(df)
+    assert ("renamed", "mode", "output") in rows(found, "change", "field", "new_field")
+    fields = {r.record_id: r.fields for r in drift.one_table(df, found).collect()}
+    assert set(fields[1]) == set(fields[13]) == {"z", "mode"} and set(fields[25]) == {"z", "mode", "mode#3"}
+
+
+def test_forms_are_those_of_whole_texts():
+    assert drift.form_of("a" * 100 + "1") != drift.form_of("a" * 100) and drift.form_of("x--12y") == "a-9a"
+    assert drift.form_of("0af3") == "hex4" and drift.form_of("123456789") == "9" and drift.form_of([1, None, {"a": 1}]) == "[integer,null,object]"
