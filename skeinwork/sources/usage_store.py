@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.usage import EVENT_BYTES, STORE_BYTES, STORE_FILES
+from ..operators.usage import EVENT_BYTES, RETENTION_S, STORE_BYTES, STORE_FILES
 
 #: Schema name and revision of records written here, and the bounds of their parts.
 SCHEMA_NAME, REVISION = "skein-usage", 1
@@ -214,10 +214,41 @@ def locked(folder: str):
         yield
 
 
-def publish(folder: str, record: dict, evict: list[str] = ()) -> dict:
+def plan(rows: list[tuple], more: int, now_ns: int, protect: str, byte_limit: int = STORE_BYTES, file_limit: int = STORE_FILES) -> list[str]:
+    """Ids that must go before one more file of ``more`` bytes fits: what has expired, then the oldest known, then the unknown by id.
+
+    ``rows`` are those of ``scan``, which bounds them; decisions are those of ``operators.usage`` on the same inventory.
+    ``protect`` never goes. An event that does not fit even so is an error.
+    """
+    sides: dict[str, dict[str, tuple]] = {}
+    for ident, event, _, size, state, es, en, cs, cn, _ in rows:
+        entry, seen = (None if x is None else x * 10**9 + y for x, y in ((es, en), (cs, cn)))
+        sides.setdefault(ident, {})[event] = (size, state, entry, seen)
+    order = []
+    for ident, of in sides.items():
+        last = None
+        if len(of) == 2 and all(side[1] == "supported" and None not in side for side in of.values()):
+            (_, _, begun, first), (_, _, again, seen) = of["start"], of["finish"]
+            last = seen if begun == again and begun <= first <= seen else None
+        order.append((last is None, last or 0, ident, sum(side[0] for side in of.values()), len(of)))
+    order.sort()
+    size, files, gone = sum(r[3] for r in order) + more, sum(r[4] for r in order) + 1, []
+    for unknown, last, ident, held, count in order:
+        old = not unknown and now_ns - last >= RETENTION_S * 10**9
+        if ident != protect and (old or size > byte_limit or files > file_limit):
+            gone.append(ident)
+            size, files = size - held, files - count
+    if size > byte_limit or files > file_limit:
+        raise StoreError("there is no room for the event")
+    return gone
+
+
+def publish(folder: str, record: dict, evict: list[str] = (), now_ns: int | None = None) -> dict:
     """Write one event beside the others: temporaries and ``evict`` ids go first, names are never replaced.
 
-    A finish needs its start, which is never evicted for it. Returns the receipt: name and digest.
+    With ``now_ns`` what has expired or must make room is planned here, under the lock, on what the folder then
+    holds. A finish needs its start, which is never evicted for it; a start that is there already is an
+    error before anything goes. Returns the receipt: name and digest.
     """
     ident, event = record["id"], record["event"]
     raw = bounded_json(record, EVENT_BYTES)
@@ -225,6 +256,10 @@ def publish(folder: str, record: dict, evict: list[str] = ()) -> dict:
         raise StoreError("the record cannot be published")
     os.makedirs(folder, exist_ok=True)
     with locked(folder):
+        if event == "start" and os.path.exists(os.path.join(folder, f"{ident}.start.json")):
+            raise StoreError("the event was published before")
+        if now_ns is not None:
+            evict = {*evict, *plan(scan(folder), len(raw), now_ns, ident)}
         for name in os.listdir(folder):
             kind, other = file_kind(name)
             if kind == "temporary" or other in evict and not (event == "finish" and other == ident):
@@ -308,14 +343,14 @@ class Invocation:
         self.receipt = None
         if enabled:
             with contextlib.suppress(OSError, StoreError):
-                self.receipt = publish(self.folder, start_record(self.id, self.entry, command, argv, root))
+                self.receipt = publish(self.folder, start_record(self.id, self.entry, command, argv, root), now_ns=time.time_ns())
 
     def finish(self, exit_name: str, findings: list = (), hints: list = (), errors: list = ()) -> bool:
         if self.receipt is None or not verify(self.folder, self.receipt):
             return False
         record = finish_record(self.id, self.entry, exit_name, list(findings), list(hints), list(errors), self.out, self.err, time.monotonic_ns() - self.clock)
         try:
-            publish(self.folder, record)
+            publish(self.folder, record, now_ns=time.time_ns())
         except (OSError, StoreError):
             return False
         return True

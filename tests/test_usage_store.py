@@ -95,3 +95,39 @@ def test_a_start_lacks_no_part_and_counts_add_up():
     assert store.classify(json.dumps(done).encode(), A, "finish")[0] == "supported"
     done["structured"]["hints"]["omitted"] = 1
     assert store.classify(json.dumps(done).encode(), A, "finish")[0] == "malformed"
+
+
+def test_plans_are_those_of_the_operators(spark):
+    import random
+
+    rnd, now = random.Random(3), 10_000_000
+    rows_of = []
+    for i in range(160):
+        ident, entry = f"{i:032x}", now - rnd.choice([0, 2, 9]) * 86_400 - rnd.randrange(50)
+        for event in ("start", "finish")[: rnd.choice([1, 2, 2])]:
+            seen = entry + rnd.choice([1, 5, -3])
+            rows_of.append((ident, event, f"{ident}.{event}.json", rnd.randrange(100, 900), rnd.choice(["supported"] * 5 + ["malformed"]), entry, 7, seen, 8, None))
+    usage_rows = spark.createDataFrame(rows_of, store.INVENTORY).selectExpr("xxhash64(name) as delivery_id", "*")
+    covered = usage.coverage(usage.groups(usage_rows))
+    old = {r.id for r in usage.expired(covered, now).collect()}
+    assert old and set(store.plan(rows_of, 0, now * 10**9, "")) == old
+    kept = covered.where(~covered.id.isin(list(old)))
+    for size, files in ((60_000, 10_000), (10**9, 90), (20_000, 100)):
+        went = {r.id for r in usage.eviction(kept, size, files).collect()}
+        assert set(store.plan(rows_of, 0, now * 10**9, "", size, files + 1)) == old | went
+    some = next(iter(old))
+    assert some not in store.plan(rows_of, 0, now * 10**9, some)
+    with pytest.raises(store.StoreError):
+        store.plan(rows_of, 101, now * 10**9, "", 100)
+
+
+def test_publishing_plans_under_its_lock(tmp_path):
+    folder = str(tmp_path)
+    late = (200 + usage.RETENTION_S) * 10**9
+    store.publish(folder, start(A, 100, 101))
+    store.publish(folder, {**start(A, 100, 109), "event": "finish"})
+    with pytest.raises(store.StoreError):
+        store.publish(folder, start(A), now_ns=late)
+    assert f"{A}.start.json" in os.listdir(folder)  # a collision takes nothing away
+    store.publish(folder, start(B, 200, 201), now_ns=late)
+    assert sorted(os.listdir(folder)) == [".lock", f"{B}.start.json"]
