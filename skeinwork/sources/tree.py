@@ -185,7 +185,7 @@ def link_target(root: str, path: str) -> str | None:
             return None
         return os.path.relpath(real, top).replace(os.sep, "/")
     joined = posixpath.normpath(posixpath.join(posixpath.dirname(path), raw.replace(os.sep, "/")))
-    if joined.startswith("..") or not os.path.lexists(os.path.join(root, joined)):
+    if joined == ".." or joined.startswith("../") or not os.path.lexists(os.path.join(root, joined)):
         return None
     return joined
 

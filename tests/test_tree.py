@@ -179,3 +179,11 @@ def test_ignores_and_suggestions(spark, tmp_path):
     assert "configuration: skip/**" in out
     err = run(spark, tmp_path, "nodes", "same")[2]
     assert "did you mean d0/same.md" in err and "and 2 more?" in err
+
+
+def test_links_to_names_that_begin_with_dots_stay(tmp_path):
+    write(tmp_path, {"..x": "", "in/y": ""})
+    for name, to in (("a", "..x"), ("in/b", "../..x"), ("in/c", "../../z"), ("d", "..")):
+        os.symlink(to, tmp_path / name)
+    found = {p: t for p, k, _, t in tree.walk(str(tmp_path)) if k == "symlink"}
+    assert found == {"a": "..x", "in/b": "..x", "in/c": None, "d": None}
