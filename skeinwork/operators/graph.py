@@ -38,14 +38,22 @@ def current_nodes(nodes: DataFrame) -> DataFrame:
     )
 
 
+def _ends(raw: DataFrame) -> DataFrame:
+    return raw.where("source is not null and target is not null and source <> '' and target <> ''")
+
+
+def linked_pairs(raw: DataFrame) -> DataFrame:
+    """``source, target`` of every composed edge, once."""
+    return _ends(raw).select("source", "target").distinct()
+
+
 def link_edges(raw: DataFrame) -> DataFrame:
     """Edges of each graph: distinct occurrences in order of line (unknown lines last), then link and raw.
 
     An edge without occurrences keeps an empty list. Occurrences are made distinct before they are
     collected, so repeated rows of one edge never reach one task.
     """
-    ends = raw.where("source is not null and target is not null and source <> '' and target <> ''")
-    seen = ends.select("graph", "source", "target", F.explode_outer("occurrences").alias("o")).select(
+    seen = _ends(raw).select("graph", "source", "target", F.explode_outer("occurrences").alias("o")).select(
         "graph", "source", "target", "o.line", "o.link", "o.raw"
     ).distinct()
     some = F.col("line").isNotNull() | F.col("link").isNotNull() | F.col("raw").isNotNull()

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize, reread, write_shared
+from ..session import drop_shared, materialize, reread, write_shared
+
+#: Edges whose reach one task counts: rounds over fewer cost more than their work.
+LOCAL_EDGES = 4_000_000
 
 
 def steps(edges: DataFrame, direction: str) -> DataFrame:
@@ -52,24 +60,144 @@ def search(edges: DataFrame, seeds: DataFrame, direction: str = "inbound", depth
     return reread(spark, *written).where("depth > 0").drop("order")
 
 
+def _number(name: Column, turn: int) -> Column:
+    return F.xxhash64(F.lit(turn), name)
+
+
 def reach_counts(edges: DataFrame, of: DataFrame) -> DataFrame:
     """``node, impact_radius``: how many other paths lead to each node of ``of`` (node), over any number of edges.
 
-    Frontier expansion of (node, reached) pairs, new pairs only, until none is new: the output of the
-    last level is the closure for the nodes asked, which bounds the work.
+    Exact, without a row for each pair. About a pivot, what leads to it (A) and what it leads to (D) split the question:
+    nodes of both have the count of A; those of D alone have A and, besides, what leads to them where A is
+    taken out, as all that leads to A is in A; nothing of D leads to the others. So many nodes share one
+    search where they hang on the same large part of the graph. Paths go by their hash, another one if two share it.
     """
-    back = edges.select(F.col("target").alias("at"), F.col("source").alias("next")).distinct()
-    asked = of.select("node").distinct()
-    spark = edges.sparkSession
-    written = [write_shared(asked.select("node", F.col("node").alias("reached")), "reach")]
+    asked = materialize(of.select("node").distinct(), "asked")
+    pairs = edges.where("source <> target").select("source", "target")
+    names = pairs.select(F.col("source").alias("name")).unionByName(pairs.select(F.col("target").alias("name"))).unionByName(asked.select(F.col("node").alias("name")))
+    turn = 0
+    while not names.groupBy(_number(F.col("name"), turn).alias("v")).agg(F.min("name").alias("least"), F.max("name").alias("most")).where("least <> most").isEmpty():
+        turn += 1
+    numbers = [_number(F.col(c), turn).alias(c) for c in ("source", "target")]
+    numbered = asked.select("node", _number(F.col("node"), turn).alias("v"))
+    counts = _reach(write_shared(pairs.select(*numbers).distinct(), "hops"), write_shared(numbered.select("v"), "asked"), edges.sparkSession)
+    return numbered.join(counts, "v").select("node", F.col("n").alias("impact_radius"))
+
+
+def _reach(hops: str, asked: str, spark: SparkSession) -> DataFrame:
+    """``v, n`` of the nodes in the table ``asked``: pivots by rounds of joins until ``LOCAL_EDGES`` are left, these in one task."""
+    todo, done = [(hops, asked, 0)], []
+    while todo:
+        hops, asked, more = todo.pop()
+        seeds = reread(spark, asked)
+        if reread(spark, hops).count() > LOCAL_EDGES:
+            above = _spread(hops, seeds, "target", "source")
+            old, hops = hops, write_shared(reread(spark, hops).join(above.select(F.col("v").alias("target")), "target", "left_semi").select("source", "target"), "hops")
+            drop_shared(spark, old)
+        links = reread(spark, hops)
+        if links.count() <= LOCAL_EDGES:
+            done.append(write_shared(_reach_in_one_task(links, seeds).select("v", (F.col("n") + more).alias("n")), "reach"))
+        else:
+            # the busiest node most likely lies in the largest loop
+            ends = links.select(F.col("source").alias("v"), F.lit(1).alias("out")).unionByName(links.select(F.col("target").alias("v"), F.lit(0).alias("out")))
+            busy = ends.groupBy("v").agg((F.count_if(F.col("out") == 1) * F.count_if(F.col("out") == 0)).alias("k"))
+            pivot = busy.orderBy(F.desc("k"), "v").select("v").limit(1)
+            pivot = materialize(pivot, "pivot")
+            a, d = _spread(hops, pivot, "target", "source"), _spread(hops, pivot, "source", "target")
+            n = a.count()
+            below = seeds.join(d, "v", "left_semi")
+            done.append(write_shared(below.join(a, "v", "left_semi").select("v", F.lit(more + n - 1).cast("long").alias("n")), "reach"))
+            for end, gone, kept, plus in (("source", a, below.join(a, "v", "left_anti"), n), ("target", d, seeds.join(d, "v", "left_anti"), 0)):
+                left = write_shared(kept, "asked")
+                if not reread(spark, left).isEmpty():
+                    # nothing leads from the others into A, and nothing from D to the others
+                    todo.append((write_shared(links.join(gone.select(F.col("v").alias(end)), end, "left_anti").select("source", "target"), "hops"), left, more + plus))
+        drop_shared(spark, hops)
+    return reread(spark, *done)
+
+
+def _spread(hops: str, begun: DataFrame, at: str, to: str) -> DataFrame:
+    """``v``: the nodes ``begun`` and all that links lead to from column ``at`` to column ``to``, level by level."""
+    spark = begun.sparkSession
+    written = [write_shared(begun, "level")]
     while True:
-        fresh = reread(spark, written[-1])
-        step = fresh.join(back, F.col("reached") == F.col("at")).select("node", F.col("next").alias("reached")).distinct()
-        written.append(write_shared(step.join(reread(spark, *written), ["node", "reached"], "left_anti"), "reach"))
+        step = reread(spark, written[-1]).join(reread(spark, hops), F.col("v") == F.col(at)).select(F.col(to).alias("v")).distinct()
+        written.append(write_shared(step.join(reread(spark, *written), "v", "left_anti"), "level"))
         if reread(spark, written[-1]).isEmpty():
-            break
-    known = reread(spark, *written)
-    return known.groupBy("node").agg((F.count(F.lit(1)) - 1).alias("impact_radius"))
+            return reread(spark, *written)
+
+
+def _reach_in_one_task(hops: DataFrame, asked: DataFrame) -> DataFrame:
+    every = hops.select("source", "target").unionByName(asked.select(F.lit(None).cast("long").alias("source"), F.col("v").alias("target")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links, seeds = [], []
+        for batch in batches:
+            plain = pc.is_null(batch.column(0)).to_numpy(zero_copy_only=False)
+            target = batch.column(1).to_numpy()
+            seeds.append(target[plain])
+            links.append(np.stack([batch.column(0).fill_null(0).to_numpy()[~plain], target[~plain]]))
+        if not links:
+            return
+        v = np.concatenate(seeds)
+        source, target = np.concatenate(links, axis=1)
+        links.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(_counts(source, target, v))], names=["v", "n"])
+
+    return every.repartition(1).mapInArrow(run, "v bigint, n bigint")
+
+
+def _counts(source: np.ndarray, target: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """How many others lead to each of ``asked`` (distinct), by pivots as in ``reach_counts``."""
+    names, flat = np.unique(np.concatenate([asked, source, target]), return_inverse=True)
+    seeds, source, target = np.split(flat.astype(np.int32), [len(asked), len(asked) + len(source)])
+    size = len(names)
+    ins, outs = np.bincount(target, minlength=size), np.bincount(source, minlength=size)
+    up = np.concatenate([[0], np.cumsum(ins)]), source[np.argsort(target, kind="stable")]
+    down = np.concatenate([[0], np.cumsum(outs)]), target[np.argsort(source, kind="stable")]
+    alive, seen, side, found = np.ones(size, bool), np.zeros(size, bool), np.zeros(size, np.int8), np.zeros(size, np.int64)
+
+    def spread(v: int, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        levels = [np.array([v], np.int32)]
+        seen[v] = True
+        while len(levels[-1]):
+            front = levels[-1]
+            many = begins[front + 1] - begins[front]
+            at = np.repeat(begins[front] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            to = ends[at]
+            levels.append(np.unique(to[alive[to] & ~seen[to]]))
+            seen[levels[-1]] = True
+        every = np.concatenate(levels)
+        seen[every] = False
+        return every
+
+    # steps to take, the last first: nodes to solve and what to add, or nodes to take out (False) or put back (True)
+    work: list[tuple[np.ndarray, int | bool]] = [(np.sort(seeds), 0)]
+    while work:
+        nodes, more = work.pop()
+        if isinstance(more, bool):
+            alive[nodes] = more
+            continue
+        if not len(nodes):
+            continue
+        v = nodes[0]  # hashes are in no order of the graph
+        a = spread(v, *up)
+        if len(nodes) == 1:
+            found[v] = more + len(a) - 1
+            continue
+        hub = a[np.argmax(ins[a] * outs[a])]
+        if hub != v:
+            b = spread(hub, *up)
+            if 2 * len(b) > len(a):  # most of what leads here leads there, and others may hang on it
+                v, a = hub, b
+        d = spread(v, *down)
+        side[a] += 1
+        side[d] += 2
+        kinds = side[nodes]
+        side[a] = side[d] = 0
+        found[nodes[kinds == 3]] = more + len(a) - 1
+        work += [(d, True), (nodes[kinds < 2], more), (d, False), (a, True), (nodes[kinds == 2], more + len(a)), (a, False)]
+    return found[seeds]
 
 
 def shortest_paths(edges: DataFrame, nodes: DataFrame) -> DataFrame:

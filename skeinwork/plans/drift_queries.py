@@ -36,6 +36,11 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.compose_edges(_links(spark, d))
 
 
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The ends of the composed edges of all graphs, without what these tell of them."""
+    return graph.linked_pairs(table(spark, d, "raw_edges"))
+
+
 def _lock(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     nodes, edges = table(spark, d, "lock_nodes"), table(spark, d, "lock_edges")
     last = nodes.agg(F.max("snapshot_seq")).first()[0]  # one number, from column statistics
@@ -193,7 +198,7 @@ def _bfs(direction, depth):
 def impact_radius(spark, d):
     """Reach of every seed over all links."""
     seeds = _seeds(_nodes(spark, d)).select(F.col("path").alias("node"))
-    return impact.reach_counts(materialize(_edges(spark, d), "edges"), seeds)
+    return impact.reach_counts(materialize(_pairs(spark, d), "pairs"), seeds)
 
 
 def impact_via(spark, d):

@@ -1,5 +1,8 @@
 """The truth table of the rules, policy, impact and projections on small graphs."""
 
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +83,68 @@ def test_search(spark):
         impact.search(edges, seeds, "up", 1)
 
 
+def leading(pairs, asked):
+    """How many other nodes lead to each, one search a node."""
+    out = {}
+    for v in asked:
+        seen, todo = {v}, [v]
+        for at in todo:
+            new = {s for s, t in pairs if t == at} - seen
+            seen |= new
+            todo += new
+        out[v] = len(seen) - 1
+    return out
+
+
+def random_links(rnd):
+    """A loop that some nodes hang on, above and below, chains, and random links beside."""
+    n = rnd.randint(2, 40)
+    ring = [(f"r{i}", f"r{(i + 1) % n}") for i in range(n)] + [(f"a{i}", f"r{rnd.randrange(n)}") for i in range(9)] + [(f"r{rnd.randrange(n)}", f"b{i}") for i in range(9)]
+    chain = [(f"b{i % 9}", f"c{i}") for i in range(5)] + [(f"c{i}", f"c{i + 1}") for i in range(15)]
+    k = rnd.randint(2, 60)
+    loose = [(f"n{rnd.randrange(k)}", f"n{rnd.randrange(k)}") for _ in range(rnd.randint(1, 2 * k))]
+    return sorted({*ring, *chain, *loose, ("n0", "n0"), ("n1", f"a{rnd.randrange(9)}")})
+
+
+def test_counts_in_one_task_match_a_search_each():
+    for seed in range(150):
+        rnd = random.Random(seed)
+        links = random_links(rnd)
+        names = sorted({v for p in links for v in p} | {"alone"})
+        rnd.shuffle(names)
+        asked = names[: rnd.randint(1, len(names))]
+        number = {v: i * 7919 - 50_000 for i, v in enumerate(names)}
+        source, target = (np.array([number[p[i]] for p in links if p[0] != p[1]]) for i in (0, 1))
+        got = impact._counts(source, target, np.array([number[v] for v in asked]))
+        assert dict(zip(asked, got.tolist())) == leading(links, asked)
+
+
+@pytest.mark.parametrize("most", [0, 40, 4_000_000])
+def test_reach_by_rounds_and_in_one_task(spark, monkeypatch, most):
+    monkeypatch.setattr(impact, "LOCAL_EDGES", most)
+    links = [(f"r{i}", f"r{(i + 1) % 12}") for i in range(12)] + [(f"r{i}", f"b{i % 3}") for i in range(6)] + [("b0", "c"), ("b1", "c"), ("a", "r3"), ("a", "r4"), ("a", "z"), ("z", "c"), ("c", "c")]
+    asked = ["r0", "r5", "b0", "b2", "c", "a", "z", "alone"]
+    edges = graph(spark, {}, links)[1]
+    got = impact.reach_counts(edges, spark.createDataFrame([(v,) for v in [*asked, "r0"]], "node string"))
+    assert {r.node: r.impact_radius for r in got.collect()} == leading(links, asked) and got.count() == len(asked)
+
+
+def test_reach_of_paths_whose_hashes_agree(spark, monkeypatch):
+    right = impact._number
+    monkeypatch.setattr(impact, "_number", lambda name, turn: F.length(name).cast("long") if turn == 0 else right(name, turn))
+    edges = graph(spark, {}, [("a", "b"), ("b", "c"), ("dd", "c")])[1]
+    assert rows(impact.reach_counts(edges, spark.createDataFrame([("b",), ("c",)], "node string"))) == [("b", 1), ("c", 3)]
+
+
+def test_reach_writes_no_row_for_each_pair(spark, monkeypatch):
+    edges = graph(spark, {}, [(f"n{i}", f"n{(i * k + 1) % 200}") for i in range(200) for k in (1, 3, 7)])[1]
+    written = []
+    monkeypatch.setattr(impact, "write_shared", lambda df, label, write=impact.write_shared: written.append(df.count()) or write(df, label))
+    got = impact.reach_counts(edges, edges.select(F.col("source").alias("node")))
+    assert {r.impact_radius for r in got.collect()} == {199}
+    assert sum(written) < 5 * edges.count()
+
+
 def brandes(nodes, edges):
     """Plain count of shortest paths through each node."""
     out = {v: [t for s, t in edges if s == v and t in nodes and t != v] for v in nodes}
