@@ -229,7 +229,7 @@ def betweenness(spark, d):
 
 def impact_ranked(spark, d):
     """What the seeds reach in one step over all links, by how much that reaches in turn."""
-    edges = materialize(_edges(spark, d), "edges")
+    edges = materialize(_pairs(spark, d), "pairs").withColumn("lines", F.lit(None).cast("array<bigint>"))  # lines are not asked for
     found = materialize(impact.search(edges, _seeds(_nodes(spark, d)), "inbound", 1), "found")
     return impact.ranked(found, impact.reach_counts(edges, found)).select("node", F.col("depth").cast("long").alias("depth"), "impact_radius")
 

@@ -1,14 +1,18 @@
 """The truth table of the rules, policy, impact and projections on small graphs."""
 
 import random
+from datetime import datetime
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from skeinwork import session
 from skeinwork.operators import impact, project, rules, usage
+from skeinwork.plans import drift_queries
 from tests.conftest import rows
 
+T0 = datetime(2024, 1, 1)
 NODES = "path string, fs_type string, fs_hash string, anchors array<string>, blocks map<string,string>"
 EDGES = "source string, target string, lines array<bigint>, raws array<string>, provenance array<string>"
 
@@ -145,6 +149,19 @@ def test_reach_writes_no_row_for_each_pair(spark, monkeypatch):
     assert sum(written) < 5 * edges.count()
 
 
+def test_ranked_query_writes_no_row_for_each_pair(spark, tmp_path, monkeypatch):
+    pages = [f"top/docs/index-{i}.md" if i % 2 else f"top/p{i}.md" for i in range(100)]
+    spark.createDataFrame([(p, "file", "h", None, {}, T0, None) for p in pages], f"{NODES}, first_seen timestamp_ntz, deleted_at timestamp_ntz").write.parquet(str(tmp_path / "nodes.parquet"))
+    links = [("markdown", p, pages[(i * k + 1) % 100], [(n, "l", "r") for n in range(9)]) for i, p in enumerate(pages) for k in (1, 3, 7)]
+    spark.createDataFrame(links, "graph string, source string, target string, occurrences array<struct<line:bigint,link:string,raw:string>>").write.parquet(str(tmp_path / "raw_edges.parquet"))
+    written = []
+    for module in (impact, session):  # materialize finds the writer in its own module
+        monkeypatch.setattr(module, "write_shared", lambda df, label, write=session.write_shared: written.append(df.count()) or write(df, label))
+    got = drift_queries.impact_ranked(spark, str(tmp_path)).collect()
+    assert {r.node for r in got} == {s for _, s, t, _ in links if "index" in t} - {p for p in pages if "index" in p}
+    assert {r.impact_radius for r in got} == {99} and sum(written) < 10 * len(pages) + 3 * len(links)
+
+
 def brandes(nodes, edges):
     """Plain count of shortest paths through each node."""
     out = {v: [t for s, t in edges if s == v and t in nodes and t != v] for v in nodes}
