@@ -21,6 +21,7 @@ from __future__ import annotations
 import pickle
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,7 +69,7 @@ TASKS_TO_DRIVER = 64
 DELIVERED = 200
 
 _WORD = re.compile(r"[^\W\d_]+")
-_BREAK = re.compile(r"(?<=[^\d][.!…。！])\s+")  # not after ordinals such as "3."
+_BREAK = re.compile(r"[.!…。！]\s+")
 _ENDS = (".", "!", "?", "…", "。", "！", "？", "»", "”", '"')
 
 
@@ -96,6 +97,18 @@ def reread_line(line: str) -> str:
     return line
 
 
+def _split(line: str) -> list[str]:
+    """The line cut at the space after each mark that ends a sentence, but not after ordinals such as "3."."""
+    out, at = [], 0
+    for m in _BREAK.finditer(line):
+        mark = m.start()
+        if mark and not line[mark - 1].isdecimal():
+            out.append(line[at : mark + 1])
+            at = m.end()
+    out.append(line[at:])
+    return out
+
+
 def body_sentences(text: str | None) -> list[str]:
     """The sentences of a page's own body.
 
@@ -110,9 +123,9 @@ def body_sentences(text: str | None) -> list[str]:
     for k, line in enumerate(lines):
         line = reread_line(line)
         if line.endswith(_ENDS):
-            out += _BREAK.split(line)
+            out += _split(line)
         elif k == len(lines) - 1 and out:
-            out += _BREAK.split(line)[:-1]
+            out += _split(line)[:-1]
     return out
 
 
@@ -120,6 +133,35 @@ def term_hash(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass"))
 
 
+class _Pieces(dict):
+    """The number of each piece of text without space, given as it is first met, and the term hashes of its words.
+
+    Pieces repeat far more than texts, so that words are looked for and hashed once a piece. No space is in a word.
+    """
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.ends, self.hashes, self.text = array("q", [0]), array("I"), 0
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = number = len(self)
+        self.hashes.extend(map(term_hash, _WORD.findall(piece)))
+        self.ends.append(len(self.hashes))
+        self.text += len(piece)
+        return number
+
+    def terms(self, pieces: list[int], ends: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The term hashes of pieces one after the other, and where those of the first ``ends`` pieces end."""
+        held, number = np.array(self.ends), np.asarray(pieces, np.int64)
+        size = np.diff(held)[number]
+        after = np.concatenate([[0], np.cumsum(size)])
+        at = np.arange(after[-1]) + np.repeat(held[number] - after[:-1], size)
+        return np.array(self.hashes, np.uint32)[at], after[np.asarray(ends, np.int64)].astype(np.int32)
+
+
+#: Pieces, and characters of these, beyond which a task forgets them and begins anew.
+PIECES, PIECES_TEXT = 500_000, 20_000_000
+
 _HASHED = "ids binary, sentence_ends binary, doc_ends binary, terms binary"
 
 
@@ -127,29 +169,28 @@ def hashed_chunks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Chunks of documents: doc ids, term hashes, ends of sentences in these and of documents in sentences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+        known = _Pieces()
         for batch in batches:
             for at in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(at, CHUNK)
-                terms: list[int] = []
-                ends, doc_ends = [], []
+                done: list[tuple[np.ndarray, np.ndarray]] = []
+                pieces: list[int] = []
+                ends, doc_ends = [], [0]
                 for value in part.column(1).to_pylist():
-                    for sentence in body_sentences(value):
-                        words = _WORD.findall(sentence.lower())
-                        try:
-                            terms += [known[w] for w in words]
-                        except KeyError:
-                            if len(known) > 500_000:
-                                known.clear()
-                            for w in words:
-                                if w not in known:
-                                    known[w] = term_hash(w)
-                            terms += [known[w] for w in words]
-                        ends.append(len(terms))
-                    doc_ends.append(len(ends))
+                    if len(known) > PIECES or known.text > PIECES_TEXT:
+                        done.append(known.terms(pieces, ends))
+                        known, pieces, ends = _Pieces(), [], []
+                    sentences = body_sentences(value)
+                    for sentence in sentences:
+                        pieces += map(known.__getitem__, sentence.lower().split())
+                        ends.append(len(pieces))
+                    doc_ends.append(doc_ends[-1] + len(sentences))
+                done.append(known.terms(pieces, ends))
+                before = np.cumsum([0] + [len(terms) for terms, _ in done])
+                term_ends = np.concatenate([e + n for (_, e), n in zip(done, before)]).astype(np.int32)
                 yield _row(
-                    np.asarray(part.column(0).to_numpy(zero_copy_only=False), np.int64), np.asarray(ends, np.int32),
-                    np.asarray(doc_ends, np.int32), np.asarray(terms, np.uint32),
+                    np.asarray(part.column(0).to_numpy(zero_copy_only=False), np.int64), term_ends,
+                    np.asarray(doc_ends[1:], np.int32), np.concatenate([terms for terms, _ in done]),
                     names=["ids", "sentence_ends", "doc_ends", "terms"],
                 )
 
@@ -174,14 +215,20 @@ def _docs_of(c: dict[str, np.ndarray]) -> np.ndarray:
     return np.repeat(np.arange(len(c["doc_ends"])), np.diff(ends))
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """The distinct keys of 0 and more in order, by sorting: ``np.unique`` without counts goes through a hash table, which takes far longer."""
+    keys = np.sort(keys)
+    return keys[np.diff(keys, prepend=-1) > 0]
+
+
 def document_frequencies(chunks: DataFrame) -> DataFrame:
     """``term, df`` over all documents; chunks are counted before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in _arrays(batch, _IN):
-                both = np.unique((_docs_of(c).astype(np.uint64) << np.uint64(32)) | c["terms"].astype(np.uint64))
-                term, n = np.unique((both & np.uint64(0xFFFFFFFF)).astype(np.int64), return_counts=True)
+                both = _distinct((_docs_of(c).astype(np.int64) << 32) | c["terms"])
+                term, n = np.unique(both & 0xFFFFFFFF, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(n)], names=["term", "n"])
 
     return chunks.mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("df"))
@@ -195,19 +242,20 @@ _OUT = {
 
 
 def _code(c: dict[str, np.ndarray], vocabulary: np.ndarray, idf: np.ndarray) -> list[np.ndarray]:
-    """Terms as vocabulary numbers (-1: none) and the documents' tf-idf vectors of length 1, row by row."""
+    """The terms of the vocabulary as its numbers, others left out, and the documents' tf-idf vectors of length 1, row by row."""
     at = np.searchsorted(vocabulary, c["terms"])
     at[at == len(vocabulary)] = 0
-    coded = np.where(vocabulary[at] == c["terms"], at, -1).astype(np.int32) if len(vocabulary) else np.full(len(c["terms"]), -1, np.int32)
-    held = coded >= 0
-    key, n = np.unique((_docs_of(c)[held].astype(np.int64) << 32) | coded[held], return_counts=True)
+    held = vocabulary[at] == c["terms"] if len(vocabulary) else np.zeros(len(at), bool)
+    coded = at[held].astype(np.int32)
+    ends = np.concatenate([[0], np.cumsum(held)])[c["sentence_ends"]].astype(np.int32)
+    key, n = np.unique((_docs_of(c)[held].astype(np.int64) << 32) | coded, return_counts=True)
     row, col = key >> 32, (key & 0xFFFFFFFF).astype(np.int32)
     weight = (np.log1p(n) * idf[col]).astype(np.float32)
     docs = len(c["doc_ends"])
     norm = np.sqrt(np.bincount(row, weight.astype(np.float64) ** 2, docs))
     weight = (weight / np.maximum(norm[row], 1e-9)).astype(np.float32)
     ptr = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=docs))]).astype(np.int64)
-    return [c["ids"], c["sentence_ends"], c["doc_ends"], coded, ptr, col, weight]
+    return [c["ids"], ends, c["doc_ends"], coded, ptr, col, weight]
 
 
 def coded_chunks(chunks: DataFrame, vocabulary: np.ndarray, idf: np.ndarray) -> DataFrame:
@@ -232,6 +280,9 @@ def _prepared(splits: list[dict[int, tuple[np.ndarray, int, int]]]) -> list[tupl
     return out
 
 
+_SENTENCES = {n: _OUT[n] for n in ("ids", "sentence_ends", "doc_ends", "terms")}
+
+
 def _values(c: dict[str, np.ndarray], live: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The non-zero values of some documents: number of the document among them, column, weight."""
     size = np.diff(c["ptr"])[live]
@@ -335,9 +386,12 @@ def _followed(c: dict[str, np.ndarray], table: np.ndarray, goes: np.ndarray) ->
     return goes[c["place"], side.astype(np.int64)]
 
 
-def _add_sums(c: dict[str, np.ndarray], table: np.ndarray | None, width: int, count: np.ndarray, total: np.ndarray) -> None:
-    rows, cols, weights = _values(c, np.arange(len(c["place"])))
-    node = c["place"].astype(np.int64)
+def _add_sums(
+    c: dict[str, np.ndarray], table: np.ndarray | None, moving: np.ndarray | None, width: int, count: np.ndarray, total: np.ndarray
+) -> None:
+    live = np.arange(len(c["place"])) if moving is None or moving[c["place"]].all() else np.flatnonzero(moving[c["place"]])
+    rows, cols, weights = _values(c, live)
+    node = c["place"][live].astype(np.int64)
     if table is not None:
         node = 2 * node + _sides(rows, cols, weights, node, table)
     count += np.bincount(node, minlength=len(count))
@@ -388,14 +442,17 @@ class _Cluster:
     def __init__(self, df: DataFrame, width: int, path: str | None = None):
         self.df, self.width, self.path, self.spark = df, width, path, df.sparkSession
 
-    def sums(self, places: int, table: np.ndarray | None = None) -> dict[int, tuple[int, np.ndarray]]:
-        """Documents and sum of vectors of each place or, by the directions of ``table``, of its halves (2p and 2p + 1)."""
+    def sums(self, places: int, table: np.ndarray | None = None, moving: np.ndarray | None = None) -> dict[int, tuple[int, np.ndarray]]:
+        """Documents and sum of vectors of each place or, by the directions of ``table``, of its halves (2p and 2p + 1).
+
+        ``moving`` tells of each place whether it is asked for (None: all are).
+        """
         shared, width = self.spark.sparkContext.broadcast(table), self.width  # bounded by nodes x vocabulary
 
         def add(batches: Iterator[pa.RecordBatch], count: np.ndarray, total: np.ndarray) -> None:
             for batch in batches:
                 for c in _arrays(batch, _WORK):
-                    _add_sums(c, shared.value, width, count, total)
+                    _add_sums(c, shared.value, moving, width, count, total)
 
         out = _add_up(self.df, add, places if table is None else 2 * places, width)
         shared.unpersist()
@@ -497,10 +554,10 @@ class _Memory:
         self.c = {"place": np.zeros(len(joined["ids"]), np.int32), "ptr": order, **joined}
         self.width = width
 
-    def sums(self, places: int, table: np.ndarray | None = None) -> dict[int, tuple[int, np.ndarray]]:
+    def sums(self, places: int, table: np.ndarray | None = None, moving: np.ndarray | None = None) -> dict[int, tuple[int, np.ndarray]]:
         nodes = places if table is None else 2 * places
         count, total = np.zeros(nodes, np.int64), np.zeros(nodes * self.width)
-        _add_sums(self.c, table, self.width, count, total)
+        _add_sums(self.c, table, moving, self.width, count, total)
         return {n: (int(count[n]), total[n * self.width : (n + 1) * self.width]) for n in range(nodes) if count[n]}
 
     def seeds(self) -> dict[int, list]:
@@ -627,7 +684,8 @@ def _grow(work, known: int, limit: float | None):
                     moving.discard(p)
             if not moving:
                 break
-            parts = work.sums(len(nodes), table)
+            # the halves of settled nodes, whose directions stay, stay as they are
+            parts = {n: x for n, x in parts.items() if n // 2 not in moving} | work.sums(len(nodes), table, np.isin(np.arange(len(nodes)), list(moving)))
             below = _spreads(parts)
             moving = {p for p in moving if left[p] - _below(below, p) > SETTLED * spread[p]}
         while len(splits) <= depth:
@@ -670,20 +728,20 @@ def _spreads(state: dict[int, tuple[int, np.ndarray]]) -> dict[int, float]:
     return {n: docs - float(np.linalg.norm(total)) ** 2 / max(docs, 1) for n, (docs, total) in state.items()}
 
 
-def _count_terms(chunks: DataFrame, assign, groups: int, width: int) -> np.ndarray:
-    """Counts of terms by group over all sentences: groups x width. ``assign`` gives each sentence's group or -1."""
+def _count_terms(chunks: DataFrame, assign, groups: int, width: int, kinds: dict[str, type]) -> np.ndarray:
+    """Counts of terms by group over all sentences: groups x width. ``assign`` gives each sentence's group or -1 by the columns ``kinds``."""
 
     def add(batches: Iterator[pa.RecordBatch], count: np.ndarray, total: np.ndarray) -> None:
         for batch in batches:
-            for c in _arrays(batch, _OUT):
+            for c in _arrays(batch, kinds):
                 of = assign(c)
                 count += np.bincount(of[of >= 0], minlength=groups)
                 owner = np.repeat(of, np.diff(np.concatenate([[0], c["sentence_ends"]])))
-                use = (owner >= 0) & (c["terms"] >= 0)
+                use = owner >= 0
                 _accumulate(total, owner[use] * width + c["terms"][use], None)
 
     out = np.zeros((groups, width))
-    for g, (_, v) in _add_up(chunks, add, groups, width).items():
+    for g, (_, v) in _add_up(chunks.select(*kinds), add, groups, width).items():
         out[g] = v
     return out
 
@@ -788,41 +846,57 @@ def spoken_weights(spoken: np.ndarray, everything: np.ndarray) -> np.ndarray:
     return np.where(own, STRONG * share, np.where(shared, WEAK + 0.1, 0)).T.astype(np.float32)
 
 
-def _leaf_of(c: dict[str, np.ndarray], evidence: np.ndarray, subject: np.ndarray, subjects: int, strict: bool = False) -> np.ndarray:
+def _sparse(evidence: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The evidence that is not zero: where each term's begins and ends, the part of a leaf, the evidence. Most terms have none."""
+    term, part = np.nonzero(evidence)
+    return np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(evidence)))]), part, evidence[term, part]
+
+
+def _leaf_of(c: dict[str, np.ndarray], evidence: tuple[np.ndarray, ...], subject: np.ndarray, subjects: int, strict: bool = False) -> np.ndarray:
     """The part of a leaf that each sentence belongs to, -1 for none: its terms' evidence, and its page's where they are unclear.
 
-    ``strict`` leaves out sentences in which a part with another subject has half as much evidence.
+    ``evidence`` is as ``_sparse`` gives it; work and memory are those of the sentences' terms with evidence, whatever
+    the number of parts. ``strict`` leaves out sentences in which a part with another subject has half as much evidence.
     """
-    sentences, parts = len(c["sentence_ends"]), evidence.shape[1]
-    if not sentences or not parts:
-        return np.full(sentences, -1)
-    owner = np.repeat(np.arange(sentences), np.diff(np.concatenate([[0], c["sentence_ends"]])))
-    speaks = np.append(evidence.any(1), False)  # most terms are no evidence; -1 is the last
-    use = speaks[c["terms"]]
-    once = np.unique(owner[use].astype(np.int64) * len(evidence) + c["terms"][use])  # a repeated term says no more
-    owner, terms = once // len(evidence), once % len(evidence)
-    first = np.flatnonzero(np.diff(owner, prepend=-1))
-    score = np.zeros((sentences, parts), np.float32)
-    if len(first):
-        score[owner[first]] = np.add.reduceat(evidence[terms], first, axis=0)
-    by = np.zeros((sentences, subjects), np.float32)  # the best part of each subject
-    for k in np.unique(subject):
-        by[:, k] = score[:, subject == k].max(1)
-    doc, docs = _sentence_docs(c), len(c["doc_ends"])
-    at, kind = np.nonzero(by >= CLEAR)
-    prior = np.bincount(doc[at] * subjects + kind, by[at, kind], docs * subjects).reshape(docs, subjects)
+    ptr, part, value = evidence
+    sentences, parts, size = len(c["sentence_ends"]), len(subject), np.diff(ptr)
+    out = np.full(sentences, -1)
+    use = size[c["terms"]] > 0
+    owner = np.repeat(np.arange(sentences), np.diff(np.concatenate([[0], c["sentence_ends"]])))[use]
+    once = _distinct(owner * len(size) + c["terms"][use])  # a repeated term says no more
+    if not len(once):
+        return out
+    owner, terms = once // len(size), once % len(size)
+    new = np.diff(owner, prepend=-1) > 0
+    said_in, row = owner[new], np.cumsum(new) - 1  # the sentences with evidence, and among these that of each term
+    many = size[terms]
+    at = np.arange(many.sum()) + np.repeat(ptr[terms] - (np.cumsum(many) - many), many)
+    pair = np.repeat(row, many) * parts + part[at]
+    order = np.argsort(pair, kind="stable")
+    pair, new = pair[order], np.diff(pair[order], prepend=-1) > 0
+    score = np.zeros(new.sum(), np.float32)
+    np.add.at(score, np.cumsum(new) - 1, value[at][order])
+    pair = pair[new]
+    row, leaf = pair // parts, pair % parts
+    by = np.zeros((len(said_in), subjects), np.float32)  # the best part of each subject
+    np.maximum.at(by.ravel(), row * subjects + subject[leaf], score)
+    doc, docs = _sentence_docs(c)[said_in], len(c["doc_ends"])
+    i, kind = np.nonzero(by >= CLEAR)
+    prior = np.bincount(doc[i] * subjects + kind, by[i, kind], docs * subjects).reshape(docs, subjects)
     prior = (prior / np.maximum(prior.sum(1, keepdims=True), 1e-9))[doc]
-    row = np.arange(sentences)
+    every = np.arange(len(said_in))
     best = (by * (0.25 + prior)).argmax(1)
-    said = by[row, best]
+    said = by[every, best]
     if strict:
         rest = by.copy()
-        rest[row, best] = 0
+        rest[every, best] = 0
         known = (said >= CLEAR) & (rest.max(1) <= 0.5 * said)
     else:
-        known = (said >= CLEAR) | ((said > WEAK) & (prior[row, best] >= PAGE))
-    leaf = np.where(subject[None, :] == best[:, None], score, -1).argmax(1)
-    return np.where(known, leaf, -1)
+        known = (said >= CLEAR) | ((said > WEAK) & (prior[every, best] >= PAGE))
+    top = np.flatnonzero((subject[leaf] == best[row]) & (score == said[row]) & known[row])
+    top = top[np.diff(row[top], prepend=-1) > 0]  # of equal parts the first
+    out[said_in[row[top]]] = leaf[top]
+    return out
 
 
 def assign_subjects(
@@ -856,22 +930,22 @@ def assign_subjects(
     def by_leaf(c):
         return np.searchsorted(leaves, _descend(c, levels))[_sentence_docs(c)]
 
-    counts = _count_terms(coded, by_leaf, len(leaves), width)
+    counts = _count_terms(coded, by_leaf, len(leaves), width, _OUT)
     everything = counts.sum(0)
     counts, subject = leaf_parts(counts, leaf_mixtures(counts, example_weights(seen)), seen)
     if not len(subject):
         return spark.createDataFrame([], schema)
-    evidence = leaf_evidence(rate_weights(counts, subject, kinds), counts, subject)
+    evidence = _sparse(leaf_evidence(rate_weights(counts, subject, kinds), counts, subject))
     for _ in range(REFINEMENTS):
-        counts = _count_terms(coded, lambda c, e=evidence: _leaf_of(c, e, subject, kinds, True), len(subject), width)
+        counts = _count_terms(coded, lambda c, e=evidence: _leaf_of(c, e, subject, kinds, True), len(subject), width, _SENTENCES)
         spoken = np.zeros((kinds, width))
         np.add.at(spoken, subject, counts)
-        evidence = leaf_evidence(spoken_weights(spoken, everything), counts, subject)
+        evidence = _sparse(leaf_evidence(spoken_weights(spoken, everything), counts, subject))
     of_part = np.eye(kinds)[subject]  # the subject of each part of a leaf
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in _arrays(batch, _OUT):
+            for c in _arrays(batch, _SENTENCES):
                 leaf = _leaf_of(c, evidence, subject, kinds)
                 doc, docs = _sentence_docs(c), len(c["doc_ends"])
                 held = leaf >= 0
@@ -883,7 +957,7 @@ def assign_subjects(
                     names=["doc_id", "subject", "share"],
                 )
 
-    return coded.mapInArrow(run, schema)
+    return coded.select(*_SENTENCES).mapInArrow(run, schema)
 
 
 def _example_terms(examples: DataFrame) -> list[int]:

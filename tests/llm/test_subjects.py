@@ -1,4 +1,6 @@
 import random
+import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -128,3 +130,109 @@ def test_small_nodes_are_finished_alike_in_one_task(spark, corpus, monkeypatch):
         monkeypatch.setattr(subjects, "LOCAL_DOCS", most)
         got.append({tuple(r) for r in subjects.assign_subjects(docs, areas, examples).collect()})
     assert got[0] == got[1] == got[2] and got[0]
+
+
+def chunk(doc_ends, sentences):
+    """A chunk of documents by their sentences' terms."""
+    return {
+        "ids": np.arange(len(doc_ends)), "doc_ends": np.asarray(doc_ends, np.int32),
+        "sentence_ends": np.cumsum([len(x) for x in sentences]).astype(np.int32), "terms": np.array([t for x in sentences for t in x], np.int32),
+    }
+
+
+def plain_leaf(c, evidence, subject, subjects_n, strict):
+    """``_leaf_of`` sentence by sentence, over all parts of leaves."""
+    ends, docs = np.append(0, c["sentence_ends"]), np.append(0, c["doc_ends"])
+    score = [evidence[np.unique(c["terms"][a:b])].sum(0) for a, b in zip(ends, ends[1:])]
+    by = np.array([[x[subject == k].max(initial=0) for k in range(subjects_n)] for x in score])
+    out = []
+    for a, b in zip(docs, docs[1:]):
+        prior = np.where(by[a:b] >= subjects.CLEAR, by[a:b], 0).sum(0)
+        prior = prior / max(prior.sum(), 1e-9)
+        for i in range(a, b):
+            best = int(np.argmax(by[i] * (0.25 + prior)))
+            said, rest = by[i][best], np.delete(by[i], best).max(initial=0)
+            known = said >= subjects.CLEAR and rest <= 0.5 * said if strict else said >= subjects.CLEAR or said > subjects.WEAK and prior[best] >= subjects.PAGE
+            out.append(int(np.where(subject == best, score[i], -1).argmax()) if known else -1)
+    return out
+
+
+@pytest.mark.parametrize("strict", [True, False])
+def test_leaves_of_sentences_by_the_evidence_alone(strict):
+    rnd = np.random.default_rng(3)
+    subject = rnd.integers(0, 4, 9)
+    evidence = np.where(rnd.random((30, 9)) < 0.2, rnd.choice([0.75, 1, 1.5, 3], (30, 9)), 0).astype(np.float32)  # exact sums, so ties are ties
+    sentences = [rnd.integers(0, 30, n).tolist() for n in rnd.integers(0, 5, 400)]
+    c = chunk([*range(5, 400, 5), 395, 400], sentences)
+    got = subjects._leaf_of(c, subjects._sparse(evidence), subject, 4, strict)
+    assert got.tolist() == plain_leaf(c, evidence, subject, 4, strict) and len(set(got)) > 5
+    nothing = subjects._sparse(np.zeros((30, 9), np.float32))
+    assert (subjects._leaf_of(c, nothing, subject, 4, strict) == -1).all()
+    assert not len(subjects._leaf_of(chunk([0], []), subjects._sparse(evidence), subject, 4, strict))
+
+
+def test_sentences_take_no_room_for_parts_that_they_do_not_speak_for():
+    c = chunk([20_000], [[i % 500, 500 + i % 500] for i in range(20_000)])
+    evidence = np.zeros((1_000, 600), np.float32)
+    evidence[np.arange(1_000), np.arange(1_000) % 600] = 2
+    sparse, subject = subjects._sparse(evidence), np.arange(600) % 12
+    tracemalloc.start()
+    got = subjects._leaf_of(c, sparse, subject, 12)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got >= 0).all() and peak < 20e6  # 20,000 x 600 scores alone are 48 MB
+
+
+def test_coded_chunks_hold_terms_of_the_vocabulary_alone():
+    c = chunk([2, 3], [[5, 9, 7], [8], [7, 7]])
+    _, ends, _, terms, ptr, cols, _ = subjects._code(c | {"terms": c["terms"].astype(np.uint32)}, np.array([5, 7], np.uint32), np.ones(2))
+    assert ends.tolist() == [2, 2, 4] and terms.tolist() == [0, 1, 1, 1] and ptr.tolist() == [0, 2, 3] and cols.tolist() == [0, 1, 1]
+
+
+def test_passes_over_sentences_read_no_vectors(spark, corpus):
+    (docs, areas, examples), _ = corpus
+    plan = subjects.assign_subjects(docs, areas, examples)._jdf.queryExecution().executedPlan().toString()
+    assert "sentence_ends" in plan and "weights" not in plan
+
+
+def test_passes_work_on_moving_nodes_alone(monkeypatch):
+    rnd = np.random.default_rng(8)
+    sizes = rnd.integers(3, 9, 900)
+    cols = np.concatenate([np.sort(rnd.choice(40, n, False) // 2 + 20 * (i % 3)) for i, n in enumerate(sizes)]).astype(np.int32)
+    weights = rnd.random(len(cols)).astype(np.float32)
+    one = {"ids": np.arange(900), "ptr": np.append(0, np.cumsum(sizes)), "cols": cols, "weights": weights}
+    sums, got, work = subjects._Memory.sums, [], []
+    for given in (True, False):
+        work.append(0)
+
+        def counted(self, places, table=None, moving=None):
+            out = sums(self, places, table, moving if given else None)
+            work[-1] += sum(n for n, _ in out.values())
+            return out
+
+        monkeypatch.setattr(subjects._Memory, "sums", counted)
+        got.append(subjects._grow(subjects._Memory([one], 60), 1, 10.0)[0])
+    assert work[0] < work[1] and len(got[0]) == len(got[1]) > 1
+    for one, other in zip(*got):
+        assert one.keys() == other.keys() and all(np.array_equal(one[n][0], other[n][0]) and one[n][1:] == other[n][1:] for n in one)
+
+
+def test_words_of_pieces_and_cuts_are_those_of_whole_sentences(spark, monkeypatch):
+    rnd = random.Random(4)
+    signs = [*"abcÉİßΣσñ8٣Ⅷ_'’-.!…。！?,\u0301\u00ad漢字かな \t\u00a0\u3000\u2028\x1c", " ", ". ", "! ", "ΑΣ", "3. "]
+    lines = ["".join(rnd.choice(signs) for _ in range(rnd.randint(0, 30))) for _ in range(3000)]
+    at_marks = re.compile(r"(?<=[^\d][.!…。！])\s+")
+    assert all(subjects._split(x) == at_marks.split(x) for x in lines)
+    texts = ["\n".join(x.replace("\n", " ") + "." for x in lines[i : i + 3]) for i in range(0, len(lines), 3)]
+    right = [[[subjects.term_hash(w) for w in subjects._WORD.findall(s.lower())] for s in subjects.body_sentences(t)] for t in texts]
+    monkeypatch.setattr(subjects, "CHUNK", 70)
+    for most in (subjects.PIECES, 5):
+        monkeypatch.setattr(subjects, "PIECES", most)
+        chunks = subjects.hashed_chunks(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1), "doc_id", "text")
+        found = []
+        for b in chunks.toArrow().to_batches():
+            for c in subjects._arrays(b, subjects._IN):
+                ends = np.append(0, c["sentence_ends"])
+                sentences = [c["terms"][a:b].tolist() for a, b in zip(ends, ends[1:])]
+                found += [sentences[a:b] for a, b in zip(np.append(0, c["doc_ends"]), c["doc_ends"])]
+        assert found == right
